@@ -257,8 +257,6 @@ def fit_features(
             _flag_cells(b.labs).join(b.static.select(KEY), KEY, "left_semi")
         )
     levels = _collect_levels(cells)
-    for column in [*rules.static, *text]:
-        levels.setdefault(column, [])
     return FeatureSpec(binned, numeric, text, flags, reshape.vocabulary(b.drugs, "drug"), levels, stats)
 
 
@@ -307,9 +305,11 @@ def _output_columns(spec: FeatureSpec) -> list[tuple[str, Column]]:
     # joins after binning; its levels and those of text columns can be absent.
     binned_numbers = {*spec.numeric, "age"} if spec.binned else set()
     for column, found in spec.levels.items():
+        if not found:  # an empty column has no levels and makes no columns
+            continue
         out |= {f"{column}_{v}": cell(f"{column}_{v}") for v in found[1:]}
-        if column in binned_numbers or not found:
-            out[f"{column}_nan"] = F.lit(0.0 if found else 1.0)
+        if column in binned_numbers:
+            out[f"{column}_nan"] = F.lit(0.0)
         else:
             seen = F.coalesce(*(F.col(f"`{column}_{v}`") for v in found))
             out[f"{column}_nan"] = seen.isNull().cast("double")
