@@ -80,6 +80,15 @@ def to_number(c) -> Column:
     return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
 
 
+def to_whole(c) -> Column:
+    """Text to integer; anything but digits with a sign becomes null.
+
+    The test comes first because a failing cast costs far more than a pattern.
+    """
+    text = F.trim(_col(c).cast("string"))
+    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))
+
+
 def prefer_number(number, text) -> Column:
     return F.coalesce(_col(number).cast("string"), _col(text))
 

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 # a leading "rt", and "http" with the character after it.
 NOISE_PATTERN = r"(@[A-Za-z0-9]+)|([^0-9A-Za-z \t])|(\w+:\/\/\S+)|^rt|http.+?"
 
+# The same deletions, and those of digits, for a text without "://": no link can
+# match there, so no word has to be searched for one at each of its letters. The
+# ranges are all characters but letters, space, tab and "@".
+PLAIN_PATTERN = r"@[A-Za-z0-9]*|[\x00-\x08\x0A-\x1F!-?\[-`{-\x{10FFFF}]+|^rt|http.+?"
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -19,10 +24,11 @@ def _col(c) -> Column:
 def clean_text(c) -> Column:
     """Lower-case, then delete noise, then delete digits.
 
-    ``(?Ud)``: Unicode word characters, and only \\n ends a line.
+    ``(?U)``: Unicode word characters; ``(?d)``: only \\n ends a line.
     """
     lowered = F.lower(_col(c))
-    return F.regexp_replace(F.regexp_replace(lowered, "(?Ud)" + NOISE_PATTERN, ""), r"(?U)\d+", "")
+    linked = F.regexp_replace(F.regexp_replace(lowered, "(?Ud)" + NOISE_PATTERN, ""), "[0-9]+", "")
+    return F.when(lowered.contains("://"), linked).otherwise(F.regexp_replace(lowered, "(?d)" + PLAIN_PATTERN, ""))
 
 
 def strip_charsets(c, steps: Sequence[tuple[str, str]]) -> Column:

@@ -64,21 +64,18 @@ def classification_report(df: DataFrame, label: str, predicted: str) -> DataFram
 
 
 def _score_counts(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
-    """Positives and negatives at and above each distinct score, with class totals."""
+    """Positives and negatives at and above each distinct score, with class totals.
+
+    The scored rows are read once, into counts per distinct score.
+    """
     by = list(by)
     y = F.col(label)
     # + 0.0 makes -0.0 and 0.0 one score
     at = df.groupBy(*by, (F.col(score) + 0.0).alias("score")).agg(
         F.sum((y == 1).cast("bigint")).alias("pos"), F.sum((y == 0).cast("bigint")).alias("neg")
     )
-    run = running_totals(range_bucket(at, "score", by), by, "score", ["pos", "neg"], bucket="_range", descending=True)
-    sizes = at.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    if by:
-        run = run.join(sizes, by)
-    else:
-        both = sizes.select(F.struct("n_pos", "n_neg").alias("s")).scalar()
-        run = run.withColumn("_s", both).select("*", "_s.*")
-    return run.select(*by, "score", "_range", "pos", "neg", F.col("pos_run").alias("tp"), F.col("neg_run").alias("fp"), "n_pos", "n_neg")
+    run = running_totals(range_bucket(at, "score", by), by, ["score"], ["pos", "neg"], bucket="_range", descending=True)
+    return run.withColumnsRenamed({"pos_run": "tp", "neg_run": "fp", "pos_all": "n_pos", "neg_all": "n_neg"})
 
 
 def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:

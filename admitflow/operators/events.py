@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from admitflow.functions import recode, text, times
 from admitflow.operators.totals import running_totals
+from admitflow.session import spread
 
 
 def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -41,8 +42,13 @@ def any_event(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def keyword_flag(notes: DataFrame, key: str, words: Sequence[str], name: str, body: str = "text") -> DataFrame:
-    """1 for each key with a note that holds any of the words after cleaning."""
-    hits = notes.where(recode.contains_any(text.clean_text(body), words))
+    """1 for each key with a note that holds any of the words after cleaning.
+
+    The cleaned text is the one element of an array, so it is made once per note
+    and not once per word.
+    """
+    cleaned = F.array(text.clean_text(body))
+    hits = spread(notes.select(key, body)).where(F.exists(cleaned, lambda tx: recode.contains_any(tx, words)))
     return any_event(hits, key, name)
 
 
@@ -60,17 +66,16 @@ def count_before(
     is the running count before t less the running count before t - days. Counts
     are summed per (subject, moment) first, then run per (subject, day).
     """
-    now = admissions.select(subject, F.col(admitted).alias("_at"), F.lit(1).alias("_n"), F.lit(0).alias("_ask"))
-    old = now.select(subject, (F.col("_at") - times.days(days)).alias("_at"), F.lit(0).alias("_n"), F.lit(1).alias("_ask"))
-    marks = now.unionByName(old).groupBy(subject, "_at").agg(F.sum("_n").alias("_n"))
-    marks = marks.withColumn("_day", times.day_number("_at"))
-    run = running_totals(marks, [subject], "_at", ["_n"], bucket="_day", inclusive=False)
-    run = run.select(subject, "_at", F.col("_n_run").alias("_before"))
-    now_run = run.withColumnRenamed("_before", "_hi").withColumnRenamed("_at", admitted)
-    old_run = run.select(subject, (F.col("_at") + times.days(days)).alias(admitted), F.col("_before").alias("_lo"))
-    counted = now_run.join(old_run, [subject, admitted])
-    counted = counted.select(subject, admitted, (F.col("_hi") - F.col("_lo")).alias(name)).where(F.col(name) > 0)
-    return admissions.select(key, subject, admitted).join(counted, [subject, admitted]).select(key, name)
+    moments = admissions.groupBy(subject, admitted).agg(F.count(F.lit(1)).alias("_n"))
+    now = moments.select(subject, admitted, F.col(admitted).alias("_at"), "_n", F.lit(1).alias("_sign"))
+    old = moments.select(
+        subject, admitted, (F.col(admitted) - times.days(days)).alias("_at"), F.lit(0).alias("_n"), F.lit(-1).alias("_sign")
+    )
+    marks = now.unionByName(old).withColumn("_day", times.day_number("_at"))
+    # At one moment the question about the past (sign -1) comes before the admission itself.
+    run = running_totals(marks, [subject], ["_at", "_sign"], ["_n"], bucket="_day", inclusive=False)
+    counted = run.groupBy(subject, admitted).agg(F.sum(F.col("_sign") * F.col("_n_run")).alias(name))
+    return admissions.select(key, subject, admitted).join(counted.where(F.col(name) > 0), [subject, admitted]).select(key, name)
 
 
 def first_event_hours(events: DataFrame, keys: Sequence[str], admitted: str, at: str, name: str = "hours") -> DataFrame:

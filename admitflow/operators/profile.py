@@ -29,7 +29,7 @@ def value_counts(df: DataFrame, *columns: str, name: str = "n") -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(name))
 
 
-def describe(df: DataFrame, value: str, by: Sequence[str] = (), groups: int | None = None) -> DataFrame:
+def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """count, mean, std, min, max and exact percentiles, per group."""
     by = list(by)
     basic = df.groupBy(*by).agg(
@@ -39,7 +39,7 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = (), groups: int | No
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
-    spread = quantiles(df, value, DESCRIBE_PROBS, by, groups).drop("n")
+    spread = quantiles(df, value, DESCRIBE_PROBS, by).drop("n")
     if by:
         return basic.join(spread, by, "left")
     row = spread.select(F.struct(*spread.columns).alias("s")).scalar()
@@ -47,7 +47,7 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = (), groups: int | No
 
 
 def describe_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return describe(to_long(df, columns, "double", "column"), "value", ["column"], len(columns))
+    return describe(to_long(df, columns, "double", "column"), "value", ["column"])
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

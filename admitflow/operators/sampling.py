@@ -3,13 +3,15 @@
 Rows are ordered by md5("key:seed"). A sample of n rows is "all rows whose hash
 is at most the n-th smallest hash", so only that one hash must be found: bucket
 counts by hash prefix locate it, and rows are ranked only inside the bucket it
-falls in. No row leaves its partition to be sampled. Keys must be unique and
-labels not null.
+falls in. Class sizes and these cut hashes are fitted first (a few values per
+class); the sample itself is then a filter, and no row moves to be sampled.
+Keys must be unique and labels not null.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,60 +20,63 @@ from pyspark.sql.window import Window
 from admitflow.functions.vectors import hash_int, hash_text
 
 PREFIX = 4  # hex digits: 65,536 buckets per class
+MAX_CLASSES = 1000
 ORDERED_LIMIT = 50_000  # up to here a plain top-n is cheaper than a cut
 
 
-def _hashed(df: DataFrame, key: str, seed, by: Sequence[str] = ()) -> DataFrame:
-    h = hash_text(key, seed)
-    return df.select(*by, h.alias("_h"), F.substring(h, 1, PREFIX).alias("_b"))
-
-
 def class_sizes(df: DataFrame, label: str, name: str = "n") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias(name))
 
 
-def hash_cuts(df: DataFrame, key: str, seed, quotas: DataFrame, cuts: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Per class, the hash of the q-th row for each quota column of ``cuts``.
+def class_counts(df: DataFrame, label: str) -> dict:
+    """{class: rows}, in class order."""
+    rows = class_sizes(df, label).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
+    return dict(sorted((r[0], r[1]) for r in rows))
+
+
+def _per_class(label: str | None, values: dict, default: Column) -> Column:
+    """The value of the row's class; without a label there is one class, None."""
+    if label is None:
+        return values[None]
+    out = None
+    for c, value in values.items():
+        out = F.when(F.col(label) == c, value) if out is None else out.when(F.col(label) == c, value)
+    return default if out is None else out.otherwise(default)
 
-    ``quotas`` has ``by`` and one column of row counts per cut (without ``by``:
-    one row). A quota of 0 gives a null cut. One row per class comes out.
+
+def hash_cuts(df: DataFrame, key: str, seed, quotas: dict, label: str | None = None) -> dict:
+    """For ``{class: [row counts]}``, the hash of the q-th row of the class, for each q.
+
+    A count of 0 has the cut None: no row is below it. Counts must not exceed
+    the class size.
     """
-    by = list(by)
-    hashed = _hashed(df, key, seed, by)
+    wanted = {c: F.array(*(F.lit(q).cast("bigint") for q in sorted({q for q in qs if q > 0}))) for c, qs in quotas.items()}
+    by = [label] if label else []
+    h = hash_text(key, seed)
+    hashed = df.select(*by, h.alias("_h"), F.substring(h, 1, PREFIX).alias("_b"))
     counts = hashed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     # At most 16^PREFIX rows per class reach this window.
     upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = counts.withColumn("_run", F.sum("_n").over(upto))
-    long = quotas.unpivot(by, list(cuts), "_cut", "_q")
-    if by:
-        run = run.join(F.broadcast(long), by)
-        edge = run.where((F.col("_q") > F.col("_run") - F.col("_n")) & (F.col("_q") <= F.col("_run")))
-        edge = edge.select(*by, "_b", "_cut", (F.col("_q") - F.col("_run") + F.col("_n")).alias("_place"))
-    else:
-        wanted = long.agg(F.collect_list(F.struct("_cut", "_q")).alias("w")).scalar()
-        run = run.withColumn("_w", wanted).select("*", F.explode("_w")).select("_b", "_n", "_run", "col.*")
-        edge = run.where((F.col("_q") > F.col("_run") - F.col("_n")) & (F.col("_q") <= F.col("_run")))
-        edge = edge.select("_b", "_cut", (F.col("_q") - F.col("_run") + F.col("_n")).alias("_place"))
+    none = F.array().cast("array<bigint>")
+    asked = run.withColumn("_q", F.explode(_per_class(label, wanted, none)))
+    edge = asked.where((F.col("_q") > F.col("_run") - F.col("_n")) & (F.col("_q") <= F.col("_run")))
+    edge = edge.select(*by, "_b", "_q", (F.col("_q") - F.col("_run") + F.col("_n")).alias("_place"))
     # One edge bucket per class and cut.
     inside = hashed.join(F.broadcast(edge), [*by, "_b"])
-    place = F.row_number().over(Window.partitionBy(*by, "_b", "_cut").orderBy("_h"))
-    found = inside.withColumn("_rn", place).where(F.col("_rn") == F.col("_place"))
-    return found.groupBy(*by).agg(*(F.max(F.when(F.col("_cut") == c, F.col("_h"))).alias(c) for c in cuts))
+    place = F.row_number().over(Window.partitionBy(*by, "_b", "_q").orderBy("_h"))
+    found = inside.withColumn("_rn", place).where(F.col("_rn") == F.col("_place")).select(*by, "_q", "_h")
+    cut = {(r[label] if label else None, r["_q"]): r["_h"] for r in found.collect()}
+    return {c: [cut.get((c, q)) for q in qs] for c, qs in quotas.items()}
 
 
-def mark_below(df: DataFrame, key: str, seed, quotas: DataFrame, cuts: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Add one boolean per cut: is the row among the first q of its class?"""
-    by = list(by)
-    found = hash_cuts(df, key, seed, quotas, cuts, by)
+def below_cut(key: str, seed, cuts: dict, i: int = 0, label: str | None = None) -> Column:
+    """Is the row among the first q of its class, for cut number ``i``?"""
     h = hash_text(key, seed)
-    if by:
-        cut = F.broadcast(found.select(*by, *(F.col(c).alias(f"_{c}") for c in cuts)))
-        joined = df.join(cut, by, "left")
-    else:
-        one = found.select(F.struct(*(F.col(c).alias(f"_{c}") for c in cuts)).alias("s")).scalar()
-        joined = df.withColumn("_s", one).select("*", "_s.*").drop("_s")
-    marked = joined.select(*df.columns, *(F.coalesce(h <= F.col(f"_{c}"), F.lit(False)).alias(c) for c in cuts))
-    return marked
+    tests = {c: F.lit(False) if found[i] is None else h <= F.lit(found[i]) for c, found in cuts.items()}
+    return _per_class(label, tests, F.lit(False))
 
 
 def hash_rank(df: DataFrame, key: str, seed, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
@@ -94,8 +99,8 @@ def sample_n(df: DataFrame, key: str, n: int, seed) -> DataFrame:
     """n rows in hash order (all rows when there are fewer)."""
     if n <= ORDERED_LIMIT:
         return df.orderBy(hash_text(key, seed)).limit(n)
-    size = df.agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("take"))
-    return mark_below(df, key, seed, size, ["take"]).where("take").drop("take")
+    cuts = hash_cuts(df, key, seed, {None: [min(n, df.count())]})
+    return df.where(below_cut(key, seed, cuts))
 
 
 def first_n(df: DataFrame, n: int, *order: str) -> DataFrame:
@@ -109,81 +114,64 @@ def union_rows(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def _split(df: DataFrame, key: str, seed, test: int, validation: int) -> DataFrame:
+    cuts = hash_cuts(df, key, seed, {None: [test, test + validation]})
+    part = F.when(below_cut(key, seed, cuts, 0), "test").when(below_cut(key, seed, cuts, 1), "validation")
+    return df.withColumn("split", part.otherwise("train"))
+
+
 def split_exact(df: DataFrame, key: str, seed, test: float, validation: float) -> DataFrame:
     """Add ``split``: int(test * n) test rows, int(validation * n) validation rows, the rest train."""
-    n = F.count(F.lit(1))
-    quota = df.agg(
-        F.floor(n * F.lit(test)).alias("test"),
-        (F.floor(n * F.lit(test)) + F.floor(n * F.lit(validation))).alias("validation"),
-    )
-    marked = mark_below(df, key, seed, quota, ["test", "validation"])
-    split = F.when(F.col("test"), "test").when(F.col("validation"), "validation").otherwise("train")
-    return marked.withColumn("split", split).drop("test", "validation")
+    n = df.count()
+    return _split(df, key, seed, int(test * n), int(validation * n))
 
 
 def split_three_way(df: DataFrame, key: str, seed, test: float, validation: float, train: float) -> DataFrame:
     """Cut off ceil(test * n); of the rest, ceil of validation / (validation + train) validates."""
-    n = F.count(F.lit(1))
-    tested = F.ceil(n * F.lit(test))
-    quota = df.agg(
-        tested.alias("test"),
-        (tested + F.ceil((n - tested) * F.lit(validation / (validation + train)))).alias("validation"),
-    )
-    marked = mark_below(df, key, seed, quota, ["test", "validation"])
-    split = F.when(F.col("test"), "test").when(F.col("validation"), "validation").otherwise("train")
-    return marked.withColumn("split", split).drop("test", "validation")
-
+    n = df.count()
+    tested = math.ceil(test * n)
+    return _split(df, key, seed, tested, math.ceil((n - tested) * (validation / (validation + train))))
 
-def _stratified_quota(sizes: DataFrame, label: str, test: float) -> DataFrame:
-    """Rows per class for a test share: ceil(test * n) in all, by largest remainder.
 
-    ``sizes`` has one row per class, so its windows are over a handful of rows.
-    """
-    everyone = Window.partitionBy(F.lit(1))
-    total = F.sum("n").over(everyone)
-    want = F.ceil(total * F.lit(test))
-    exact = sizes.withColumn("_want", want).withColumn("_exact", want * F.col("n") / total)
-    floored = exact.withColumn("_floor", F.floor("_exact"))
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc(F.col("_exact") - F.col("_floor")), label)
-    left = floored.withColumn("_left", F.col("_want") - F.sum("_floor").over(everyone)).withColumn(
-        "_place", F.row_number().over(order)
-    )
-    extra = (F.col("_place") <= F.col("_left")).cast("bigint")
-    return left.select(label, (F.col("_floor") + extra).alias("test"))
+def stratified_quota(sizes: dict, test: float) -> dict:
+    """Rows per class for a test share: ceil(test * n) in all, by largest remainder."""
+    total = sum(sizes.values())
+    want = math.ceil(total * test)
+    exact = {c: want * n / total for c, n in sizes.items()}
+    quota = {c: math.floor(x) for c, x in exact.items()}
+    by_remainder = sorted(sizes, key=lambda c: (quota[c] - exact[c], c))
+    for c in by_remainder[: want - sum(quota.values())]:
+        quota[c] += 1
+    return quota
 
 
 def split_stratified(df: DataFrame, key: str, label: str, seed, test: float) -> DataFrame:
     """Add ``split`` with the test share spread over the classes."""
-    quota = _stratified_quota(class_sizes(df, label), label, test)
-    marked = mark_below(df, key, seed, quota, ["test"], [label])
-    return marked.withColumn("split", F.when(F.col("test"), "test").otherwise("train")).drop("test")
+    quota = stratified_quota(class_counts(df, label), test)
+    cuts = hash_cuts(df, key, seed, {c: [q] for c, q in quota.items()}, label)
+    return df.withColumn("split", F.when(below_cut(key, seed, cuts, 0, label), "test").otherwise("train"))
 
 
 def kfold_assign(df: DataFrame, key: str, label: str, seed, k: int, name: str = "fold") -> DataFrame:
     """Add a fold number 0..k-1: each class is cut, in hash order, into k runs of even length."""
-    cuts = [f"f{i}" for i in range(1, k)]
-    sizes = class_sizes(df, label)
-    quota = sizes.select(label, *(F.floor(F.col("n") * i / k).alias(c) for i, c in enumerate(cuts, 1)))
-    marked = mark_below(df, key, seed, quota, cuts, [label])
-    fold = sum(((~F.col(c)).cast("int") for c in cuts), F.lit(0))
-    return marked.select(*df.columns, fold.alias(name))
+    quotas = {c: [n * i // k for i in range(1, k)] for c, n in class_counts(df, label).items()}
+    cuts = hash_cuts(df, key, seed, quotas, label)
+    past = [(~below_cut(key, seed, cuts, i, label)).cast("int") for i in range(k - 1)]
+    return df.withColumn(name, sum(past, F.lit(0)))
 
 
-def _draw(draws: DataFrame, pool: DataFrame, key: str, seed, by: Sequence[str] = ()) -> DataFrame:
+def _draw(draws: DataFrame, pool: DataFrame, key: str, seed, sizes: dict, label: str | None = None) -> DataFrame:
     """For each draw key, one row of the pool (of its class): position hash mod pool size.
 
-    ``draws`` has ``draw`` and ``by``. Positions are spread evenly by the hash,
-    so the join on (class, position) has no hot key.
+    ``draws`` has ``draw`` and the label, if there is one; ``sizes`` has the pool
+    size of each class. Positions are spread evenly by the hash, so the join on
+    (class, position) has no hot key.
     """
-    by = list(by)
+    by = [label] if label else []
     placed = hash_rank(pool, key, seed, by, "_pos")
-    sizes = pool.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-    if by:
-        sized = draws.join(F.broadcast(sizes), by)
-    else:
-        sized = draws.withColumn("_size", sizes.scalar())
-    aimed = sized.where("_size > 0").withColumn("_pos", F.pmod(hash_int("draw", f"{seed}:draw"), F.col("_size")))
-    return aimed.select(*by, "draw", "_pos").join(placed, [*by, "_pos"]).drop("_pos")
+    size = _per_class(label, {c: F.lit(n).cast("bigint") for c, n in sizes.items()}, F.lit(1).cast("bigint"))
+    aimed = draws.select(*by, "draw", F.pmod(hash_int("draw", f"{seed}:draw"), size).alias("_pos"))
+    return aimed.join(placed, [*by, "_pos"]).drop("_pos")
 
 
 def ratio_sample(df: DataFrame, key: str, label: str, seed, ratio: float) -> DataFrame:
@@ -193,20 +181,17 @@ def ratio_sample(df: DataFrame, key: str, label: str, seed, ratio: float) -> Dat
     Negatives are drawn with replacement when there are too few of them: each of
     ``neg`` rows of the frame stands for one draw (neg < n always).
     """
-    n, n_pos = F.count(F.lit(1)), F.count_if(F.col(label) == 1)
-    take_pos = F.least(F.floor(n / F.lit(ratio + 1)), n_pos)
-    counts = df.agg(
-        take_pos.alias("pos"), F.floor(F.lit(ratio) * take_pos).alias("neg"), F.count_if(F.col(label) == 0).alias("have")
-    )
-    short = F.col("neg") > F.col("have")
-    pos_rows = mark_below(df.where(F.col(label) == 1), key, seed, counts.select("pos"), ["pos"]).where("pos").drop("pos")
-    negatives = df.where(F.col(label) == 0)
-    plain = counts.select(F.when(short, 0).otherwise(F.col("neg")).alias("neg"))
-    neg_rows = mark_below(negatives, key, seed, plain, ["neg"]).where("neg").drop("neg")
-    drawn = counts.select(F.when(short, F.col("neg")).otherwise(0).alias("redraw"))
-    draw_keys = mark_below(df.select(key), key, seed, drawn, ["redraw"]).where("redraw").select(F.col(key).alias("draw"))
-    again = _draw(draw_keys, negatives, key, seed)
-    once = union_rows(pos_rows, neg_rows).withColumn("draw", F.col(key))
+    sizes = class_counts(df, label)
+    have_pos, have_neg = sizes.get(1, 0), sizes.get(0, 0)
+    pos = min(math.floor(sum(sizes.values()) / (ratio + 1)), have_pos)
+    neg = math.floor(ratio * pos)
+    plain = {1: [pos], 0: [neg if neg <= have_neg else 0]}
+    once = df.where(below_cut(key, seed, hash_cuts(df, key, seed, plain, label), 0, label)).withColumn("draw", F.col(key))
+    if neg <= have_neg or not have_neg:
+        return once
+    any_row = hash_cuts(df, key, seed, {None: [neg]})
+    draws = df.where(below_cut(key, seed, any_row)).select(F.col(key).alias("draw"))
+    again = _draw(draws, df.where(F.col(label) == 0), key, seed, {None: have_neg})
     return once.unionByName(again.select(*once.columns))
 
 
@@ -220,36 +205,30 @@ def generate_samples(
     return train.unionByName(held.select(*train.columns))
 
 
-def _size_of(df: DataFrame, label: str, largest: bool) -> Column:
-    """The (count, label) of the largest or smallest class; ties go to the lowest label."""
-    order = [F.desc("n") if largest else F.asc("n"), F.asc(label)]
-    return class_sizes(df, label).orderBy(*order).limit(1).select(F.struct("n", label).alias("s")).scalar()
-
-
 def oversample_minority(df: DataFrame, key: str, label: str, seed) -> DataFrame:
     """Add copies of minority rows, drawn with replacement, up to the majority's size.
 
     Each majority row past the first n_minority (in hash order) stands for one
     draw, so draws are made where the data is. ``draw`` is null for originals.
     """
-    edges = df.withColumn("_min", _size_of(df, label, False)).withColumn("_max", _size_of(df, label, True))
-    minority = edges.where(F.col(label) == F.col(f"_min.{label}")).drop("_min", "_max")
-    majority = edges.where(F.col(label) == F.col(f"_max.{label}")).select(key)
-    quota = class_sizes(df, label).agg(F.min("n").alias("keep"))
-    past = mark_below(majority, key, seed, quota, ["keep"]).where(~F.col("keep"))
-    copies = _draw(past.select(F.col(key).alias("draw")), minority, key, seed)
     originals = df.withColumn("draw", F.lit(None).cast(df.schema[key].dataType))
+    sizes = class_counts(df, label)
+    few, many = min(sizes, key=sizes.get), max(sizes, key=sizes.get)
+    if sizes[few] == sizes[many]:
+        return originals
+    cuts = hash_cuts(df, key, seed, {many: [sizes[few]]}, label)
+    past = df.where((F.col(label) == many) & ~below_cut(key, seed, cuts, 0, label)).select(F.col(key).alias("draw"))
+    copies = _draw(past, df.where(F.col(label) == few), key, seed, {None: sizes[few]})
     return originals.unionByName(copies.select(*originals.columns))
 
 
 def undersample_majority(df: DataFrame, key: str, label: str, seed, share: float = 0.55) -> DataFrame:
     """Keep int(n_minority / share) rows of the majority class and all others."""
-    sizes = class_sizes(df, label)
-    everyone = Window.partitionBy(F.lit(1))
-    biggest = F.row_number().over(everyone.orderBy(F.desc("n"), label)) == 1
-    fewer = F.least(F.floor(F.min("n").over(everyone) / F.lit(share)), F.col("n"))
-    quota = sizes.select(label, F.when(biggest, fewer).otherwise(F.col("n")).alias("keep"))
-    return mark_below(df, key, seed, quota, ["keep"], [label]).where("keep").drop("keep")
+    sizes = class_counts(df, label)
+    many = max(sizes, key=sizes.get)
+    keep = min(int(min(sizes.values()) / share), sizes[many])
+    cuts = hash_cuts(df, key, seed, {many: [keep]}, label)
+    return df.where((F.col(label) != many) | below_cut(key, seed, cuts, 0, label))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -263,14 +242,18 @@ def weighted_bootstrap(df: DataFrame, key: str, label: str, seed) -> DataFrame:
     Under these weights every class is equally likely: each row stands for one
     draw, its hash picks the class, and a second hash a row within it.
     """
-    classes = class_sizes(df, label).agg(F.sort_array(F.collect_list(label)).alias("c")).scalar()
-    draws = df.select(F.col(key).alias("draw")).withColumn("_classes", classes)
-    pick = F.pmod(hash_int("draw", f"{seed}:class"), F.size("_classes")).cast("int")
-    draws = draws.select("draw", F.get("_classes", pick).alias(label))
-    return _draw(draws, df, key, seed, [label])
+    sizes = class_counts(df, label)
+    classes = F.array(*(F.lit(c) for c in sizes))
+    draws = df.select(F.col(key).alias("draw"))
+    pick = F.pmod(hash_int("draw", f"{seed}:class"), F.lit(len(sizes))).cast("int")
+    draws = draws.select("draw", F.get(classes, pick).alias(label))
+    return _draw(draws, df, key, seed, sizes, label)
 
 
 def balance_table(label: str, **frames: DataFrame) -> DataFrame:
     """Class counts of several row sets, one row per (set, class)."""
-    parts = [class_sizes(f, label, "count").select(F.lit(name).alias("training_set"), label, "count") for name, f in frames.items()]
+    parts = [
+        class_sizes(f, label, "count").select(F.lit(name).alias("training_set"), label, "count")
+        for name, f in frames.items()
+    ]
     return union_rows(*parts)

@@ -1,4 +1,8 @@
-"""Scaling, imputing and binning of numeric cells in long form (code, value)."""
+"""Scaling, imputing and binning of numeric cells in long form (code, value).
+
+``groups`` is a known upper bound on the number of codes; within
+BROADCAST_GROUPS the fitted statistics, one row per code, are broadcast.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,9 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from admitflow.operators.totals import BROADCAST_GROUPS, quantiles
+from admitflow.operators.totals import quantiles
+
+BROADCAST_GROUPS = 5000  # statistics of at most this many codes are broadcast
 
 
 def _with_stats(cells: DataFrame, stats: DataFrame, by: Sequence[str], groups: int | None) -> DataFrame:
@@ -18,9 +24,9 @@ def _with_stats(cells: DataFrame, stats: DataFrame, by: Sequence[str], groups: i
     return cells.join(stats, list(by), "left")
 
 
-def fit_spread(cells: DataFrame, value: str, by: Sequence[str], low: float, high: float, groups: int | None = None) -> DataFrame:
+def fit_spread(cells: DataFrame, value: str, by: Sequence[str], low: float, high: float) -> DataFrame:
     """Per code: ``low`` and ``high`` percentile and the median, exact."""
-    return quantiles(cells, value, {"low": low, "median": 0.5, "high": high}, by, groups).drop("n")
+    return quantiles(cells, value, {"low": low, "median": 0.5, "high": high}, by).drop("n")
 
 
 def scaled(value: Column, median: Column, denominator: Column) -> Column:
@@ -30,7 +36,7 @@ def scaled(value: Column, median: Column, denominator: Column) -> Column:
 
 def scale_p1_p99(cells: DataFrame, value: str, by: Sequence[str], groups: int | None = None) -> DataFrame:
     """(x - median) / (p1 - p99). The denominator is negative: the sign flips."""
-    stats = fit_spread(cells, value, by, 0.01, 0.99, groups)
+    stats = fit_spread(cells, value, by, 0.01, 0.99)
     joined = _with_stats(cells, stats, by, groups)
     out = scaled(F.col(value), F.col("median"), F.col("low") - F.col("high"))
     return joined.withColumn(value, out).drop("low", "median", "high")
@@ -38,7 +44,7 @@ def scale_p1_p99(cells: DataFrame, value: str, by: Sequence[str], groups: int |
 
 def scale_iqr(cells: DataFrame, reference: DataFrame, value: str, by: Sequence[str], groups: int | None = None) -> DataFrame:
     """(x - median) / (p75 - p25), with the statistics of ``reference``."""
-    stats = fit_spread(reference, value, by, 0.25, 0.75, groups)
+    stats = fit_spread(reference, value, by, 0.25, 0.75)
     joined = _with_stats(cells, stats, by, groups)
     out = scaled(F.col(value), F.col("median"), F.col("high") - F.col("low"))
     return joined.withColumn(value, out).drop("low", "median", "high")
@@ -46,7 +52,7 @@ def scale_iqr(cells: DataFrame, reference: DataFrame, value: str, by: Sequence[s
 
 def impute_median(cells: DataFrame, value: str, by: Sequence[str], groups: int | None = None) -> DataFrame:
     """Fill null cells with the exact median of their code."""
-    stats = quantiles(cells, value, {"median": 0.5}, by, groups).drop("n")
+    stats = quantiles(cells, value, {"median": 0.5}, by).drop("n")
     joined = _with_stats(cells, stats, by, groups)
     return joined.withColumn(value, F.coalesce(F.col(value), F.col("median"))).drop("median")
 

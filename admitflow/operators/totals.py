@@ -1,8 +1,9 @@
 """Running totals and exact quantiles that never put a whole group in one task.
 
-Both work in two levels. Rows are first summed per (group, value). Values are
-then cut into ranges; totals of earlier ranges give each range its starting
-point, and a window runs only inside one range of one group.
+Both work in two levels. Rows are first summed per (group, value) and laid out
+by range, so that each partition holds a stretch of one or more groups. Totals
+of earlier stretches give each stretch its starting point, and a window runs
+only inside one stretch of one group.
 """
 
 from __future__ import annotations
@@ -13,104 +14,82 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANGES = 200  # ranges per group; about 1/200 of a group's distinct values meet in a task
-SPLIT_ACCURACY = 2000
-BROADCAST_GROUPS = 5000  # a split table of at most this many groups is broadcast
+from admitflow.session import cut_lineage
 
 
-def range_bucket(df: DataFrame, order: str, by: Sequence[str] = (), groups: int | None = None) -> DataFrame:
-    """Add ``_range``: which of about RANGES quantile ranges of its group a value is in.
+def range_bucket(df: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``_range``, the range partition of (by, order) a row falls in.
 
-    The quantiles are approximate, which changes only how even the ranges are.
-    ``groups`` is a known upper bound on the number of groups.
+    Spark's range partitioner samples the rows for even splits, so a large group
+    spreads over many partitions. The result is checkpointed: it is the one pass
+    over what made ``df``, and it fixes the partition numbers.
     """
-    steps = [i / RANGES for i in range(1, RANGES)]
-    sketch = F.percentile_approx(order, steps, SPLIT_ACCURACY).alias("_splits")
-    if by:
-        splits = df.groupBy(*by).agg(sketch)
-        if groups is not None and groups <= BROADCAST_GROUPS:
-            splits = F.broadcast(splits)
-        marked = df.join(splits, list(by))
-    else:
-        marked = df.withColumn("_splits", df.agg(sketch).scalar())
-    below = F.size(F.filter(F.col("_splits"), lambda s: s < F.col(order)))
-    return marked.withColumn("_range", below).drop("_splits")
+    return cut_lineage(df.repartitionByRange(*by, order).withColumn("_range", F.spark_partition_id()))
 
 
 def running_totals(
     df: DataFrame,
     by: Sequence[str],
-    order: str,
+    order: Sequence[str],
     sums: Sequence[str],
     bucket: str,
     descending: bool = False,
     inclusive: bool = True,
 ) -> DataFrame:
-    """Add ``<c>_run`` for each of ``sums``: its total up to this row of the group.
+    """Add ``<c>_run``, the total of c up to this row of the group, and ``<c>_all``, the group's total.
 
     ``order`` must be unique within (by, bucket), and ``bucket`` must grow with
-    ``order`` within a group.
+    its first column within a group.
     """
     by = list(by)
     direction = F.desc if descending else F.asc
-    per_bucket = df.groupBy(*by, bucket).agg(*(F.sum(c).alias(f"{c}_start") for c in sums))
+    per_bucket = df.groupBy(*by, bucket).agg(*(F.sum(c).alias(f"{c}_here") for c in sums))
     ahead = Window.partitionBy(*by).orderBy(direction(bucket)).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    # One row per range of a group reaches these two windows.
     starts = per_bucket.select(
-        *by, bucket, *(F.coalesce(F.sum(f"{c}_start").over(ahead), F.lit(0)).alias(f"{c}_start") for c in sums)
+        *by,
+        bucket,
+        *(F.coalesce(F.sum(f"{c}_here").over(ahead), F.lit(0)).alias(f"{c}_start") for c in sums),
+        *(F.sum(f"{c}_here").over(whole).alias(f"{c}_all") for c in sums),
     )
     upto = (
         Window.partitionBy(*by, bucket)
-        .orderBy(direction(order))
+        .orderBy(*(direction(c) for c in order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     )
     joined = df.join(starts, [*by, bucket])
-    out = joined.select(
+    return joined.select(
         *df.columns,
         *((F.col(f"{c}_start") + F.coalesce(F.sum(c).over(upto), F.lit(0))).alias(f"{c}_run") for c in sums),
+        *(f"{c}_all" for c in sums),
     )
-    return out
 
 
-def _at_rank(rank: Column, value: str) -> Column:
-    covers = (F.col("_n_run") - F.col("_n") <= rank) & (rank < F.col("_n_run"))
-    return F.max(F.when(covers, F.col(value)))
+def _covers(rank: Column) -> Column:
+    return (F.col("_n_run") - F.col("_n") <= rank) & (rank < F.col("_n_run"))
 
 
-def quantiles(
-    df: DataFrame,
-    value: str,
-    probs: dict[str, float],
-    by: Sequence[str] = (),
-    groups: int | None = None,
-) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
     ``probs`` maps output names to probabilities. Nulls are left out; a group of
     only nulls gives no row (without ``by``: one row of nulls). Also returns
-    ``n``, the number of values.
+    ``n``, the number of values. The source rows are read once, to count
+    (group, value) pairs; the rest works on those counts.
     """
     by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = range_bucket(counts, value, by, groups)
-    run = running_totals(ranged, by, value, ["_n"], bucket="_range")
-    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("n"))
-    if by:
-        sized = run.join(F.broadcast(sizes) if groups is not None and groups <= BROADCAST_GROUPS else sizes, by)
-    else:
-        sized = run.withColumn("n", sizes.scalar())
-    place = {name: (F.col("n") - 1) * F.lit(float(p)) for name, p in probs.items()}
+    run = running_totals(range_bucket(counts, value, by), by, [value], ["_n"], bucket="_range")
+    place = {name: (F.col("_n_all") - 1) * F.lit(float(p)) for name, p in probs.items()}
     wanted = F.lit(False)
-    for at in place.values():
-        for rank in (F.floor(at), F.ceil(at)):
-            wanted = wanted | ((F.col("_n_run") - F.col("_n") <= rank) & (rank < F.col("_n_run")))
     ends = []
     for name, at in place.items():
-        ends += [
-            _at_rank(F.floor(at), value).alias(f"_{name}_lo"),
-            _at_rank(F.ceil(at), value).alias(f"_{name}_hi"),
-        ]
-    found = sized.where(wanted).groupBy(*by).agg(F.max("n").alias("n"), *ends)
-    out = [F.col(c) for c in by] + [F.col("n")]
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            wanted = wanted | _covers(rank)
+            ends.append(F.max(F.when(_covers(rank), F.col(value))).alias(f"_{name}_{side}"))
+    found = run.where(wanted).groupBy(*by).agg(F.max("_n_all").alias("_n_all"), *ends)
+    out = [F.col(c) for c in by] + [F.col("_n_all").alias("n")]
     for name, at in place.items():
         lo, hi = F.col(f"_{name}_lo").cast("double"), F.col(f"_{name}_hi").cast("double")
         out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))

@@ -1,15 +1,16 @@
 """The feature table of all admissions still open at their index date.
 
-Two steps. ``fit_features`` runs the aggregations whose results become part of
+Three steps. ``feature_blocks`` cuts each source down to the rows that matter and
+stores them. ``fit_features`` runs the aggregations whose results become part of
 the schema or of the arithmetic (codes, levels, medians, bins); each is a small
-table. ``feature_table`` is then one lazy plan. Every feature is written as
+table. ``feature_table`` is then one lazy plan over the blocks. Every feature is written as
 facts (key, name, value); one pivot over the known names lays them out, so the
 blocks need no joins with one another and a missing fact becomes 0.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ from admitflow.operators import events, joins, profile, reshape, scale
 from admitflow.operators.population import still_admitted
 from admitflow.params import Params
 from admitflow.presets import clinical
+from admitflow.session import cut_lineage
 
 KEY = "hadm_id"
 _STATIC_MARK, _LAB_MARK = "_in_population", "_has_labs"
@@ -168,7 +170,9 @@ def _numeric_cells(cells: DataFrame, numeric: Sequence[str], static: DataFrame,
 
 
 @dataclass(frozen=True)
-class _Blocks:
+class Blocks:
+    """The rows features are made of, each far smaller than its source."""
+
     static: DataFrame
     labs: DataFrame
     cells: DataFrame
@@ -177,20 +181,29 @@ class _Blocks:
     indicators: list[DataFrame]
 
 
-def _blocks(src: Sources, params: Params, rules: Rules, labs: DataFrame | None) -> _Blocks:
+def feature_blocks(
+    src: Sources,
+    params: Params,
+    rules: Rules = Rules(),
+    labs: DataFrame | None = None,
+    keep: Callable[[DataFrame], DataFrame] = cut_lineage,
+) -> Blocks:
+    """Build the blocks. ``keep`` stores those that the fit and the table both
+    read, so each source is read once; ``labs`` may be a stage of ``lab_events``.
+    """
     pop = population(src, params)
-    labs = lab_events(src, pop, rules, params) if labs is None else labs
-    return _Blocks(
-        static=static_rows(src, pop, rules),
+    labs = keep(lab_events(src, pop, rules, params)) if labs is None else labs
+    return Blocks(
+        static=keep(static_rows(src, pop, rules)),
         labs=labs,
         cells=lab_cells(labs, rules),
-        drugs=drug_rows(src, pop, rules),
-        prev=previous_counts(src, pop, params),
+        drugs=keep(drug_rows(src, pop, rules)),
+        prev=keep(previous_counts(src, pop, params)),
         indicators=indicator_rows(src, pop, rules),
     )
 
 
-def _text_cells(b: _Blocks, text: Sequence[str], static: Sequence[str]) -> DataFrame:
+def _text_cells(b: Blocks, text: Sequence[str], static: Sequence[str]) -> DataFrame:
     """(key, column, level) of the categorical labs and static columns of admissions with both."""
     lab_keys = b.labs.select(KEY).distinct()
     rows = b.static.join(lab_keys, KEY, "left_semi").select(KEY, *static)
@@ -227,15 +240,12 @@ def _collect_levels(cells: DataFrame) -> dict[str, list[str]]:
     return {c: sorted(v) for c, v in sorted(found.items())}
 
 
-def fit_features(
-    src: Sources, params: Params, rules: Rules = Rules(), binned: bool = False, labs: DataFrame | None = None
-) -> FeatureSpec:
-    """Find codes, column kinds, levels and statistics. ``labs`` is a stage of ``lab_events``.
+def fit_features(b: Blocks, params: Params, rules: Rules = Rules(), binned: bool = False) -> FeatureSpec:
+    """Find codes, column kinds, levels and statistics.
 
     Sparsity and kinds are judged over all admissions with a lab event; scaling
     and binning over those also in the population.
     """
-    b = _blocks(src, params, rules, labs)
     lab_keys = b.labs.select(KEY).distinct()
     n_rows = lab_keys.count()
     flags = reshape.vocabulary(b.labs, "code")
@@ -248,7 +258,7 @@ def fit_features(
         fitted = scale.fit_bins(numbers, "x", ["code"])
         stats = [tuple(r) for r in fitted.select("code", "bin_lo", "bin_step", F.col("bin_count").cast("int")).collect()]
     else:
-        spread = scale.fit_spread(numbers, "x", ["code"], 0.01, 0.99, groups=len(numeric) + 2)
+        spread = scale.fit_spread(numbers, "x", ["code"], 0.01, 0.99)
         stats = [tuple(r) for r in spread.select("code", "median", (F.col("low") - F.col("high")).alias("width")).collect()]
     cells = _text_cells(b, text, rules.static)
     if binned:
@@ -264,7 +274,7 @@ def _level_name(column, level):
     return F.concat(column, F.lit("_"), level)
 
 
-def _facts(b: _Blocks, spec: FeatureSpec, rules: Rules) -> DataFrame:
+def _facts(b: Blocks, spec: FeatureSpec, rules: Rules) -> DataFrame:
     """Every feature as (key, name, value), with marks for the two inner-joined sides."""
     spark = b.labs.sparkSession
     lab_keys = b.labs.select(KEY).distinct()
@@ -316,11 +326,8 @@ def _output_columns(spec: FeatureSpec) -> list[tuple[str, Column]]:
     return sorted(out.items())
 
 
-def feature_table(
-    src: Sources, params: Params, spec: FeatureSpec, rules: Rules = Rules(), labs: DataFrame | None = None
-) -> DataFrame:
+def feature_table(b: Blocks, spec: FeatureSpec, rules: Rules = Rules()) -> DataFrame:
     """One row per admission in the population that has a lab event; all features as doubles."""
-    b = _blocks(src, params, rules, labs)
     names = [_STATIC_MARK, _LAB_MARK, *spec.drugs, "wounds", "intubation", "antibiotic_yn"]
     if not spec.binned:
         names += [*spec.numeric, "age", "n_admits", *(f"{c}_flag" for c in spec.flags)]
@@ -333,5 +340,6 @@ def feature_table(
 def build_features(
     src: Sources, params: Params, rules: Rules = Rules(), binned: bool = False, labs: DataFrame | None = None
 ) -> tuple[DataFrame, FeatureSpec]:
-    spec = fit_features(src, params, rules, binned, labs)
-    return feature_table(src, params, spec, rules, labs), spec
+    b = feature_blocks(src, params, rules, labs)
+    spec = fit_features(b, params, rules, binned)
+    return feature_table(b, spec, rules), spec

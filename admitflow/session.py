@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every plan relies on. Shuffle width is left to the cluster:
 # AQE merges small partitions and splits skewed ones.
@@ -29,6 +29,7 @@ def local_session(app: str = "admitflow", cores: int | str = "*", memory: str =
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
         .getOrCreate()
@@ -51,3 +52,25 @@ def shared_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="admitflow-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Compute a compact intermediate once, into the shared checkpoint folder.
+
+    What is read from it afterwards does not go back to the source rows, and it
+    survives the loss of executors.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input has fewer splits than cores.
+
+    For work that is heavy per row, such as text cleaning, on a few files that
+    cannot be split. A large input has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -1 +1,5 @@
 """Registered queries: every operator on the shared test tables, with its DuckDB equivalent."""
+
+from workload import aggregates, evaluation, features, filters, joins, sampled, shaping, sources
+
+ALL_MODULES = (sources, filters, joins, aggregates, shaping, sampled, evaluation, features)

@@ -6,6 +6,7 @@ from admitflow.functions import recode, text, times
 from admitflow.operators import labels, population, reshape
 from admitflow.plans.features import clinical_static, recode_labs
 from admitflow.presets import clinical
+from admitflow.session import spread
 from workload.registry import query
 
 
@@ -321,7 +322,7 @@ def flag_recode(t):
     from documents""",
 )
 def clean_text(t):
-    return t("documents").select("doc_id", text.clean_text("text").alias("clean_tx"))
+    return spread(t("documents").select("doc_id", "text")).select("doc_id", text.clean_text("text").alias("clean_tx"))
 
 
 @query(
@@ -349,6 +350,6 @@ def cast_types(t):
     return t.labs.select(
         F.col("hadm_id").cast("string").alias("id_text"),
         F.col("valuenum").cast("int").alias("number"),
-        F.col("value").try_cast("int").alias("from_text"),
+        recode.to_whole("value").alias("from_text"),
         F.col("flag").isNotNull().cast("int").alias("flagged"),
     )
