@@ -66,8 +66,8 @@ def _ratio_sql(source: str, ratio: float) -> str:
     size as (select pos, floor({ratio}::double * pos) as neg, have from quota),
     ranked as (select id, y, {_CLASS_RANK} as r, row_number() over (order by md5(id::varchar || ':11')) - 1 as g from src),
     once as (select id, y, id as draw from ranked, size where (y = 1 and r < pos) or (y = 0 and neg <= have and r < neg)),
-    again as (select x.id, x.y, d.draw from (select id as draw from ranked, size where neg > have and g < neg) d, size
-      join ranked x on x.y = 0 and x.r = {_DRAW} % have)
+    aimed as (select draw, {_DRAW} % have as r from (select id as draw, have from ranked, size where neg > have and g < neg)),
+    again as (select x.id, x.y, d.draw from aimed d join ranked x on x.y = 0 and x.r = d.r)
     select id, y, draw from once union all select id, y, draw from again"""
 
 
@@ -104,8 +104,9 @@ def generate_samples(t):
     sizes as (select count(*) filter (y = 1) as few from labelled)
     select id, y, null::bigint as draw from labelled
     union all
-    select m.id, m.y, d.draw from (select id as draw, few from ranked, sizes where y = 0 and r >= few) d
-      join ranked m on m.y = 1 and m.r = {_DRAW} % few""",
+    select m.id, m.y, d.draw from (
+      select draw, {_DRAW} % few as r from (select id as draw, few from ranked, sizes where y = 0 and r >= few)) d
+      join ranked m on m.y = 1 and m.r = d.r""",
 )
 def oversample_minority(t):
     return sampling.oversample_minority(t.labelled.select("id", "y"), "id", "y", SEED)
@@ -130,8 +131,9 @@ def class_weights(t):
     "weighted_bootstrap",
     f"""
     with ranked as (select id, y, {_CLASS_RANK} as r, count(*) over (partition by y) as n from labelled),
-    draws as (select id as draw, ('0x' || substr(md5(id::varchar || ':11:class'), 1, 8))::bigint % 2 as y from labelled)
-    select d.y, d.draw, x.id from draws d join ranked x on x.y = d.y and x.r = {_DRAW} % x.n""",
+    draws as (select id as draw, ('0x' || substr(md5(id::varchar || ':11:class'), 1, 8))::bigint % 2 as y from labelled),
+    aimed as (select d.y, d.draw, {_DRAW} % c.n as r from draws d join (select y, count(*) as n from labelled group by 1) c on c.y = d.y)
+    select d.y, d.draw, x.id from aimed d join ranked x on x.y = d.y and x.r = d.r""",
 )
 def weighted_bootstrap(t):
     return sampling.weighted_bootstrap(t.labelled.select("id", "y"), "id", "y", SEED).select("y", "draw", "id")
