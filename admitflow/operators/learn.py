@@ -190,7 +190,7 @@ def feature_importance(model: PipelineModel, df: DataFrame, top: int | None = No
     """(rank, label, importance) of the features of a fitted tree model, highest first."""
     names = model.stages[0].getInputCols()
     values = model.stages[-1].featureImportances.toArray()
-    table = _table(df, [(n, float(v)) for n, v in zip(names, values)], "label string, importance double")
+    table = df.sparkSession.createDataFrame([(n, float(v)) for n, v in zip(names, values)], "label string, importance double")
     return evaluate.rank_table(table, "label", "importance", top)
 
 

@@ -175,7 +175,7 @@ def _draw(draws: DataFrame, pool: DataFrame, key: str, seed, sizes: dict, label:
 
 
 def ratio_sample(df: DataFrame, key: str, label: str, seed, ratio: float) -> DataFrame:
-    """Positives : negatives = 1 : ratio. Adds ``draw``, unique per output row.
+    """Positives : negatives = 1 : ratio. Adds ``draw``, unique within a class.
 
     pos = min(floor(n / (ratio + 1)), available), neg = floor(ratio * pos).
     Negatives are drawn with replacement when there are too few of them: each of
