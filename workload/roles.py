@@ -37,7 +37,7 @@ ROLE_SQL = {
     "lab_items": """
         select p_partkey as itemid, p_name as label,
                case p_partkey % 3 when 0 then 'Ascites' when 1 then 'Blood' else 'URINE' end as fluid,
-               p_brand as category, p_type as loinc_code
+               p_brand as category, 'L' || p_partkey as loinc_code
         from part""",
     "microbiology": """
         select l_orderkey as hadm_id, case when l_tax = 0 then null else l_shipdate end as charttime,
@@ -162,7 +162,7 @@ class Tables:
             F.col("p_name").alias("label"),
             F.when(third == 0, "Ascites").when(third == 1, "Blood").otherwise("URINE").alias("fluid"),
             F.col("p_brand").alias("category"),
-            F.col("p_type").alias("loinc_code"),
+            F.concat(F.lit("L"), F.col("p_partkey").cast("string")).alias("loinc_code"),
         )
 
     @cached_property
