@@ -10,7 +10,6 @@ from pyspark.sql.window import Window
 
 from admitflow.functions import recode, text, times
 from admitflow.operators.totals import running_totals
-from admitflow.session import spread
 
 
 def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -48,7 +47,7 @@ def keyword_flag(notes: DataFrame, key: str, words: Sequence[str], name: str, bo
     and not once per word.
     """
     cleaned = F.array(text.clean_text(body))
-    hits = spread(notes.select(key, body)).where(F.exists(cleaned, lambda tx: recode.contains_any(tx, words)))
+    hits = notes.where(F.exists(cleaned, lambda tx: recode.contains_any(tx, words)))
     return any_event(hits, key, name)
 
 
@@ -79,9 +78,8 @@ def count_before(
 
 
 def first_event_hours(events: DataFrame, keys: Sequence[str], admitted: str, at: str, name: str = "hours") -> DataFrame:
-    """Whole hours (seconds / 3600, floored) from admission to the first event."""
-    elapsed = F.floor(times.whole_units("SECOND", admitted, at) / F.lit(3600))
-    return events.groupBy(*keys).agg(F.min(elapsed).cast("int").alias(name))
+    """Whole hours from admission to the first event; an event up to 59 minutes before is at hour 0."""
+    return events.groupBy(*keys).agg(F.min(times.whole_units("HOUR", admitted, at)).cast("int").alias(name))
 
 
 def item_counts(events: DataFrame, dims: Sequence[str], at_least: int = 1, name: str = "cnt") -> DataFrame:

@@ -19,7 +19,6 @@ def window_join(
     end: Column,
     keep: Column,
     bucket_days: int,
-    how: str = "inner",
 ) -> DataFrame:
     """Pair points with the spans of the same ``on`` that hold them.
 
@@ -28,37 +27,55 @@ def window_join(
     buckets of ``bucket_days``: a point lies in one bucket and a span is copied
     to each bucket it touches, so each pair meets exactly once. The join key is
     (on, bucket): a subject with very many rows spreads over its buckets, and
-    only rows near in time are compared. ``how`` is "inner" or "left_semi"
-    (points that match any span).
+    only rows near in time are compared.
     """
-    bucket = "_bucket"
-    number = lambda moment: F.floor(times.day_number(moment) / F.lit(bucket_days))
-    left = points.withColumn(bucket, number(F.col(at)))
-    right = spans.withColumn(bucket, F.explode(F.sequence(number(start), number(end)))).withColumnRenamed(on, "_on")
-    matched = left.join(
-        right,
-        (left[on] == right["_on"]) & (left[bucket] == right[bucket]) & keep,
-        how,
+    left = points.withColumn("_bucket", _bucket(F.col(at), bucket_days))
+    right = _copied_to_buckets(spans, start, end, bucket_days).withColumnRenamed(on, "_on")
+    matched = left.join(right, (left[on] == right["_on"]) & (left["_bucket"] == right["_bucket"]) & keep)
+    return matched.drop(left["_bucket"]).drop(right["_bucket"]).drop("_on")
+
+
+def _bucket(moment: Column, bucket_days: int) -> Column:
+    return F.floor(times.day_number(moment) / F.lit(bucket_days))
+
+
+def _copied_to_buckets(spans: DataFrame, start: Column, end: Column, bucket_days: int) -> DataFrame:
+    return spans.withColumn("_bucket", F.explode(F.sequence(_bucket(start, bucket_days), _bucket(end, bucket_days))))
+
+
+def events_in_lookback(
+    events: DataFrame, population: DataFrame, days: int = 7, on: str = "subject_id", at: str = "charttime"
+) -> DataFrame:
+    """The events that ``lookback_events`` pairs with at least one admission, once each.
+
+    A span lasts at least ``days`` + 1 days, the width of a bucket, so within a
+    bucket it covers the bucket's start or its end. All spans of a subject in a
+    bucket therefore come down to two moments, the latest end of those over its
+    start and the earliest beginning of those over its end: one row per (subject,
+    bucket) to join, however many admissions there are.
+    """
+    width = days + 1
+    oldest, index = F.col("admittime") - times.days(days + 1), F.col("index_date")
+    spans = _copied_to_buckets(population.select(on, "admittime", "index_date"), oldest, index, width)
+    first_moment = lambda number: F.date_from_unix_date((number * width).cast("int")).cast(population.schema["index_date"].dataType)
+    over_start = oldest < first_moment(F.col("_bucket"))
+    over_end = index >= first_moment(F.col("_bucket") + 1)
+    bounds = spans.groupBy(on, "_bucket").agg(
+        F.max(F.when(over_start, index)).alias("_upto"), F.min(F.when(over_end, oldest)).alias("_since")
     )
-    if how == "left_semi":
-        return matched.drop(bucket)
-    return matched.drop(left[bucket]).drop(right[bucket]).drop("_on")
+    near = events.withColumn("_bucket", _bucket(F.col(at), width)).join(bounds, [on, "_bucket"])
+    inside = F.coalesce(F.col(at) <= F.col("_upto"), F.lit(False)) | F.coalesce(F.col(at) > F.col("_since"), F.lit(False))
+    return near.where(inside).select(*(near[c] for c in events.columns))
 
 
 def lookback_events(
-    events: DataFrame,
-    population: DataFrame,
-    days: int = 7,
-    on: str = "subject_id",
-    at: str = "charttime",
-    how: str = "inner",
+    events: DataFrame, population: DataFrame, days: int = 7, on: str = "subject_id", at: str = "charttime"
 ) -> DataFrame:
     """Events of a subject at or before an index date and at most ``days`` whole
-    days before that admission. An event may match several admissions; with
-    ``how="left_semi"`` it is kept once if it matches any.
+    days before that admission, once per admission they match.
 
-    ``population`` has ``index_date`` and ``admittime``; for an inner join its
-    other columns must not clash with those of ``events``.
+    ``population`` has ``index_date`` and ``admittime``; its other columns must
+    not clash with those of ``events``.
     """
     at_col, admitted, index = F.col(at), F.col("admittime"), F.col("index_date")
     oldest = admitted - times.days(days + 1)
@@ -71,7 +88,6 @@ def lookback_events(
         end=index,
         keep=(at_col <= index) & (at_col > oldest),
         bucket_days=days + 2,
-        how=how,
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -55,10 +55,20 @@ def perceptron(inputs: int, nodes: Sequence[int], epochs: int = 10, seed: int =
 
 
 def fit(df: DataFrame, features: Sequence[str], estimator: Estimator) -> PipelineModel:
-    """Assemble the features and fit; adds balanced weights if the estimator uses them."""
-    if estimator.hasParam("weightCol") and estimator.isSet("weightCol"):
-        df = balanced(df, estimator.getLabelCol(), estimator.getWeightCol())
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), estimator]).fit(df)
+    """Assemble the features and fit; adds balanced weights if the estimator uses them.
+
+    Training passes over the rows many times, so the assembled vectors are
+    persisted (memory, then disk) while it lasts.
+    """
+    label = estimator.getLabelCol()
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    rows = assembler.transform(df).select("features", label).persist()
+    try:
+        if estimator.hasParam("weightCol") and estimator.isSet("weightCol"):
+            return PipelineModel(stages=[assembler, estimator.fit(balanced(rows, label, estimator.getWeightCol()))])
+        return PipelineModel(stages=[assembler, estimator.fit(rows)])
+    finally:
+        rows.unpersist()
 
 
 def score(model: Model, df: DataFrame, key: str, label: str = "y") -> DataFrame:

@@ -38,7 +38,7 @@ def pivot_flags(df: DataFrame, key: str, code: str, flag: Column, codes: Sequenc
 
 def one_hot(df: DataFrame, key: str, code: str, codes: Sequence) -> DataFrame:
     """0/1 column per code that occurs with the key."""
-    marked = df.where(F.col(code).isin(list(codes))).select(key, code, F.lit(1).alias("_one"))
+    marked = df.where(F.col(code).isin(list(codes))).select(key, code).distinct().withColumn("_one", F.lit(1))
     return pivot_values(marked, key, code, "_one", codes).fillna(0)
 
 

@@ -115,15 +115,13 @@ def lab_events(src: Sources, pop: DataFrame, rules: Rules, params: Params) -> Da
     seen in the look-back of any index date of the subject.
 
     An event that matches several admissions would come out once per match and
-    be picked once; the semi join keeps it once from the start.
+    be picked once; here it is kept once from the start.
     """
     fluid = F.lower("fluid")
     wanted = src.lab_items.where(recode.contains_any(fluid, rules.fluids)).select("itemid")
     measured = src.labs.withColumn("value", recode.prefer_number("valuenum", "value"))
     measured = measured.where(F.col("value").isNotNull() & F.col(KEY).isNotNull()).join(wanted, "itemid", "left_semi")
-    seen = joins.lookback_events(
-        measured, pop.select("subject_id", "index_date", "admittime"), params.lab_lookback_days, how="left_semi"
-    )
+    seen = joins.events_in_lookback(measured, pop, params.lab_lookback_days)
     last = events.keep_last(seen, [KEY, "itemid"], "charttime", ["value", "flag"])
     return last.select(KEY, F.col("itemid").cast("string").alias("code"), "value", "flag")
 

@@ -36,6 +36,7 @@ class ResearchRules(features.Rules):
     strips: Sequence[tuple[str, str]] = tuple(clinical.MEASUREMENT_STRIPS)
     failures: Sequence[str] = tuple(clinical.FAILURE_MESSAGES)
     reference_levels: Sequence[str] = tuple(clinical.RESEARCH_REFERENCE_LEVELS)
+    unusable: Sequence[str] = tuple(clinical.UNUSABLE_LOINC)
 
 
 def important_labs(src: Sources, tests: DataFrame, rules: ResearchRules) -> DataFrame:
@@ -78,13 +79,14 @@ def research_table(src: Sources, tests: DataFrame, rules: ResearchRules, params:
     # The catalogue has one row per lab item.
     codes = cut_lineage(important_labs(src, tests, rules).where(F.col("cnt") >= rules.common).select("itemid", "loinc_code"))
     measured = _measured(src, codes)
-    seen = joins.lookback_events(measured.where(F.col(KEY).isNotNull()), cohort, params.lab_lookback_days, how="left_semi")
+    seen = joins.events_in_lookback(measured.where(F.col(KEY).isNotNull()), cohort, params.lab_lookback_days)
     first = events.keep_first(seen, ["subject_id", KEY, "loinc_code"], "charttime", ["itemid", "value"])
     cells = cut_lineage(
         first.join(cohort.select(KEY), KEY, "left_semi").select(KEY, F.col("loinc_code").alias("code"), "value")
     )
     all_values = _cleaned(measured.select(F.col("loinc_code").alias("code"), "value"), rules)
     kinds = {r["code"]: r["kind"] for r in profile.code_kinds(profile.code_profile(all_values)).collect()}
+    kinds = {c: k for c, k in kinds.items() if c not in rules.unusable}
     numeric = sorted(c for c, k in kinds.items() if k == "numeric")
     words = sorted(c for c, k in kinds.items() if k == "categorical")
 

@@ -61,6 +61,9 @@ FAILURE_MESSAGES = [
     "UNABLE TO REPORT",
 ]
 
+# Codes without usable values: only "inf" and "nan", only "See comments", only "Random".
+UNUSABLE_LOINC = ["26498-6", "33914-3", "13362-9"]
+
 # Midpoints of counted ranges, shared by three urine counts.
 RANGE_MIDPOINTS = {
     "0-2": "1.0", "3-5": "4.0", "11-20": "15.0", ">50": "80.0", "6-10": "8.0", "21-50": "35.0", "<1": "0.01",

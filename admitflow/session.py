@@ -67,10 +67,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input has fewer splits than cores.
+    """Rows of a table scan over all cores, when it has fewer splits than cores.
 
     For work that is heavy per row, such as text cleaning, on a few files that
     cannot be split. A large input has more splits than cores and is left alone.
+    Give it scans only: to count the splits of a plan with shuffles, Spark would
+    run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -41,12 +41,17 @@ def test_population_window(spark):
     assert values(population.still_admitted(df, 24, closed=False), "hadm_id") == [0, 1, 2]
 
 
-@pytest.mark.parametrize("how", ["inner", "left_semi"])
-def test_lookback(spark, how):
+@pytest.mark.parametrize("join", [joins.lookback_events, joins.events_in_lookback])
+def test_lookback(spark, join):
     moments = {0: at(days=-7, hours=-23), 1: at(days=-8), 2: at(hours=24), 3: at(hours=24, seconds=1), 4: at(days=-3)}
     labs = spark.createDataFrame([(9, i, m) for i, m in moments.items()], f"subject_id long, id long, charttime {NTZ}")
     pop = spark.createDataFrame([(9, at(hours=24), DAY0), (8, at(hours=24), DAY0)], f"subject_id long, index_date {NTZ}, admittime {NTZ}")
-    assert sorted(values(joins.lookback_events(labs, pop, how=how), "id")) == [0, 2, 4]
+    assert sorted(values(join(labs, pop), "id")) == [0, 2, 4]
+
+
+def test_first_event_hours_truncates_toward_zero(spark):
+    df = spark.createDataFrame([(1, DAY0, at(minutes=-30)), (2, DAY0, at(minutes=-90)), (3, DAY0, at(minutes=90))], f"k long, a {NTZ}, t {NTZ}")
+    assert {r.k: r.hours for r in events.first_event_hours(df, ["k"], "a", "t").collect()} == {1: 0, 2: -1, 3: 1}
 
 
 def test_previous_admissions(spark):

@@ -124,6 +124,25 @@ def test_previous_pairs_match_counts(skewed):
     assert pairs.count() == sum(counted.values())
 
 
+@pytest.mark.parametrize("hours, days", [(24, 7), (0, 0), (31, 2)])
+def test_lookback_matches_brute_force(skewed, hours, days):
+    import datetime as dt
+
+    population = skewed.where("hadm_id % 40 = 3 or (subject_id = 0 and hadm_id % 200 = 0)").select(
+        "subject_id", (F.col("admittime") + F.make_dt_interval(F.lit(0), F.lit(hours))).alias("index_date"), "admittime"
+    )
+    minutes = F.make_dt_interval(F.lit(0), F.pmod(F.hash("hadm_id", F.lit(5)), F.lit(3)) * 12)
+    points = skewed.select("subject_id", F.col("hadm_id").alias("id"), (F.col("admittime") + minutes).alias("charttime"))
+    spans = {}
+    for r in population.collect():
+        spans.setdefault(r.subject_id, []).append((r.admittime - dt.timedelta(days=days + 1), r.index_date))
+    hits = {r.id: sum(a < r.charttime <= b for a, b in spans.get(r.subject_id, [])) for r in points.collect()}
+    pairs = Counter(r.id for r in joins.lookback_events(points, population, days).collect())
+    assert pairs == Counter({i: n for i, n in hits.items() if n})
+    once = Counter(r.id for r in joins.events_in_lookback(points, population, days).collect())
+    assert once == Counter({i: 1 for i, n in hits.items() if n})
+
+
 def test_auc_does_not_change_under_monotone_scores(spark):
     df = spark.range(0, 4000).select(
         F.pmod(F.hash("id"), F.lit(97)).cast("double").alias("s"), (F.pmod(F.hash("id", F.lit(1)), F.lit(3)) == 0).cast("int").alias("y")

@@ -79,7 +79,7 @@ def indicator_any(t):
     "first_event_hours",
     """
     select * from (
-      select a.hadm_id, a.admittime, min(floor(date_sub('second', a.admittime, m.charttime) / 3600.0))::int as hours
+      select a.hadm_id, a.admittime, min(date_sub('second', a.admittime, m.charttime) // 3600)::int as hours
       from microbiology m join admissions a on a.hadm_id = m.hadm_id where m.charttime is not null group by 1, 2)
     where hours < 12""",
 )

@@ -41,6 +41,18 @@ def join_lookback_interval(t):
     return seen.select("hadm_id", "itemid", "charttime", "for_hadm_id")
 
 
+@query(
+    "lookback_any",
+    """
+    select e.hadm_id, e.itemid, e.charttime from labs e where exists (
+      select 1 from population p where p.subject_id = e.subject_id and e.charttime <= p.index_date
+      and date_sub('day', e.charttime, p.admittime) <= 7)""",
+)
+def lookback_any(t):
+    seen = joins.events_in_lookback(t.labs.select("subject_id", "hadm_id", "itemid", "charttime"), t.population)
+    return seen.select("hadm_id", "itemid", "charttime")
+
+
 @query(
     "join_until_index",
     """

@@ -85,7 +85,7 @@ def grid_sweep(t):
 def cross_validate(t):
     rows = sampling.kfold_assign(training_rows(t), KEY, "y", SEED, 3)
     over = partial(sampling.oversample_minority, key=KEY, label="y", seed=SEED)
-    folds = learn.cross_validate(rows, FEATURES, KEY, partial(small_forest, trees=5), 3, resample=over)
+    folds = learn.cross_validate(rows, FEATURES, KEY, partial(small_forest, trees=5), 3, resample=over, parallelism=3)
     return learn.summarize_folds(folds)
 
 

@@ -11,6 +11,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from admitflow.operators.population import still_admitted
+from admitflow.session import spread
+
 
 # Roles in an order where each uses only earlier ones.
 ROLE_SQL = {
@@ -206,7 +209,7 @@ class Tables:
     def notes(self) -> DataFrame:
         start = F.to_timestamp_ntz(F.lit("1992-01-01 00:00:00"))
         shift = F.make_dt_interval((F.col("doc_id") * 17 % 3000).cast("int"))
-        return self("documents").select(
+        return spread(self("documents").select("doc_id", "text")).select(
             F.col("doc_id").alias("row_id"),
             (F.col("doc_id") % 400).alias("hadm_id"),
             (start + shift).alias("charttime"),
@@ -216,8 +219,6 @@ class Tables:
 
     @cached_property
     def population(self) -> DataFrame:
-        from admitflow.operators.population import still_admitted
-
         return still_admitted(self.admissions, 24)
 
     @cached_property
