@@ -40,15 +40,20 @@ def any_event(df: DataFrame, key: str, name: str) -> DataFrame:
     return df.groupBy(key).agg(F.lit(1).alias(name))
 
 
-def keyword_flag(notes: DataFrame, key: str, words: Sequence[str], name: str, body: str = "text") -> DataFrame:
-    """1 for each key with a note that holds any of the words after cleaning.
+def keyword_rows(notes: DataFrame, words: Sequence[str], body: str = "text") -> DataFrame:
+    """Notes that hold any of the words after cleaning; the text itself is dropped.
 
+    Runs in the scan's own tasks: call it before a join, and no text is shuffled.
     The cleaned text is the one element of an array, so it is made once per note
     and not once per word.
     """
     cleaned = F.array(text.clean_text(body))
-    hits = notes.where(F.exists(cleaned, lambda tx: recode.contains_any(tx, words)))
-    return any_event(hits, key, name)
+    return notes.where(F.exists(cleaned, lambda tx: recode.contains_any(tx, words))).drop(body)
+
+
+def keyword_flag(notes: DataFrame, key: str, words: Sequence[str], name: str, body: str = "text") -> DataFrame:
+    """1 for each key with a note that holds any of the words after cleaning."""
+    return any_event(keyword_rows(notes, words, body), key, name)
 
 
 def count_before(

@@ -149,11 +149,12 @@ def indicator_rows(src: Sources, pop: DataFrame, rules: Rules) -> list[DataFrame
     keys = pop.select(KEY)
     wounds = src.diagnoses.where(recode.starts_any("icd9_code", rules.wound_prefixes)).join(keys, KEY, "left_semi")
     tubes = src.procedures.where(F.col("cpt_cd").isin(list(rules.procedure_codes))).join(keys, KEY, "left_semi")
-    notes = joins.events_until_index(src.notes.where(F.col("iserror").isNull()), pop.select(KEY, "index_date"), KEY, "charttime")
+    noted = events.keyword_rows(src.notes.where(F.col("iserror").isNull()), rules.keywords)
+    noted = joins.events_until_index(noted, pop.select(KEY, "index_date"), KEY, "charttime")
     return [
         events.any_event(wounds, KEY, "wounds"),
         events.any_event(tubes, KEY, "intubation"),
-        events.keyword_flag(notes, KEY, rules.keywords, "antibiotic_yn"),
+        events.any_event(noted, KEY, "antibiotic_yn"),
     ]
 
 
