@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from admitflow.operators import evaluate, reshape, sampling
+from admitflow.operators import evaluate, sampling
 from admitflow.session import cut_lineage
 
 METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
@@ -209,8 +209,3 @@ def topk_retrain(train: DataFrame, features: Sequence[str], make: Callable[[], E
     first = fit(train, features, make())
     best = [r["label"] for r in feature_importance(first, train, top).orderBy("rank").collect()]
     return fit(train, best, make()), best
-
-
-def numeric_features(df: DataFrame, key: str, label: str) -> list[str]:
-    """All columns but the key and the label, label last in the frame or not."""
-    return [c for c in reshape.sort_columns(df, key).columns if c not in (key, label)]

@@ -52,6 +52,8 @@ def hash_cuts(df: DataFrame, key: str, seed, quotas: dict, label: str | None = N
     A count of 0 has the cut None: no row is below it. Counts must not exceed
     the class size.
     """
+    if not any(q > 0 for qs in quotas.values() for q in qs):
+        return {c: [None] * len(qs) for c, qs in quotas.items()}
     wanted = {c: F.array(*(F.lit(q).cast("bigint") for q in sorted({q for q in qs if q > 0}))) for c, qs in quotas.items()}
     by = [label] if label else []
     h = hash_text(key, seed)
@@ -213,9 +215,9 @@ def oversample_minority(df: DataFrame, key: str, label: str, seed) -> DataFrame:
     """
     originals = df.withColumn("draw", F.lit(None).cast(df.schema[key].dataType))
     sizes = class_counts(df, label)
-    few, many = min(sizes, key=sizes.get), max(sizes, key=sizes.get)
-    if sizes[few] == sizes[many]:
+    if len(set(sizes.values())) < 2:
         return originals
+    few, many = min(sizes, key=sizes.get), max(sizes, key=sizes.get)
     cuts = hash_cuts(df, key, seed, {many: [sizes[few]]}, label)
     past = df.where((F.col(label) == many) & ~below_cut(key, seed, cuts, 0, label)).select(F.col(key).alias("draw"))
     copies = _draw(past, df.where(F.col(label) == few), key, seed, {None: sizes[few]})
@@ -225,6 +227,8 @@ def oversample_minority(df: DataFrame, key: str, label: str, seed) -> DataFrame:
 def undersample_majority(df: DataFrame, key: str, label: str, seed, share: float = 0.55) -> DataFrame:
     """Keep int(n_minority / share) rows of the majority class and all others."""
     sizes = class_counts(df, label)
+    if not sizes:
+        return df
     many = max(sizes, key=sizes.get)
     keep = min(int(min(sizes.values()) / share), sizes[many])
     cuts = hash_cuts(df, key, seed, {many: [keep]}, label)

@@ -33,6 +33,18 @@ def test_split_exact(rows, test, validation):
     assert got["test"] == int(test * 3000) and got["validation"] == int(validation * 3000) and sum(got.values()) == 3000
 
 
+def test_tiny_and_empty_frames(rows):
+    two = rows.where("id < 2")
+    assert {r.split for r in sampling.split_exact(two, "id", 5, 0.3, 0.1).collect()} == {"train"}
+    none = rows.where("id < 0")
+    for out in (
+        sampling.split_exact(none, "id", 5, 0.3, 0.1), sampling.split_stratified(none, "id", "y", 5, 0.1),
+        sampling.ratio_sample(none, "id", "y", 5, 3.0), sampling.oversample_minority(none, "id", "y", 5),
+        sampling.undersample_majority(none, "id", "y", 5), sampling.kfold_assign(none, "id", "y", 5, 3),
+    ):
+        assert out.count() == 0
+
+
 def test_stratified_and_folds(rows):
     split = sampling.split_stratified(rows, "id", "y", 5, 0.1)
     assert Counter((r.y, r.split) for r in split.collect()) == {(0, "test"): 210, (0, "train"): 1890, (1, "test"): 90, (1, "train"): 810}

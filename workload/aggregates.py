@@ -197,7 +197,7 @@ def distinct_on(t):
 @query(
     "rank_topk",
     """
-    select l_partkey, score, row_number() over (order by score desc, l_partkey) as rank from (
+    select l_partkey, score, (row_number() over (order by score desc, l_partkey))::int as rank from (
       select l_partkey, sum(l_quantity) as score from lineitem group by 1 order by 2 desc, 1 limit 50)""",
 )
 def rank_topk(t):

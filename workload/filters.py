@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from admitflow.functions import recode, text, times
 from admitflow.operators import labels, population, reshape
+from admitflow.operators.events import keyword_flag
 from admitflow.plans.features import clinical_static, recode_labs
 from admitflow.presets import clinical
 from admitflow.session import spread
+from admitflow.sources.tables import register_view
 from workload.registry import query
 
 
@@ -23,10 +25,11 @@ def filter_codes(t):
 
 @query(
     "filter_contains_any",
-    "select hadm_id, drug, startdate from prescriptions where drug like '%ring%' or drug like '%bolt%' or drug like '%Bolt%'",
+    "select hadm_id, drug, startdate::varchar as startdate from prescriptions where drug like '%ring%' or drug like '%bolt%' or drug like '%Bolt%'",
 )
 def filter_contains_any(t):
-    return t.prescriptions.where(recode.contains_any("drug", ["ring", "bolt", "Bolt"])).select("hadm_id", "drug", "startdate")
+    kept = t.prescriptions.where(recode.contains_any("drug", ["ring", "bolt", "Bolt"]))
+    return kept.select("hadm_id", "drug", F.col("startdate").cast("string").alias("startdate"))
 
 
 @query(
@@ -81,8 +84,6 @@ def filter_elapsed_hours(t):
 
 @query("population_window", "select subject_id, hadm_id, index_date, admittime from population")
 def population_window(t):
-    from admitflow.sources.tables import register_view
-
     name = register_view(population.still_admitted(t.admissions, 24), "all_pts_24_hours")
     return t.spark.table(name)
 
@@ -335,8 +336,6 @@ def clean_text(t):
     where tx like '%license%' or tx like '%copyright%' or tx like '%ationx%' group by 1""",
 )
 def text_keyword_flag(t):
-    from admitflow.operators.events import keyword_flag
-
     return keyword_flag(t.notes, "hadm_id", ["license", "copyright", "ationx"], "antibiotic_yn")
 
 

@@ -56,12 +56,12 @@ def lookback_any(t):
 @query(
     "join_until_index",
     """
-    select r.hadm_id, r.drug, r.startdate, p.index_date from prescriptions r join population p on p.hadm_id = r.hadm_id
+    select r.hadm_id, r.drug, r.startdate::varchar as startdate, p.index_date from prescriptions r join population p on p.hadm_id = r.hadm_id
     and r.startdate <= p.index_date""",
 )
 def join_until_index(t):
     until = joins.events_until_index(t.prescriptions, t.population.select("hadm_id", "index_date"))
-    return until.select("hadm_id", "drug", "startdate", "index_date")
+    return until.select("hadm_id", "drug", F.col("startdate").cast("string").alias("startdate"), "index_date")
 
 
 @query(

@@ -133,7 +133,7 @@ def class_weights(t):
     with ranked as (select id, y, {_CLASS_RANK} as r, count(*) over (partition by y) as n from labelled),
     draws as (select id as draw, ('0x' || substr(md5(id::varchar || ':11:class'), 1, 8))::bigint % 2 as y from labelled),
     aimed as (select d.y, d.draw, {_DRAW} % c.n as r from draws d join (select y, count(*) as n from labelled group by 1) c on c.y = d.y)
-    select d.y, d.draw, x.id from aimed d join ranked x on x.y = d.y and x.r = d.r""",
+    select d.y::int as y, d.draw, x.id from aimed d join ranked x on x.y = d.y and x.r = d.r""",
 )
 def weighted_bootstrap(t):
     return sampling.weighted_bootstrap(t.labelled.select("id", "y"), "id", "y", SEED).select("y", "draw", "id")

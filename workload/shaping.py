@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from admitflow.functions import recode
 from admitflow.operators import events, profile, reshape, scale
+from admitflow.operators.labels import organism_or_negative_screen
 from workload.registry import query
 
 _ITEMS = [1, 2, 3, 4, 5, 6, 7]
@@ -98,8 +99,6 @@ _ORGANISMS = [1, 2, 3, 5, 8]
       and (org_itemid in (1, 2, 3, 5, 8) or (spec_type_desc = 'MRSA SCREEN' and org_itemid is null)) group by 1""",
 )
 def multi_hot_labels(t):
-    from admitflow.operators.labels import organism_or_negative_screen
-
     kept = organism_or_negative_screen(t.microbiology, _ORGANISMS, "MRSA SCREEN")
     return reshape.multi_hot(kept, "hadm_id", "org_itemid", _ORGANISMS, "org_")
 
@@ -158,10 +157,10 @@ def scale_p1_p99(t):
     return scale.scale_p1_p99(_numbers(t), "x", ["itemid"], 7).withColumn("x", F.round("x", 6) + 0.0)
 
 
-@query("scale_iqr", _scaled_sql(0.25, 0.75, "high - low", "hadm_id % 2 = 0"))
+@query("scale_iqr", _scaled_sql(0.25, 0.75, "high - low", "flag is not null"))
 def scale_iqr(t):
-    cells = _numbers(t)
-    return scale.scale_iqr(cells, cells.where("hadm_id % 2 = 0"), "x", ["itemid"], 7).withColumn("x", F.round("x", 6) + 0.0)
+    flagged = t.labs.where("flag is not null").select("itemid", F.col("valuenum").alias("x"))
+    return scale.scale_iqr(_numbers(t), flagged, "x", ["itemid"], 7).withColumn("x", F.round("x", 6) + 0.0)
 
 
 @query(
