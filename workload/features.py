@@ -27,8 +27,9 @@ def sources(t) -> Sources:
     return Sources(t.admissions, t.patients, t.labs, t.lab_items, t.prescriptions, t.diagnoses, t.procedures, t.notes)
 
 
-def staged_labs(t, src, params):
-    return stage(t.spark, f"{t.tag}_lab_events", lambda: lab_events(src, population(src, params), RULES, params))
+def staged_labs(t, src, params, name: str):
+    """Each query has its own stage, so running one does not rewrite files another still reads."""
+    return stage(t.spark, f"{t.tag}_{name}_lab_events", lambda: lab_events(src, population(src, params), RULES, params))
 
 
 _CTES = r"""
@@ -148,22 +149,22 @@ BINNED_SQL = _select(
 )
 
 
-def scaled_features(t):
+def _scaled_features(t, name: str):
     src, params = sources(t), Params()
-    return build_features(src, params, RULES, labs=staged_labs(t, src, params))
+    features, spec = build_features(src, params, RULES, labs=staged_labs(t, src, params, name))
+    numbers = [*spec.numeric, "age", "n_admits"]
+    return features.select(*((F.round(f"`{c}`", 6) + 0.0).alias(c) if c in numbers else F.col(f"`{c}`") for c in features.columns))
 
 
 @query("feature_table", f"{_CTES}{_STATS} {SCALED_SQL}")
 def feature_table(t):
-    features, spec = scaled_features(t)
-    numbers = [*spec.numeric, "age", "n_admits"]
-    return features.select(*((F.round(f"`{c}`", 6) + 0.0).alias(c) if c in numbers else F.col(f"`{c}`") for c in features.columns))
+    return _scaled_features(t, "scaled")
 
 
 @query("feature_table_binned", f"{_CTES}{_BIN_STATS} {BINNED_SQL}")
 def feature_table_binned(t):
     src, params = sources(t), Params()
-    return build_features(src, params, RULES, binned=True, labs=staged_labs(t, src, params))[0]
+    return build_features(src, params, RULES, binned=True, labs=staged_labs(t, src, params, "binned"))[0]
 
 
 @query(
@@ -177,4 +178,4 @@ def feature_table_binned(t):
 )
 def labelled_cohort(t):
     labels = cohort.resistance_labels(t.admissions, t.microbiology, Params(), ["F"], range(60))
-    return cohort.build_cohort(labels, feature_table(t))
+    return cohort.build_cohort(labels, _scaled_features(t, "cohort"))

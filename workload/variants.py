@@ -118,18 +118,18 @@ def research_table(t):
     return out.select(*((F.round(c, 6) + 0.0).alias(c) if c in _NUMERIC else F.col(f"`{c}`") for c in out.columns))
 
 
-def _encoded(t):
+def _encoded(t, name: str):
     src, params = sources(t), replace(Params(), encoder_training_epochs=3)
-    table, _ = build_features(src, params, RULES, binned=True, labs=staged_labs(t, src, params))
+    table, _ = build_features(src, params, RULES, binned=True, labs=staged_labs(t, src, params, name))
     labels = cohort.resistance_labels(t.admissions, t.microbiology, params, ["F"], range(60))
     return encoded.encoded_cohort(table, labels, params, hidden=(32, 16), code=8, rate=0.01)
 
 
 @query("encoded_cohort")
 def encoded_cohort(t):
-    return _encoded(t)[0]
+    return _encoded(t, "encoded")[0]
 
 
 @query("encoder_loss")
 def encoder_loss(t):
-    return encode.loss_history(_encoded(t)[1], t.spark)
+    return encode.loss_history(_encoded(t, "loss")[1], t.spark)
