@@ -1,28 +1,62 @@
-"""Session defaults, and the shared folder used for stages and checkpoints."""
+"""Session defaults, the package on the executors, and the shared folder used for stages."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every plan relies on. Shuffle width is left to the cluster:
-# AQE merges small partitions and splits skewed ones.
+# AQE merges small partitions and splits skewed ones. Arrow batches are kept
+# short, since a row may hold a long text.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "33554432",
 }
+# Marks a session that is set up.
+TUNED = "spark.admitflow.tuned"
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    for name, value in RUNTIME_SETTINGS.items():
-        spark.conf.set(name, value)
+    """Set this session up, once: the settings above (the time zone among them) and the package on the executors.
+
+    Settings that the caller changes afterwards stay as the caller wants them.
+    """
+    if spark.conf.get(TUNED, None) is None:
+        for name, value in RUNTIME_SETTINGS.items():
+            spark.conf.set(name, value)
+        ship(spark)
+        spark.conf.set(TUNED, "true")
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, whose Python workers import them.
+
+    The archive is built on the driver and served by Spark; executors need no
+    copy of the package and no folder shared with the driver.
+    """
+    here = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(here):  # already imported from an archive that Spark serves
+        return
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="admitflow-")), "admitflow_modules.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(here)))
+    spark.sparkContext.addPyFile(archive)
+
+
 def local_session(app: str = "admitflow", cores: int | str = "*", memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and timing runs."""
     spark = (
@@ -54,16 +88,36 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute a compact intermediate once, into the shared checkpoint folder.
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder inside the shared one; two applications never meet in it."""
+    return f"{shared_dir(spark)}/admitflow/{spark.sparkContext.applicationId}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def clear_run(spark: SparkSession) -> None:
+    """Delete everything this application stored. Frames that read it cannot be used afterwards."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def store(df: DataFrame, path: str) -> DataFrame:
+    """Write a frame as parquet and read it back with the schema it had."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Compute an intermediate once, into a new folder of the shared one.
 
     What is read from it afterwards does not go back to the source rows, and it
-    survives the loss of executors.
+    survives the loss of executors. It is columnar, so later steps read only the
+    columns they use. No folder is written twice, so no reader is disturbed.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    return store(df, f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
-from admitflow.session import shared_dir
+from admitflow.session import exists, run_dir, store
 
 
 def read_table(spark: SparkSession, source: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -39,20 +40,28 @@ def register_view(df: DataFrame, name: str) -> str:
     return name
 
 
-def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/stages/{name}"
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder in the shared one that nothing else writes to."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def fingerprint(df: DataFrame) -> str:
+    """Names what a frame computes: its plan (with sources and constants) and its columns."""
+    return hashlib.sha256(f"{df.semanticHash()} {df.schema.json()}".encode()).hexdigest()[:24]
 
 
 def stage(spark: SparkSession, name: str, build: Callable[[], DataFrame], reuse: bool = False) -> DataFrame:
     """Write a stage to the shared folder and read it back, which also cuts its lineage.
 
-    With ``reuse`` an existing stage of that name is read instead of rebuilt.
+    Each run writes a folder of its own, so frames that still read an earlier
+    one are not disturbed. With ``reuse``, a complete stage of the same name and
+    the same plan is read instead: other sources or parameters make another
+    plan, and a folder without the writer's ``_SUCCESS`` mark is not used.
     """
-    path = stage_path(spark, name)
-    if reuse:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            pass
-    write_parquet(build(), path)
-    return spark.read.parquet(path)
+    df = build()
+    if not reuse:
+        return store(df, new_path(spark, name))
+    done = f"{run_dir(spark)}/{name}-{fingerprint(df)}"
+    if exists(spark, f"{done}/_SUCCESS"):
+        return spark.read.schema(df.schema).parquet(done)
+    return store(df, new_path(spark, name) if exists(spark, done) else done)

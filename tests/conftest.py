@@ -6,7 +6,7 @@ import pytest
 HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path[:0] = [os.path.dirname(HERE), HERE]
 
-from admitflow.session import local_session  # noqa: E402
+from admitflow.session import clear_run, local_session  # noqa: E402
 
 DATA = "/root/testdata"
 
@@ -15,6 +15,7 @@ DATA = "/root/testdata"
 def spark():
     session = local_session("tests", 8)
     yield session
+    clear_run(session)
     session.stop()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from admitflow.operators import evaluate, learn, sampling
 from admitflow.plans import baseline
+from admitflow.session import run_dir
 from admitflow.sources import tables
 
 QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
@@ -49,11 +50,31 @@ def test_folds_are_numbered_before_resampling(separable):
     assert over.join(held, "id").count() == 0
 
 
-def test_stage_is_reused(spark):
-    name = "test_stage_reuse"
-    first = tables.stage(spark, name, lambda: spark.range(3))
-    again = tables.stage(spark, name, lambda: 1 / 0, reuse=True)
-    assert first.count() == again.count() == 3
+def files_of(df):
+    return sorted(df.inputFiles())
+
+
+def test_stage_is_reused_for_the_same_plan_only(spark):
+    first = tables.stage(spark, "reuse", lambda: spark.range(5).select("id"), reuse=True)
+    again = tables.stage(spark, "reuse", lambda: spark.range(5).select("id"), reuse=True)
+    other = tables.stage(spark, "reuse", lambda: spark.range(77).select("id"), reuse=True)
+    assert files_of(first) == files_of(again) != files_of(other)
+    assert (again.count(), other.count()) == (5, 77)
+
+
+def test_stage_without_success_mark_is_not_reused(spark):
+    def build():
+        return spark.range(6).select("id")
+
+    half = f"{run_dir(spark)}/half-{tables.fingerprint(build())}"
+    spark.range(2).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(half)
+    assert tables.stage(spark, "half", build, reuse=True).count() == 6
+
+
+def test_stage_built_twice_keeps_earlier_readers(spark):
+    first = tables.stage(spark, "twice", lambda: spark.range(3))
+    second = tables.stage(spark, "twice", lambda: spark.range(4))
+    assert (first.count(), second.count()) == (3, 4)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))

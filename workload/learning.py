@@ -9,7 +9,7 @@ from admitflow.plans import baseline
 from admitflow.presets import clinical
 from admitflow.session import cut_lineage
 from admitflow.sources import models
-from admitflow.sources.tables import stage_path
+from admitflow.sources.tables import new_path
 from workload.registry import query
 
 SEED = 42
@@ -44,7 +44,7 @@ def _split(t):
 def model_roundtrip(t):
     rows = training_rows(t)
     model = learn.fit(rows, FEATURES, small_forest(trees=5))
-    path = models.save_model(model, stage_path(t.spark, f"{t.tag}_model"))
+    path = models.save_model(model, new_path(t.spark, f"{t.tag}_model"))
     return learn.score(models.load_model(path), rows, KEY)
 
 

@@ -14,7 +14,7 @@ def scan_project(t):
 
 @query("parquet_roundtrip", "select o_orderkey, o_orderdate, o_totalprice from orders")
 def parquet_roundtrip(t):
-    path = tables.stage_path(t.spark, f"{t.tag}_parquet_roundtrip")
+    path = tables.new_path(t.spark, f"{t.tag}_parquet_roundtrip")
     tables.write_parquet(t("orders").select("o_orderkey", "o_orderdate", "o_totalprice"), path)
     return tables.read_parquet(t.spark, path)
 
@@ -22,7 +22,7 @@ def parquet_roundtrip(t):
 @query("csv_roundtrip", "select o_orderkey, o_orderpriority, o_totalprice, o_orderdate from orders")
 def csv_roundtrip(t):
     df = t("orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate")
-    path = tables.stage_path(t.spark, f"{t.tag}_csv_roundtrip")
+    path = tables.new_path(t.spark, f"{t.tag}_csv_roundtrip")
     tables.write_csv(df, path)
     return tables.read_csv(t.spark, path, df.schema)
 
@@ -64,7 +64,7 @@ def stage_reuse(t):
         return t("orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("top"))
 
     name = f"{t.tag}_stage_reuse"
-    tables.stage(t.spark, name, build)
+    tables.stage(t.spark, name, build, reuse=True)
     return tables.stage(t.spark, name, build, reuse=True)
 
 
