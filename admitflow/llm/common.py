@@ -29,19 +29,25 @@ def text_of(column: str) -> Column:
 def by_batch(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
     """Map Arrow batches of ``df``: ``make()`` is called once a task and gives a function from columns to columns.
 
-    Nothing is kept between batches but what that function itself holds.
+    Nothing is kept between batches but what that function itself holds. If it
+    has a ``finish``, that gives the last columns once the task's rows are through.
     """
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     target = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
+
+        def pack(out: dict[str, list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_OUT):
                 part = batch.slice(at, ROWS_OUT)
                 columns = {name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)}
-                out = step(columns)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+                yield pack(step(columns))
+        if hasattr(step, "finish"):
+            yield pack(step.finish())
 
     return df.mapInArrow(run, struct)
 
@@ -52,6 +58,15 @@ def with_column(df: DataFrame, name: str, kind: str) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name != name] + added)
 
 
+def held_out(id_column: str = "doc_id") -> Column:
+    """Whether a row is kept out of all fitting: crc32 of its id as text leaves no remainder by 5. Null ids are not."""
+    return F.coalesce(fold(id_column) == 0, F.lit(False))
+
+
+def fold(id_column: str = "doc_id") -> Column:
+    return F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(5))
+
+
 # A space before a character that is not white space. The pre-tokenizer always
 # cuts there, so what lies between two such places is encoded on its own.
 PIECE_START = re.compile(r"(?= \S)")

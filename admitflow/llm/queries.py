@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitflow.llm import bpe, packing, simhash
-from admitflow.llm.common import by_batch, table
+from admitflow.llm import bpe, packing, secrets, simhash, toxicity
+from admitflow.llm.common import held_out, table, text_of
 from admitflow.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,35 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    scored = toxicity.score_texts(docs, model)
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages"
+    )
+
+
+@query("op2_secrets")
+def op2_secrets(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    letters = secrets.Letters.of(secrets.letter_counts(docs))
+    scanned = docs.select("doc_id", secrets.scan_column(letters, F.col("text")).alias("s")).select("doc_id", "s.base", "s.found")
+    scanned = cut_lineage(scanned, "secret-candidates")
+    cuts = secrets.fit_cuts(scanned, secrets.RATE)
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return scanned.select(
+        "doc_id",
+        *map(count, secrets.KINDS[:3]),
+        F.sha2(secrets.span_text("base").cast("binary"), 256).alias("base_sha256"),
+        secrets.span_text(secrets.all_spans(cuts)).alias("spans"),
+    )
+
+
 @query("op6_bpe")
 def op6_bpe(spark, folder):
     """Encode with the merge queue, decode what came out, and give the digests of both."""
