@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from admitflow.llm.common import PieceCache, by_batch, text_of, with_column
+from admitflow.llm.common import LATIN, LATIN_WORDS, PieceCache, by_batch, held, text_of, with_column
 
 
+# Bits for a token id and for a position, of numbers that hold one beside a rank.
+IDS, POSITIONS = 20, 40
+LAST_ID, LAST_POSITION = (1 << IDS) - 1, (1 << POSITIONS) - 1
 # Pre-tokens whose ids a task keeps before it starts afresh. Changes no result.
 WORDS_KEPT = 100_000
 
@@ -39,9 +42,10 @@ class BytePairCoder:
         added = {t["content"]: t["id"] for t in data["added_tokens"]}
         byte_of = byte_alphabet()
         self.symbol = {c: vocab[c] for c in byte_of}
+        self.first_ids = [vocab[c] for c, _ in sorted(byte_of.items(), key=lambda x: x[1])]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"])
-        # (left id, right id) -> (rank, merged id)
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        # left id and right id -> rank and merged id, each pair in one number
+        self.merges = {vocab[a] << IDS | vocab[b]: rank << IDS | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
         self.strings = {i: bytes(byte_of[c] for c in s) for s, i in vocab.items()}
         self.strings.update((i, s.encode()) for s, i in added.items())
         self.added = added
@@ -57,43 +61,52 @@ class BytePairCoder:
         the queue and leaves the old ones there; an entry whose pair has changed
         since is stale and is skipped. So n symbols take n log n steps.
         """
-        symbols, merges = list(ids), self.merges
+        symbols, merge_of = list(ids), self.merges.get
         size = len(symbols)
-        following, before = list(range(1, size + 1)), list(range(-1, size - 1))
         queue = [
-            (found[0], i)
-            for i, pair in enumerate(zip(symbols, symbols[1:]))
-            if (found := merges.get(pair)) is not None
+            (found >> IDS) << POSITIONS | i
+            for i in range(size - 1)
+            if (found := merge_of(symbols[i] << IDS | symbols[i + 1])) is not None
         ]
+        if not queue:
+            return symbols
+        following, before = list(range(1, size + 1)), list(range(-1, size - 1))
         heapq.heapify(queue)
         while queue:
-            rank, left = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            left = entry & LAST_POSITION
             right = following[left]
             if symbols[left] < 0 or right >= size:
                 continue
-            found = merges.get((symbols[left], symbols[right]))
-            if found is None or found[0] != rank:
+            found = merge_of(symbols[left] << IDS | symbols[right])
+            if found is None or found >> IDS != entry >> POSITIONS:
                 continue
-            symbols[left], symbols[right] = found[1], -1
+            merged = symbols[left] = found & LAST_ID
+            symbols[right] = -1
             after = following[left] = following[right]
             if after < size:
                 before[after] = left
-                if (new := merges.get((found[1], symbols[after]))) is not None:
-                    heapq.heappush(queue, (new[0], left))
+                if (new := merge_of(merged << IDS | symbols[after])) is not None:
+                    heapq.heappush(queue, (new >> IDS) << POSITIONS | left)
             prior = before[left]
-            if prior >= 0 and (new := merges.get((symbols[prior], found[1]))) is not None:
-                heapq.heappush(queue, (new[0], prior))
+            if prior >= 0 and (new := merge_of(symbols[prior] << IDS | merged)) is not None:
+                heapq.heappush(queue, (new >> IDS) << POSITIONS | prior)
         return [s for s in symbols if s >= 0]
 
     def _plain(self, text: str) -> list[int]:
         out: list[int] = []
         if len(self.words) > WORDS_KEPT:
             self.words = {}
-        for word, _ in self.pre_tokenize(text):
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self.words[word] = self.merge([self.symbol[c] for c in word])
-            out += ids
+        words, firsts = self.words, self.first_ids
+        if LATIN.fullmatch(text):
+            for word in LATIN_WORDS.findall(text):
+                ids = words.get(word)
+                if ids is None:
+                    ids = words[word] = self.merge([firsts[b] for b in word.encode()])
+                out += ids
+        else:
+            for word, _ in self.pre_tokenize(text):
+                out += self.merge([self.symbol[c] for c in word])
         return out
 
     def _piece(self, piece: str) -> list[int]:
@@ -131,7 +144,7 @@ def encode_texts(df: DataFrame, path: str, id_column: str = "doc_id", text_colum
     source = df.select(F.col(id_column), text_of(text_column).alias("_text"))
 
     def make():
-        coder = BytePairCoder(spec.value)
+        coder = held(BytePairCoder, spec.value)
         return lambda c: {id_column: c[id_column], "ids": [coder.encode(t) for t in c["_text"]]}
 
     return by_batch(source, f"`{id_column}` {df.schema[id_column].dataType.simpleString()}, ids array<int>", make)
@@ -143,7 +156,7 @@ def decode_ids(df: DataFrame, path: str, ids_column: str = "ids", text_column: s
     schema = with_column(df, text_column, "string")
 
     def make():
-        coder = BytePairCoder(spec.value)
+        coder = held(BytePairCoder, spec.value)
         return lambda c: c | {text_column: [None if i is None else coder.decode(i) for i in c[ids_column]]}
 
     return by_batch(df, schema, make)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,10 +83,21 @@ def pieces(text: str) -> list[str]:
     return [first, *found] if first else found
 
 
+# Latin text, in which letters, numbers and white space are the same characters
+# for every version of the Unicode tables. The byte-level
+# pre-tokenizer's pattern, with those characters spelled out.
+LATIN_LETTERS, LATIN_NUMBERS, LATIN_SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", " \\n\\t"
+LATIN = re.compile(r"[\n\t -~¡-¬®-ÿ]*")
+LATIN_WORDS = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN_LETTERS}]+| ?[{LATIN_NUMBERS}]+| ?[^{LATIN_SPACE}{LATIN_LETTERS}{LATIN_NUMBERS}]+"
+    f"|[{LATIN_SPACE}]+(?![^{LATIN_SPACE}])|[{LATIN_SPACE}]+"
+)
+
+
 class PieceCache:
-    """Token ids by piece, for one task. It is emptied when ``limit`` pieces are held, which changes no result."""
+    """Token ids by piece, for one Python worker. It is emptied when ``limit`` pieces are held, which changes no result."""
 
-    def __init__(self, encode: Callable[[list[str]], list[tuple[int, ...]]], limit: int = 200_000):
+    def __init__(self, encode: Callable[[list[str]], list[tuple[int, ...]]], limit: int = 400_000):
         self.encode, self.limit, self.known = encode, limit, {}
 
     def __call__(self, text: str) -> list[int]:
@@ -98,6 +110,17 @@ class PieceCache:
             new = list({p for p, ids in zip(parts, found) if ids is None})
             known.update(zip(new, self.encode(new)))
             found = list(map(known.__getitem__, parts))
-        return [i for ids in found for i in ids]
+        return list(chain.from_iterable(found))
+
+
+_HELD: dict[tuple, object] = {}
 
 
+def held(kind: Callable[[str], object], spec: str):
+    """``kind(spec)``, made once in each Python worker and kept for its later tasks; the last few are held."""
+    key = (kind.__name__, hash(spec))
+    if key not in _HELD:
+        if len(_HELD) >= 4:
+            _HELD.clear()
+        _HELD[key] = kind(spec)
+    return _HELD[key]

@@ -9,10 +9,12 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from admitflow.llm import bpe, queries
-from admitflow.llm.common import pieces
+from admitflow.llm.common import LATIN, LATIN_WORDS, pieces
+from admitflow.llm.packing import library_encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
+QUICK = library_encoder(bpe.read_spec(PATH))
 CODER = bpe.BytePairCoder(bpe.read_spec(PATH))
 ODD = ["", " ", "  ", "a  b", "a \n b", "\n\n", "x<|endoftext|> y", "a <|endoftext|><|endoftext|>", "  lead", "trail  ", "'s 'll don't we'VE",
        "ab" * 5000, "\x1c \x1f a\x85b", "é à 日本 語😀 😀", "a  b  c", "\U00010940x ՘", "\x00 \x00", "12 345,6.7"]
@@ -36,6 +38,29 @@ def test_any_text(text):
     same(text)
 
 
+def test_latin_words_are_the_library_s_pre_tokens():
+    latin = [chr(c) for c in range(256) if LATIN.fullmatch(chr(c))]
+    assert len(latin) == 191
+    split = LIBRARY.pre_tokenizer.pre_tokenize_str
+    for a in latin:
+        for b in latin:
+            text = f"x{a}{b} 1{b}{a}{a}'s"
+            assert [text[i:j] for _, (i, j) in split(text)] == LATIN_WORDS.findall(text), repr(text)
+
+
+@pytest.mark.parametrize("text", ODD)
+def test_quick_encoder_gives_the_library_s_ids(text):
+    encode = library_encoder(bpe.read_spec(PATH))
+    assert encode(text) == encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x2FF), st.sampled_from(" \n\t'sle<|endoftx>")), max_size=60))
+def test_latin_text(text):
+    same(text)
+    assert QUICK(text) == CODER.encode(text)
+
+
 def test_invalid_bytes_are_replaced_alike():
     for ids in ([CODER.symbol["é"]], [50256, 0, 198], [CODER.symbol["Ā"]]):
         assert CODER.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
