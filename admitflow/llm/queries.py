@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitflow.llm import bpe, packing, secrets, simhash, toxicity
+from admitflow.llm import bpe, chat, neighbours, packing, prefix_hash, secrets, simhash, site_tree, toxicity, warc
 from admitflow.llm.common import held_out, table, text_of
 from admitflow.session import cut_lineage
+from admitflow.sources.tables import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +57,24 @@ def op2_secrets(spark, folder):
     )
 
 
+@query("op3_site_tree")
+def op3_site_tree(spark, folder):
+    return site_tree.extract(table(spark, folder, "pages"))
+
+
+@query("op4_chat")
+def op4_chat(spark, folder):
+    talks = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    control = f"{chat.END}{chat.START}assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(cut_lineage(chat.windows(talks.unionByName(extra), TOKENIZER), "chat-windows"))
+
+
+@query("op5_prefix_hash")
+def op5_prefix_hash(spark, folder):
+    return prefix_hash.edited_pairs(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op6_bpe")
 def op6_bpe(spark, folder):
     """Encode with the merge queue, decode what came out, and give the digests of both."""
@@ -69,6 +88,33 @@ def op6_bpe(spark, folder):
     )
 
 
+@query(
+    "op7_warc",
+    """
+    select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest,
+           case when strlen(coalesce(html, '')) < 1000 or page_id = owner then 'response' else 'revisit' end as record_type,
+           case when strlen(coalesce(html, '')) >= 1000 and page_id <> owner then owner end as refers_to
+    from (select *, max(page_id) over (partition by coalesce(html, '')) as owner from pages)""",
+)
+def op7_warc(spark, folder):
+    path = new_path(spark, "warc")
+    warc.write_archive(table(spark, folder, "pages"), path)
+    facts = {"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")}
+    records = warc.read_archive(spark, path, facts)
+    return records.select(
+        warc.page_of(warc.header_value("header", "WARC-Record-ID")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        warc.header_value("header", "WARC-Type").alias("record_type"),
+        warc.page_of(warc.header_value("header", "WARC-Refers-To")).alias("refers_to"),
+    )
+
+
+@query("op8_neighbours")
+def op8_neighbours(spark, folder):
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op9_simhash")
 def op9_simhash(spark, folder):
     found = simhash.near_duplicates(table(spark, folder, "documents"))
