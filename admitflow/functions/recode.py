@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from functools import reduce
 from operator import or_
@@ -106,6 +107,13 @@ def contains_any(c, parts: Iterable[str]) -> Column:
     return reduce(or_, [c.contains(p) for p in needed], F.lit(False))
 
 
+def contains_any_once(c: Column, parts: Iterable[str]) -> Column:
+    """As ``contains_any``, naming the text once: for a text that is costly to make."""
+    parts = list(dict.fromkeys(parts))
+    needed = [p for p in parts if not any(q != p and q in p for q in parts)]
+    return c.rlike("|".join(re.escape(p) for p in needed)) if needed else F.lit(False)
+
+
 def starts_any(c, prefixes: Iterable[str]) -> Column:
     c = _col(c)
     return reduce(or_, [c.startswith(p) for p in dict.fromkeys(prefixes)], F.lit(False))

@@ -10,14 +10,18 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+HASH_BITS = 60  # of hash_int: 15 hex digits
+
+
 def hash_text(key, seed) -> Column:
-    """An order that looks random, and that every SQL engine can repeat."""
-    return F.md5(F.concat_ws(":", _col(key).cast("string"), F.lit(str(seed))))
+    """An order that looks random, and that every SQL engine can repeat. ``key``: a column, or a list of columns."""
+    parts = [key] if isinstance(key, (str, Column)) else key
+    return F.md5(F.concat_ws(":", *(_col(k).cast("string") for k in parts), F.lit(str(seed))))
 
 
 def hash_int(key, seed) -> Column:
-    """Uniform integer in [0, 2^32)."""
-    return F.conv(F.substring(hash_text(key, seed), 1, 8), 16, 10).cast("bigint")
+    """Uniform integer in [0, 2^60): wide enough that its remainder by any number of rows is uniform too."""
+    return F.conv(F.substring(hash_text(key, seed), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
 def argmax(a) -> Column:
@@ -62,7 +66,7 @@ def flip_noise(a, key, p: float, seed) -> Column:
     The draw for entry i of row ``key`` is the hash of "key:i:seed".
     """
     key = _col(key).cast("string")
-    limit = int(p * 2**32)
+    limit = int(p * 2**HASH_BITS)
 
     def flip(x, i):
         draw = hash_int(F.concat_ws(":", key, i.cast("string")), seed)

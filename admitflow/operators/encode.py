@@ -4,16 +4,18 @@ Each training step is one Spark job: tasks compute the gradient of their rows
 with the current weights, the gradients are summed by a shuffle over pieces of
 the weight vector, and the driver, which holds one copy of the weights, moves
 them. Steps use all rows, so losses follow another path than mini-batches do.
+Noise is drawn by row key and epoch: how rows are dealt out changes nothing but
+the order in which gradients are added.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -93,18 +95,26 @@ def _unflatten(flat: np.ndarray, widths: list[int]) -> list[tuple[np.ndarray, np
     return out
 
 
-def _gradient_pieces(rows: DataFrame, column: str, shared, epoch: int, keep: float | None, seed: int) -> DataFrame:
+def noisy(keys, target: np.ndarray, keep: float, seed: int, epoch: int) -> np.ndarray:
+    """Each entry x stays with chance ``keep`` and turns into 1 - x otherwise; the draws are the row key's own."""
+    draws = np.empty(target.shape)
+    for i, key in enumerate(keys):
+        digest = hashlib.blake2b(f"{key}:{epoch}:{seed}".encode(), digest_size=16).digest()
+        draws[i] = np.random.Generator(np.random.Philox(key=np.frombuffer(digest, np.uint64))).random(target.shape[1])
+    return np.where(draws < keep, target, 1.0 - target)
+
+
+def _gradient_pieces(rows: DataFrame, key: str, column: str, shared, epoch: int, keep: float | None, seed: int) -> DataFrame:
     """(piece, part) rows: each task's gradient, cut in pieces; piece -1 is (loss, entries)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, context = shared.value, TaskContext.get()
-        rng = np.random.default_rng([seed, epoch, context.partitionId() if context else 0])
+        weights = shared.value
         loss, entries, total = 0.0, 0, None
         for batch in batches:
             if batch.empty:
                 continue
             target = np.stack(batch[column].to_numpy()).astype(float)
-            x = target if keep is None else np.where(rng.random(target.shape) < keep, target, 1.0 - target)
+            x = target if keep is None else noisy(batch[key], target, keep, seed, epoch)
             part_loss, part = _gradient(weights, x, target)
             loss, entries = loss + part_loss, entries + target.size
             total = part if total is None else total + part
@@ -115,7 +125,7 @@ def _gradient_pieces(rows: DataFrame, column: str, shared, epoch: int, keep: flo
                 "part": [np.array([loss, float(entries)]), *(total[i : i + PIECE] for i in pieces)],
             })
 
-    return rows.select(column).mapInPandas(work, "piece int, part array<double>")
+    return rows.mapInPandas(work, "piece int, part array<double>")
 
 
 def _sum_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,6 +139,7 @@ def _sum_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit_autoencoder(
     df: DataFrame,
+    key: str,
     column: str,
     model: Autoencoder,
     epochs: int = 170,
@@ -138,24 +149,26 @@ def fit_autoencoder(
     stop: float = 0.005,
     seed: int = 42,
 ) -> Autoencoder:
-    """Train on an array column with entries in [0, 1].
+    """Train on an array column with entries in [0, 1]; without rows the model stays as it is.
 
     ``keep`` is the chance that an input entry x stays as it is; otherwise it is
     fed as 1 - x (None: no noise). The target is always the clean row. Adam with
     L2 ``decay``; ends early when the mean loss falls below ``stop``.
     """
     spark = df.sparkSession
-    rows = df.select(column).persist()
+    rows = df.select(F.col(key).alias("_key"), F.col(column)).persist()
     flat = np.concatenate([a.ravel() for pair in model.weights for a in pair])
     first, second, losses = np.zeros_like(flat), np.zeros_like(flat), []
     try:
         for epoch in range(1, epochs + 1):
             shared = spark.sparkContext.broadcast(_unflatten(flat, model.widths))
-            pieces = _gradient_pieces(rows, column, shared, epoch, keep, seed)
+            pieces = _gradient_pieces(rows, "_key", column, shared, epoch, keep, seed)
             # A task holds one running sum per piece, however many tasks send one.
             sums = pieces.repartition(F.col("piece")).mapInPandas(_sum_pieces, "piece int, part array<double>")
             got = {r["piece"]: np.array(r["part"]) for r in sums.collect()}
             shared.unpersist()
+            if not got:
+                break
             loss, entries = got.pop(-1)
             losses.append(loss / entries)
             g = np.concatenate([got[i] for i in sorted(got)]) / entries + decay * flat
@@ -176,7 +189,7 @@ def encode_rows(df: DataFrame, column: str, model: Autoencoder, keep: list[str],
     """The code of every row, with the columns of ``keep``; one narrow stage."""
     shared = df.sparkSession.sparkContext.broadcast(model.weights)
     stop = model.code_layer
-    out = df.select(*keep).schema.add(name, T.ArrayType(T.DoubleType()))
+    out = T.StructType([*df.select(*keep).schema, T.StructField(name, T.ArrayType(T.DoubleType()))])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -161,8 +161,15 @@ def multilabel_report(df: DataFrame, labels: str, predictions: str, key: str) ->
 
 
 def rank_table(df: DataFrame, label: str, score: str, top: int | None = None) -> DataFrame:
-    """Rank 1..n by falling score. One row per column or item, not per data row."""
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc(score), F.asc(label))
+    """Rank 1..n by falling score, ties by label; null scores last.
+
+    With ``top``, only those rows meet. Without, rows are laid out by range of
+    score and numbered from the totals of the ranges before.
+    """
     if top is not None:
-        df = df.orderBy(F.desc(score), F.asc(label)).limit(top)
-    return df.withColumn("rank", F.row_number().over(order))
+        order = Window.partitionBy(F.lit(1)).orderBy(F.desc(score), F.asc(label))
+        return df.orderBy(F.desc(score), F.asc(label)).limit(top).withColumn("rank", F.row_number().over(order))
+    down = F.coalesce(-F.col(score).cast("double"), F.lit(float("inf")))
+    placed = range_bucket(df.withColumns({"_down": down, "_one": F.lit(1)}), "_down")
+    run = running_totals(placed, [], ["_down", label], ["_one"], bucket="_range")
+    return run.select(*df.columns, F.col("_one_run").cast("int").alias("rank"))

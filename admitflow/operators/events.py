@@ -44,11 +44,10 @@ def keyword_rows(notes: DataFrame, words: Sequence[str], body: str = "text") ->
     """Notes that hold any of the words after cleaning; the text itself is dropped.
 
     Runs in the scan's own tasks: call it before a join, and no text is shuffled.
-    The cleaned text is the one element of an array, so it is made once per note
-    and not once per word.
+    The words are one pattern, so the cleaned text is made once per note and not
+    once per word.
     """
-    cleaned = F.array(text.clean_text(body))
-    return notes.where(F.exists(cleaned, lambda tx: recode.contains_any(tx, words))).drop(body)
+    return notes.where(recode.contains_any_once(text.clean_text(body), words)).drop(body)
 
 
 def keyword_flag(notes: DataFrame, key: str, words: Sequence[str], name: str, body: str = "text") -> DataFrame:

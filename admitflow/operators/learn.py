@@ -71,11 +71,11 @@ def fit(df: DataFrame, features: Sequence[str], estimator: Estimator) -> Pipelin
         rows.unpersist()
 
 
-def score(model: Model, df: DataFrame, key: str, label: str = "y") -> DataFrame:
-    """Probability of class 1 and the predicted class, per row."""
+def score(model: Model, df: DataFrame, key: str | Sequence[str], label: str = "y") -> DataFrame:
+    """Probability of class 1 and the predicted class, per row. ``key``: one column, or several."""
     scored = model.transform(df)
     p = vector_to_array("probability")
-    return scored.select(key, F.col(label).cast("int").alias(label), F.col("prediction").cast("int").alias("prediction"), F.get(p, F.lit(1)).alias("score"))
+    return scored.select(*sampling.key_columns(key), F.col(label).cast("int").alias(label), F.col("prediction").cast("int").alias("prediction"), F.get(p, F.lit(1)).alias("score"))
 
 
 def measure(frames: Sequence[tuple[Mapping, DataFrame]], label: str = "y", auc: bool = True) -> DataFrame:
@@ -109,7 +109,7 @@ def score_multilabel(models: Mapping[str, PipelineModel], df: DataFrame, key: st
     )
 
 
-def grid_sweep(train: DataFrame, test: DataFrame, features: Sequence[str], key: str, layouts: Sequence[Sequence[int]], epochs: int, label: str = "y") -> DataFrame:
+def grid_sweep(train: DataFrame, test: DataFrame, features: Sequence[str], key: sampling.Key, layouts: Sequence[Sequence[int]], epochs: int, label: str = "y") -> DataFrame:
     """Metrics of one neural classifier per hidden-layer layout."""
     train = cut_lineage(train)
     frames = []
@@ -122,7 +122,7 @@ def grid_sweep(train: DataFrame, test: DataFrame, features: Sequence[str], key:
 def cross_validate(
     df: DataFrame,
     features: Sequence[str],
-    key: str,
+    key: sampling.Key,
     make: Callable[[], Estimator],
     folds: int,
     label: str = "y",
@@ -160,7 +160,7 @@ def _train_and_test(frames: Sequence[tuple[Mapping, DataFrame]], label: str, met
 
 
 def learning_curve(
-    df: DataFrame, features: Sequence[str], key: str, make: Callable[[], Estimator], seed,
+    df: DataFrame, features: Sequence[str], key: sampling.Key, make: Callable[[], Estimator], seed,
     shares: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0), folds: int = 3, label: str = "y", metric: str = "f1",
 ) -> DataFrame:
     """Train and test score per (training size, fold). Sizes are nested: each is a
@@ -181,7 +181,7 @@ def learning_curve(
 
 
 def validation_curve(
-    df: DataFrame, features: Sequence[str], key: str, make: Callable[[object], Estimator], values: Sequence, seed,
+    df: DataFrame, features: Sequence[str], key: sampling.Key, make: Callable[[object], Estimator], values: Sequence, seed,
     folds: int = 3, label: str = "y", metric: str = "f1",
 ) -> DataFrame:
     """Train and test score per (parameter value, fold)."""

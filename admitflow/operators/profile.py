@@ -86,11 +86,17 @@ def non_numeric_values(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull() & recode.to_number(column).isNull()).select(column).distinct()
 
 
-def code_profile(cells: DataFrame, code: str = "code", value: str = "value") -> DataFrame:
-    """Per code: values present, values that are not numbers, distinct values."""
+def code_profile(cells: DataFrame, code: str = "code", value: str = "value", weight: str | None = None) -> DataFrame:
+    """Per code: values present, values that are not numbers, distinct values.
+
+    ``weight`` names a column that says how many rows a row stands for.
+    """
+    times = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    present = F.col(value).isNotNull()
+    none = F.lit(0).cast("bigint")
     return cells.groupBy(code).agg(
-        F.count(value).alias("n_present"),
-        F.count_if(F.col(value).isNotNull() & recode.to_number(value).isNull()).alias("n_bad"),
+        F.sum(F.when(present, times).otherwise(none)).alias("n_present"),
+        F.sum(F.when(present & recode.to_number(value).isNull(), times).otherwise(none)).alias("n_bad"),
         F.count_distinct(value).alias("n_unique"),
     )
 

@@ -7,15 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_COLUMNS = 20_000  # widest table a vocabulary may make; wider ones are an error
+WIDEST = 20_000  # columns a table gets from its data, unless the caller states another bound
 
 
-def vocabulary(df: DataFrame, code: str) -> list:
-    """Sorted distinct codes. They become column names, so the list must be short."""
-    rows = df.select(code).where(F.col(code).isNotNull()).distinct().limit(MAX_COLUMNS + 1).collect()
-    if len(rows) > MAX_COLUMNS:
-        raise ValueError(f"{code} has more than {MAX_COLUMNS} values; too many to become columns")
-    return sorted(r[0] for r in rows)
+def bounded(rows: DataFrame, most: int, what: str) -> list:
+    """The rows of a frame whose values become columns; more than the caller's bound is an error."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{what}: more than the stated {most}; keep the long form, or state a larger bound")
+    return found
+
+
+def vocabulary(df: DataFrame, code: str, most: int = WIDEST) -> list:
+    """Sorted distinct codes, at most ``most``, since they become column names."""
+    rows = df.select(code).where(F.col(code).isNotNull()).distinct()
+    return sorted(r[0] for r in bounded(rows, most, f"values of {code}"))
 
 
 def pivot_values(df: DataFrame, key: str, code: str, value: str, codes: Sequence) -> DataFrame:
@@ -48,12 +54,10 @@ def multi_hot(df: DataFrame, key: str, code: str, codes: Sequence, prefix: str)
     return df.groupBy(key).agg(*cells)
 
 
-def fit_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted distinct non-null levels of each string column."""
+def fit_levels(df: DataFrame, columns: Sequence[str], most: int = WIDEST) -> dict[str, list[str]]:
+    """Sorted distinct non-null levels of each string column, at most ``most`` in all."""
     cells = df.select(*columns).unpivot([], list(columns), "_column", "_level").where(F.col("_level").isNotNull())
-    rows = cells.distinct().limit(MAX_COLUMNS + 1).collect()
-    if len(rows) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} levels; too many to become columns")
+    rows = bounded(cells.distinct(), most, "levels")
     levels: dict[str, list[str]] = {c: [] for c in columns}
     for column, level in rows:
         levels[column].append(level)

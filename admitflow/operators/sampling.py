@@ -5,7 +5,9 @@ is at most the n-th smallest hash", so only that one hash must be found: bucket
 counts by hash prefix locate it, and rows are ranked only inside the bucket it
 falls in. Class sizes and these cut hashes are fitted first (a few values per
 class); the sample itself is then a filter, and no row moves to be sampled.
-Keys must be unique and labels not null.
+A key is a column or a list of columns that name a row uniquely; rows with an
+equal key stay together, and counts are then those of keys' rows only nearly.
+Labels are not null.
 """
 
 from __future__ import annotations
@@ -18,24 +20,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from admitflow.functions.vectors import hash_int, hash_text
+from admitflow.session import cut_lineage
 
 PREFIX = 4  # hex digits: 65,536 buckets per class
-MAX_CLASSES = 1000
-ORDERED_LIMIT = 50_000  # up to here a plain top-n is cheaper than a cut
+Key = str | Sequence[str]
 
 
 def class_sizes(df: DataFrame, label: str, name: str = "n") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias(name))
 
 
-def class_counts(df: DataFrame, label: str) -> dict:
-    """{class: rows}, in class order."""
-    rows = class_sizes(df, label).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
+def class_counts(df: DataFrame, label: str, most: int | None = None) -> dict:
+    """{class: rows}, in class order. ``most`` is the caller's bound on the classes, if more would be a mistake."""
+    sizes = class_sizes(df, label)
+    rows = (sizes if most is None else sizes.limit(most + 1)).collect()
+    if most is not None and len(rows) > most:
+        raise ValueError(f"{label} has more than {most} classes")
     return dict(sorted((r[0], r[1]) for r in rows))
 
 
+def key_columns(key: Key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def draw_key(key: Key) -> Column:
+    """One value that names a row: the key column, or its columns joined by colons."""
+    return F.col(key) if isinstance(key, str) else F.concat_ws(":", *(F.col(k).cast("string") for k in key))
+
+
 def _per_class(label: str | None, values: dict, default: Column) -> Column:
     """The value of the row's class; without a label there is one class, None."""
     if label is None:
@@ -46,7 +58,7 @@ def _per_class(label: str | None, values: dict, default: Column) -> Column:
     return default if out is None else out.otherwise(default)
 
 
-def hash_cuts(df: DataFrame, key: str, seed, quotas: dict, label: str | None = None) -> dict:
+def hash_cuts(df: DataFrame, key: Key, seed, quotas: dict, label: str | None = None) -> dict:
     """For ``{class: [row counts]}``, the hash of the q-th row of the class, for each q.
 
     A count of 0 has the cut None: no row is below it. Counts must not exceed
@@ -74,14 +86,14 @@ def hash_cuts(df: DataFrame, key: str, seed, quotas: dict, label: str | None = N
     return {c: [cut.get((c, q)) for q in qs] for c, qs in quotas.items()}
 
 
-def below_cut(key: str, seed, cuts: dict, i: int = 0, label: str | None = None) -> Column:
+def below_cut(key: Key, seed, cuts: dict, i: int = 0, label: str | None = None) -> Column:
     """Is the row among the first q of its class, for cut number ``i``?"""
     h = hash_text(key, seed)
     tests = {c: F.lit(False) if found[i] is None else h <= F.lit(found[i]) for c, found in cuts.items()}
     return _per_class(label, tests, F.lit(False))
 
 
-def hash_rank(df: DataFrame, key: str, seed, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
+def hash_rank(df: DataFrame, key: Key, seed, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """Zero-based position of every row in the hash order of its class.
 
     Rows are ranked inside (class, hash bucket) and shifted by the bucket's start.
@@ -97,10 +109,8 @@ def hash_rank(df: DataFrame, key: str, seed, by: Sequence[str] = (), name: str =
     return ranked.select(*df.columns, (F.col("_start") + inside - 1).alias(name))
 
 
-def sample_n(df: DataFrame, key: str, n: int, seed) -> DataFrame:
-    """n rows in hash order (all rows when there are fewer)."""
-    if n <= ORDERED_LIMIT:
-        return df.orderBy(hash_text(key, seed)).limit(n)
+def sample_n(df: DataFrame, key: Key, n: int, seed) -> DataFrame:
+    """The n first rows in hash order (all rows when there are fewer), filtered where they are."""
     cuts = hash_cuts(df, key, seed, {None: [min(n, df.count())]})
     return df.where(below_cut(key, seed, cuts))
 
@@ -116,19 +126,19 @@ def union_rows(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def _split(df: DataFrame, key: str, seed, test: int, validation: int) -> DataFrame:
+def _split(df: DataFrame, key: Key, seed, test: int, validation: int) -> DataFrame:
     cuts = hash_cuts(df, key, seed, {None: [test, test + validation]})
     part = F.when(below_cut(key, seed, cuts, 0), "test").when(below_cut(key, seed, cuts, 1), "validation")
     return df.withColumn("split", part.otherwise("train"))
 
 
-def split_exact(df: DataFrame, key: str, seed, test: float, validation: float) -> DataFrame:
+def split_exact(df: DataFrame, key: Key, seed, test: float, validation: float) -> DataFrame:
     """Add ``split``: int(test * n) test rows, int(validation * n) validation rows, the rest train."""
     n = df.count()
     return _split(df, key, seed, int(test * n), int(validation * n))
 
 
-def split_three_way(df: DataFrame, key: str, seed, test: float, validation: float, train: float) -> DataFrame:
+def split_three_way(df: DataFrame, key: Key, seed, test: float, validation: float, train: float) -> DataFrame:
     """Cut off ceil(test * n); of the rest, ceil of validation / (validation + train) validates."""
     n = df.count()
     tested = math.ceil(test * n)
@@ -147,14 +157,14 @@ def stratified_quota(sizes: dict, test: float) -> dict:
     return quota
 
 
-def split_stratified(df: DataFrame, key: str, label: str, seed, test: float) -> DataFrame:
+def split_stratified(df: DataFrame, key: Key, label: str, seed, test: float) -> DataFrame:
     """Add ``split`` with the test share spread over the classes."""
     quota = stratified_quota(class_counts(df, label), test)
     cuts = hash_cuts(df, key, seed, {c: [q] for c, q in quota.items()}, label)
     return df.withColumn("split", F.when(below_cut(key, seed, cuts, 0, label), "test").otherwise("train"))
 
 
-def kfold_assign(df: DataFrame, key: str, label: str, seed, k: int, name: str = "fold") -> DataFrame:
+def kfold_assign(df: DataFrame, key: Key, label: str, seed, k: int, name: str = "fold") -> DataFrame:
     """Add a fold number 0..k-1: each class is cut, in hash order, into k runs of even length."""
     quotas = {c: [n * i // k for i in range(1, k)] for c, n in class_counts(df, label).items()}
     cuts = hash_cuts(df, key, seed, quotas, label)
@@ -162,7 +172,7 @@ def kfold_assign(df: DataFrame, key: str, label: str, seed, k: int, name: str =
     return df.withColumn(name, sum(past, F.lit(0)))
 
 
-def _draw(draws: DataFrame, pool: DataFrame, key: str, seed, sizes: dict, label: str | None = None) -> DataFrame:
+def _draw(draws: DataFrame, pool: DataFrame, key: Key, seed, sizes: dict, label: str | None = None) -> DataFrame:
     """For each draw key, one row of the pool (of its class): position hash mod pool size.
 
     ``draws`` has ``draw`` and the label, if there is one; ``sizes`` has the pool
@@ -176,7 +186,7 @@ def _draw(draws: DataFrame, pool: DataFrame, key: str, seed, sizes: dict, label:
     return aimed.join(placed, [*by, "_pos"]).drop("_pos")
 
 
-def ratio_sample(df: DataFrame, key: str, label: str, seed, ratio: float) -> DataFrame:
+def ratio_sample(df: DataFrame, key: Key, label: str, seed, ratio: float) -> DataFrame:
     """Positives : negatives = 1 : ratio. Adds ``draw``, unique within a class.
 
     pos = min(floor(n / (ratio + 1)), available), neg = floor(ratio * pos).
@@ -188,43 +198,48 @@ def ratio_sample(df: DataFrame, key: str, label: str, seed, ratio: float) -> Dat
     pos = min(math.floor(sum(sizes.values()) / (ratio + 1)), have_pos)
     neg = math.floor(ratio * pos)
     plain = {1: [pos], 0: [neg if neg <= have_neg else 0]}
-    once = df.where(below_cut(key, seed, hash_cuts(df, key, seed, plain, label), 0, label)).withColumn("draw", F.col(key))
+    once = df.where(below_cut(key, seed, hash_cuts(df, key, seed, plain, label), 0, label)).withColumn("draw", draw_key(key))
     if neg <= have_neg or not have_neg:
         return once
     any_row = hash_cuts(df, key, seed, {None: [neg]})
-    draws = df.where(below_cut(key, seed, any_row)).select(F.col(key).alias("draw"))
+    draws = df.where(below_cut(key, seed, any_row)).select(draw_key(key).alias("draw"))
     again = _draw(draws, df.where(F.col(label) == 0), key, seed, {None: have_neg})
     return once.unionByName(again.select(*once.columns))
 
 
 def generate_samples(
-    df: DataFrame, key: str, label: str, seed, ratio: float, test: float, validation: float
+    df: DataFrame, key: Key, label: str, seed, ratio: float, test: float, validation: float
 ) -> DataFrame:
-    """Split by exact counts, then ratio-sample the training part only."""
+    """Split by exact counts, then ratio-sample the training part only.
+
+    The rows are stored first: they are read for several counts and cuts, and
+    what made them may be a long plan.
+    """
+    df = cut_lineage(df, "samples")
     split = split_exact(df, key, seed, test, validation)
     train = ratio_sample(split.where("split = 'train'"), key, label, seed, ratio)
-    held = split.where("split != 'train'").withColumn("draw", F.col(key))
+    held = split.where("split != 'train'").withColumn("draw", draw_key(key))
     return train.unionByName(held.select(*train.columns))
 
 
-def oversample_minority(df: DataFrame, key: str, label: str, seed) -> DataFrame:
+def oversample_minority(df: DataFrame, key: Key, label: str, seed) -> DataFrame:
     """Add copies of minority rows, drawn with replacement, up to the majority's size.
 
     Each majority row past the first n_minority (in hash order) stands for one
     draw, so draws are made where the data is. ``draw`` is null for originals.
     """
-    originals = df.withColumn("draw", F.lit(None).cast(df.schema[key].dataType))
+    originals = df.withColumn("draw", F.when(F.lit(False), draw_key(key)))
     sizes = class_counts(df, label)
     if len(set(sizes.values())) < 2:
         return originals
     few, many = min(sizes, key=sizes.get), max(sizes, key=sizes.get)
     cuts = hash_cuts(df, key, seed, {many: [sizes[few]]}, label)
-    past = df.where((F.col(label) == many) & ~below_cut(key, seed, cuts, 0, label)).select(F.col(key).alias("draw"))
+    past = df.where((F.col(label) == many) & ~below_cut(key, seed, cuts, 0, label)).select(draw_key(key).alias("draw"))
     copies = _draw(past, df.where(F.col(label) == few), key, seed, {None: sizes[few]})
     return originals.unionByName(copies.select(*originals.columns))
 
 
-def undersample_majority(df: DataFrame, key: str, label: str, seed, share: float = 0.55) -> DataFrame:
+def undersample_majority(df: DataFrame, key: Key, label: str, seed, share: float = 0.55) -> DataFrame:
     """Keep int(n_minority / share) rows of the majority class and all others."""
     sizes = class_counts(df, label)
     if not sizes:
@@ -240,7 +255,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return class_sizes(df, label).withColumn("weight", 1.0 / F.col("n"))
 
 
-def weighted_bootstrap(df: DataFrame, key: str, label: str, seed) -> DataFrame:
+def weighted_bootstrap(df: DataFrame, key: Key, label: str, seed) -> DataFrame:
     """n draws with replacement, weighted by inverse class frequency.
 
     Under these weights every class is equally likely: each row stands for one
@@ -248,7 +263,7 @@ def weighted_bootstrap(df: DataFrame, key: str, label: str, seed) -> DataFrame:
     """
     sizes = class_counts(df, label)
     classes = F.array(*(F.lit(c) for c in sizes))
-    draws = df.select(F.col(key).alias("draw"))
+    draws = df.select(draw_key(key).alias("draw"))
     pick = F.pmod(hash_int("draw", f"{seed}:class"), F.lit(len(sizes))).cast("int")
     draws = draws.select("draw", F.get(classes, pick).alias(label))
     return _draw(draws, df, key, seed, sizes, label)

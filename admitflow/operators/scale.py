@@ -1,7 +1,7 @@
 """Scaling, imputing and binning of numeric cells in long form (code, value).
 
-``groups`` is a known upper bound on the number of codes; within
-BROADCAST_GROUPS the fitted statistics, one row per code, are broadcast.
+The fitted statistics are a frame with one row per code, joined by code. Whether
+it is small enough to be broadcast is seen by Spark from its size.
 """
 
 from __future__ import annotations
@@ -15,18 +15,15 @@ from pyspark.sql import functions as F
 
 from admitflow.operators.totals import quantiles
 
-BROADCAST_GROUPS = 5000  # statistics of at most this many codes are broadcast
-
-
-def _with_stats(cells: DataFrame, stats: DataFrame, by: Sequence[str], groups: int | None) -> DataFrame:
-    if groups is not None and groups <= BROADCAST_GROUPS:
-        stats = F.broadcast(stats)
+def _with_stats(cells: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     return cells.join(stats, list(by), "left")
 
 
-def fit_spread(cells: DataFrame, value: str, by: Sequence[str], low: float, high: float) -> DataFrame:
+def fit_spread(
+    cells: DataFrame, value: str, by: Sequence[str], low: float, high: float, weight: str | None = None
+) -> DataFrame:
     """Per code: ``low`` and ``high`` percentile and the median, exact."""
-    return quantiles(cells, value, {"low": low, "median": 0.5, "high": high}, by).drop("n")
+    return quantiles(cells, value, {"low": low, "median": 0.5, "high": high}, by, weight).drop("n")
 
 
 def scaled(value: Column, median: Column, denominator: Column) -> Column:
@@ -34,26 +31,28 @@ def scaled(value: Column, median: Column, denominator: Column) -> Column:
     return F.try_divide(value - median, denominator)
 
 
-def scale_p1_p99(cells: DataFrame, value: str, by: Sequence[str], groups: int | None = None) -> DataFrame:
+def scale_p1_p99(cells: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """(x - median) / (p1 - p99). The denominator is negative: the sign flips."""
     stats = fit_spread(cells, value, by, 0.01, 0.99)
-    joined = _with_stats(cells, stats, by, groups)
+    joined = _with_stats(cells, stats, by)
     out = scaled(F.col(value), F.col("median"), F.col("low") - F.col("high"))
     return joined.withColumn(value, out).drop("low", "median", "high")
 
 
-def scale_iqr(cells: DataFrame, reference: DataFrame, value: str, by: Sequence[str], groups: int | None = None) -> DataFrame:
-    """(x - median) / (p75 - p25), with the statistics of ``reference``."""
-    stats = fit_spread(reference, value, by, 0.25, 0.75)
-    joined = _with_stats(cells, stats, by, groups)
+def scale_iqr(
+    cells: DataFrame, reference: DataFrame, value: str, by: Sequence[str], weight: str | None = None
+) -> DataFrame:
+    """(x - median) / (p75 - p25), with the statistics of ``reference``, whose rows may have a ``weight``."""
+    stats = fit_spread(reference, value, by, 0.25, 0.75, weight)
+    joined = _with_stats(cells, stats, by)
     out = scaled(F.col(value), F.col("median"), F.col("high") - F.col("low"))
     return joined.withColumn(value, out).drop("low", "median", "high")
 
 
-def impute_median(cells: DataFrame, value: str, by: Sequence[str], groups: int | None = None) -> DataFrame:
+def impute_median(cells: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Fill null cells with the exact median of their code."""
     stats = quantiles(cells, value, {"median": 0.5}, by).drop("n")
-    joined = _with_stats(cells, stats, by, groups)
+    joined = _with_stats(cells, stats, by)
     return joined.withColumn(value, F.coalesce(F.col(value), F.col("median"))).drop("median")
 
 
@@ -77,7 +76,7 @@ def bin_label(value: Column, lo: Column, step: Column, count: Column, most: int
     return F.coalesce(reduce(add, above), F.lit(0)).cast("string")
 
 
-def bin_equal_width(cells: DataFrame, value: str, by: Sequence[str], most: int = 6, groups: int | None = None) -> DataFrame:
-    joined = _with_stats(cells, fit_bins(cells, value, by, most), by, groups)
+def bin_equal_width(cells: DataFrame, value: str, by: Sequence[str], most: int = 6) -> DataFrame:
+    joined = _with_stats(cells, fit_bins(cells, value, by, most), by)
     label = bin_label(F.col(value), F.col("bin_lo"), F.col("bin_step"), F.col("bin_count"), most)
     return joined.withColumn(value, label).drop("bin_lo", "bin_step", "bin_count")

@@ -70,16 +70,20 @@ def _covers(rank: Column) -> Column:
     return (F.col("_n_run") - F.col("_n") <= rank) & (rank < F.col("_n_run"))
 
 
-def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+def quantiles(
+    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
     ``probs`` maps output names to probabilities. Nulls are left out; a group of
     only nulls gives no row (without ``by``: one row of nulls). Also returns
     ``n``, the number of values. The source rows are read once, to count
-    (group, value) pairs; the rest works on those counts.
+    (group, value) pairs; the rest works on those counts. ``weight`` names a
+    column that says how many rows a row stands for.
     """
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    times = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(times.alias("_n"))
     run = running_totals(range_bucket(counts, value, by), by, [value], ["_n"], bucket="_range")
     place = {name: (F.col("_n_all") - 1) * F.lit(float(p)) for name, p in probs.items()}
     wanted = F.lit(False)

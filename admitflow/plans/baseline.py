@@ -40,7 +40,7 @@ class Baseline:
 
 def run(
     df: DataFrame,
-    key: str,
+    key: sampling.Key,
     label: str,
     features: Sequence[str],
     make: Callable[[], Estimator] = learn.forest,

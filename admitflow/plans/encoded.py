@@ -20,7 +20,7 @@ def encoded_cohort(
     code: int = 128,
     rate: float = 1e-3,
 ) -> tuple[DataFrame, encode.Autoencoder]:
-    """(key, y, encoded) of the cohort, and the fitted encoder.
+    """(key, charttime, y, encoded) of the cohort, and the fitted encoder.
 
     ``features`` is the binned table: its 0/1 columns suit the encoder's
     cross-entropy loss.
@@ -28,6 +28,6 @@ def encoded_cohort(
     names = [c for c in features.columns if c != key]
     rows = cut_lineage(matrix.split_xy(matrix.to_matrix(features, key)).select(key, "x"))
     start = encode.new_autoencoder(len(names), hidden, code)
-    model = encode.fit_autoencoder(rows, "x", start, params.encoder_training_epochs, rate)
+    model = encode.fit_autoencoder(rows, key, "x", start, params.encoder_training_epochs, rate)
     cohort = build_cohort(labels, rows)
-    return encode.encode_rows(cohort, "x", model, [key, "y"]), model
+    return encode.encode_rows(cohort, "x", model, [c for c in cohort.columns if c != "x"]), model

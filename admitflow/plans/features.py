@@ -214,7 +214,7 @@ def _text_cells(b: Blocks, text: Sequence[str], static: Sequence[str]) -> DataFr
 
 
 def _binned_cells(numbers: DataFrame, stats: DataFrame) -> DataFrame:
-    joined = numbers.join(F.broadcast(stats), "code")
+    joined = numbers.join(stats, "code")
     label = scale.bin_label(F.col("x"), F.col("bin_lo"), F.col("bin_step"), F.col("bin_count"))
     return joined.select(KEY, F.col("code").alias("column"), label.alias("level"))
 
@@ -229,44 +229,44 @@ def _stats_frame(spec: FeatureSpec, spark) -> DataFrame:
     return spark.createDataFrame(spec.stats, columns)
 
 
-def _collect_levels(cells: DataFrame) -> dict[str, list[str]]:
+def _collect_levels(cells: DataFrame, most: int) -> dict[str, list[str]]:
     found: dict[str, list[str]] = {}
-    rows = cells.select("column", "level").distinct().limit(reshape.MAX_COLUMNS + 1).collect()
-    if len(rows) > reshape.MAX_COLUMNS:
-        raise ValueError(f"more than {reshape.MAX_COLUMNS} levels; too many to become columns")
-    for column, level in rows:
+    for column, level in reshape.bounded(cells.select("column", "level").distinct(), most, "levels"):
         found.setdefault(column, []).append(level)
     return {c: sorted(v) for c, v in sorted(found.items())}
 
 
-def fit_features(b: Blocks, params: Params, rules: Rules = Rules(), binned: bool = False) -> FeatureSpec:
+def fit_features(
+    b: Blocks, params: Params, rules: Rules = Rules(), binned: bool = False, widest: int = reshape.WIDEST
+) -> FeatureSpec:
     """Find codes, column kinds, levels and statistics.
 
     Sparsity and kinds are judged over all admissions with a lab event; scaling
-    and binning over those also in the population.
+    and binning over those also in the population. All that comes to the driver
+    is named in a column of the result: at most ``widest`` codes or levels.
     """
     lab_keys = b.labs.select(KEY).distinct()
     n_rows = lab_keys.count()
-    flags = reshape.vocabulary(b.labs, "code")
+    flags = reshape.vocabulary(b.labs, "code", widest)
     dense = profile.dense_codes(profile.code_profile(b.cells), n_rows, params.max_sparsity)
-    kinds = {r["code"]: r["kind"] for r in profile.code_kinds(dense).collect()}
+    kinds = {r["code"]: r["kind"] for r in reshape.bounded(profile.code_kinds(dense), widest, "codes")}
     numeric = sorted(c for c, k in kinds.items() if k == "numeric")
     text = sorted(c for c, k in kinds.items() if k != "numeric")
     numbers = _numeric_cells(b.cells, numeric, b.static, b.prev, lab_keys)
     if binned:
         fitted = scale.fit_bins(numbers, "x", ["code"])
-        stats = [tuple(r) for r in fitted.select("code", "bin_lo", "bin_step", F.col("bin_count").cast("int")).collect()]
+        stats = [tuple(r) for r in reshape.bounded(fitted.select("code", "bin_lo", "bin_step", F.col("bin_count").cast("int")), widest, "codes")]
     else:
         spread = scale.fit_spread(numbers, "x", ["code"], 0.01, 0.99)
-        stats = [tuple(r) for r in spread.select("code", "median", (F.col("low") - F.col("high")).alias("width")).collect()]
+        stats = [tuple(r) for r in reshape.bounded(spread.select("code", "median", (F.col("low") - F.col("high")).alias("width")), widest, "codes")]
     cells = _text_cells(b, text, rules.static)
     if binned:
         frame = _stats_frame(FeatureSpec(True, [], [], [], [], {}, stats), b.labs.sparkSession)
         cells = cells.unionByName(_binned_cells(numbers, frame)).unionByName(
             _flag_cells(b.labs).join(b.static.select(KEY), KEY, "left_semi")
         )
-    levels = _collect_levels(cells)
-    return FeatureSpec(binned, numeric, text, flags, reshape.vocabulary(b.drugs, "drug"), levels, stats)
+    levels = _collect_levels(cells, widest)
+    return FeatureSpec(binned, numeric, text, flags, reshape.vocabulary(b.drugs, "drug", widest), levels, stats)
 
 
 def _level_name(column, level):
@@ -290,7 +290,7 @@ def _facts(b: Blocks, spec: FeatureSpec, rules: Rules) -> DataFrame:
     if spec.binned:
         levels = levels.unionByName(_binned_cells(numbers, stats)).unionByName(_flag_cells(b.labs))
     else:
-        joined = numbers.join(F.broadcast(stats), "code")
+        joined = numbers.join(stats, "code")
         x = scale.scaled(F.col("x"), F.col("median"), F.col("width"))
         parts.append(joined.select(KEY, F.col("code").alias("name"), x.alias("v")))
         flag = recode.flag_code("flag").cast("double")

@@ -73,8 +73,13 @@ def _cleaned(cells: DataFrame, rules: ResearchRules) -> DataFrame:
     return shown.where(recode.not_failed("value", rules.failures))
 
 
-def research_table(src: Sources, tests: DataFrame, rules: ResearchRules, params: Params) -> DataFrame:
-    """One row per labelled admission with a lab value; label last, as ``RESISTANT_YN``."""
+def research_table(
+    src: Sources, tests: DataFrame, rules: ResearchRules, params: Params, widest: int = reshape.WIDEST
+) -> DataFrame:
+    """One row per labelled admission with a lab value; label last, as ``RESISTANT_YN``.
+
+    Codes and levels become columns, at most ``widest`` of them.
+    """
     cohort = cut_lineage(cohort_labels(src, tests, rules, params))
     # The catalogue has one row per lab item.
     codes = cut_lineage(important_labs(src, tests, rules).where(F.col("cnt") >= rules.common).select("itemid", "loinc_code"))
@@ -84,16 +89,19 @@ def research_table(src: Sources, tests: DataFrame, rules: ResearchRules, params:
     cells = cut_lineage(
         first.join(cohort.select(KEY), KEY, "left_semi").select(KEY, F.col("loinc_code").alias("code"), "value")
     )
-    all_values = _cleaned(measured.select(F.col("loinc_code").alias("code"), "value"), rules)
-    kinds = {r["code"]: r["kind"] for r in profile.code_kinds(profile.code_profile(all_values)).collect()}
+    # One count per (code, value) serves kinds and reference statistics: all values are read once for both.
+    counted = measured.groupBy(F.col("loinc_code").alias("code"), "value").agg(F.count(F.lit(1)).alias("n"))
+    all_values = cut_lineage(_cleaned(counted, rules))
+    kinds = profile.code_kinds(profile.code_profile(all_values, weight="n"))
+    kinds = {r["code"]: r["kind"] for r in reshape.bounded(kinds, widest, "codes")}
     kinds = {c: k for c, k in kinds.items() if c not in rules.unusable}
     numeric = sorted(c for c, k in kinds.items() if k == "numeric")
     words = sorted(c for c, k in kinds.items() if k == "categorical")
 
-    reference = all_values.where(F.col("code").isin(numeric)).select("code", recode.to_number("value").alias("x"))
+    reference = all_values.where(F.col("code").isin(numeric)).select("code", recode.to_number("value").alias("x"), "n")
     numbers = cells.where(F.col("code").isin(numeric)).select(KEY, "code", recode.to_number("value").alias("x"))
-    scaled = cut_lineage(scale.scale_iqr(numbers, reference, "x", ["code"], groups=len(numeric)).where("x is not null"))
-    medians = {r["code"]: r["median"] for r in quantiles(scaled, "x", {"median": 0.5}, ["code"]).collect()}
+    scaled = cut_lineage(scale.scale_iqr(numbers, reference, "x", ["code"], "n").where("x is not null"))
+    medians = {r["code"]: r["median"] for r in reshape.bounded(quantiles(scaled, "x", {"median": 0.5}, ["code"]), widest, "codes")}
 
     base = cells.select(KEY).distinct()
     recoded = features.recode_labs("code", "value", rules.lab_recodes)

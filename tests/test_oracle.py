@@ -7,9 +7,6 @@ import oracle
 
 QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 
-# Their column set is fitted to the data; the SQL spells out that of sf0.01.
-FITTED = {"feature_table", "feature_table_binned", "labelled_cohort", "research_table"}
-
 
 @pytest.fixture(scope="module")
 def db(folder):

@@ -71,13 +71,12 @@ def test_resampling_sizes(rows):
     assert abs(drawn.where("y = 1").count() - 1500) < 150
 
 
-def test_hash_rank_and_large_sample(rows, monkeypatch):
+def test_hash_rank_and_large_sample(rows):
     ranked = sampling.hash_rank(rows, "id", 9).collect()
     assert sorted(r["rank"] for r in ranked) == list(range(3000))
     top = {r.id for r in ranked if r["rank"] < 500}
     assert {r.id for r in sampling.sample_n(rows, "id", 500, 9).collect()} == top
-    monkeypatch.setattr(sampling, "ORDERED_LIMIT", 10)
-    assert {r.id for r in sampling.sample_n(rows, "id", 500, 9).collect()} == top
+    assert "TakeOrderedAndProject" not in sampling.sample_n(rows, "id", 500, 9)._jdf.queryExecution().executedPlan().toString()
     assert sampling.sample_n(rows, "id", 5000, 9).count() == 3000
 
 
@@ -188,3 +187,38 @@ def test_pivot_then_unpivot_is_identity(spark):
     wide = reshape.pivot_values(long, "k", "code", "v", codes)
     back = wide.unpivot(["k"], codes, "code", "v").where("v is not null")
     assert back.exceptAll(long).count() == 0 and long.exceptAll(back).count() == 0
+
+
+def test_a_list_of_columns_names_a_row(spark):
+    """Seven rows per admission: counts are exact by (admission, time), as they are by a unique key."""
+    df = spark.range(1000).select(
+        F.floor(F.col("id") / 7).alias("hadm_id"), (F.col("id") % 7).alias("at"), (F.col("id") % 5 == 0).cast("int").alias("y")
+    )
+    key = ["hadm_id", "at"]
+    split = Counter(r.split for r in sampling.split_exact(df, key, 3, 0.3, 0.1).collect())
+    assert split == {"test": 300, "validation": 100, "train": 600}
+    over = sampling.oversample_minority(df, key, "y", 3)
+    assert Counter(r.y for r in over.collect()) == {0: 800, 1: 800}
+    taken = sampling.ratio_sample(df, key, "y", 3, 3.0)
+    assert Counter(r.y for r in taken.collect()) == {1: 200, 0: 600}
+    again = sampling.ratio_sample(df.withColumn("y", 1 - F.col("y")), key, "y", 3, 3.0)
+    assert Counter(r.y for r in again.collect()) == {1: 250, 0: 750}
+    assert sampling.weighted_bootstrap(df, key, "y", 3).count() == 1000
+    samples = sampling.generate_samples(df, key, "y", 3, 3.0, 0.3, 0.1)
+    assert samples.where("split = 'train'").select(*key).distinct().count() == samples.where("split = 'train'").count()
+
+
+def test_rank_table_without_a_top(spark):
+    df = spark.range(500).select(F.concat(F.lit("n"), F.col("id")).alias("name"), (F.col("id") % 40 / 7.0).alias("score"))
+    got = evaluate.rank_table(df, "name", "score").collect()
+    want = sorted(got, key=lambda r: (-r.score, r.name))
+    assert [r.name for r in sorted(got, key=lambda r: r["rank"])] == [r.name for r in want]
+    assert sorted(r["rank"] for r in got) == list(range(1, 501))
+
+
+def test_weighted_quantiles_are_those_of_repeated_rows(spark):
+    df = spark.range(50).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"), (F.col("id") % 4 + 1).alias("n"))
+    long = df.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    probs = {"a": 0.2, "b": 0.5}
+    one, two = totals.quantiles(df, "x", probs, ["g"], "n").collect(), totals.quantiles(long, "x", probs, ["g"]).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two))

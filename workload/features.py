@@ -1,10 +1,14 @@
 """The feature table and the labelled cohort."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
+from admitflow.operators import learn, sampling
 from admitflow.params import Params
-from admitflow.plans import cohort
+from admitflow.plans import baseline, cohort
 from admitflow.plans.features import Rules, Sources, build_features, clinical_static, lab_events, population
+from admitflow.session import cut_lineage
 from admitflow.sources.tables import stage
 from workload.registry import query
 
@@ -32,7 +36,7 @@ def staged_labs(t, src, params, name: str):
     return stage(t.spark, f"{t.tag}_{name}_lab_events", lambda: lab_events(src, population(src, params), RULES, params))
 
 
-_CTES = r"""
+CTES = r"""
     with events as (
       select hadm_id, itemid::varchar as code, value, flag from (
         select *, row_number() over (partition by hadm_id, itemid order by charttime desc, value desc nulls last, flag desc nulls last) as rn
@@ -156,12 +160,12 @@ def _scaled_features(t, name: str):
     return features.select(*((F.round(f"`{c}`", 6) + 0.0).alias(c) if c in numbers else F.col(f"`{c}`") for c in features.columns))
 
 
-@query("feature_table", f"{_CTES}{_STATS} {SCALED_SQL}")
+@query("feature_table", f"{CTES}{_STATS} {SCALED_SQL}")
 def feature_table(t):
     return _scaled_features(t, "scaled")
 
 
-@query("feature_table_binned", f"{_CTES}{_BIN_STATS} {BINNED_SQL}")
+@query("feature_table_binned", f"{CTES}{_BIN_STATS} {BINNED_SQL}")
 def feature_table_binned(t):
     src, params = sources(t), Params()
     return build_features(src, params, RULES, binned=True, labs=staged_labs(t, src, params, "binned"))[0]
@@ -169,8 +173,8 @@ def feature_table_binned(t):
 
 @query(
     "labelled_cohort",
-    f"""{_CTES}{_STATS}, features as ({SCALED_SQL})
-    select f.*, c.y from features f join (
+    f"""{CTES}{_STATS}, features as ({SCALED_SQL})
+    select f.*, c.charttime, c.y from features f join (
       select a.hadm_id, m.charttime, max(case when m.interpretation in ('R', 'I') then 1 else 0 end) as y
       from admissions a join microbiology m on m.hadm_id = a.hadm_id
       where m.ab_name = 'F' and m.org_itemid < 60 and date_sub('hour', a.admittime, m.charttime) > 24 group by 1, 2) c
@@ -179,3 +183,73 @@ def feature_table_binned(t):
 def labelled_cohort(t):
     labels = cohort.resistance_labels(t.admissions, t.microbiology, Params(), ["F"], range(60))
     return cohort.build_cohort(labels, _scaled_features(t, "cohort"))
+
+
+@query(
+    "organism_cohort",
+    f"""{CTES}{_STATS}, features as ({SCALED_SQL})
+    select f.*, c.y from features f join (
+      select a.hadm_id, max(case when m.interpretation in ('R', 'I', 'S') then m.org_itemid else 0 end) as y
+      from admissions a join microbiology m on m.hadm_id = a.hadm_id
+      where m.ab_name = 'F' and m.org_itemid < 60 and date_sub('hour', a.admittime, m.charttime) > 24 group by 1) c
+    on c.hadm_id = f.hadm_id""",
+)
+def organism_cohort(t):
+    """Admissions labelled with the tested organism, and their features."""
+    labels = cohort.organism_labels(t.admissions, t.microbiology, Params(), ["F"], range(60))
+    return cohort.build_cohort(labels, _scaled_features(t, "organisms"), "resistant_label")
+
+
+_COHORT = """
+    tested as (
+      select a.hadm_id, m.charttime, max(case when m.interpretation in ('R', 'I') then 1 else 0 end) as y
+      from admissions a join microbiology m on m.hadm_id = a.hadm_id
+      where m.ab_name = 'F' and m.org_itemid < 60 and date_sub('hour', a.admittime, m.charttime) > 24 group by 1, 2),
+    cohort as (select t.* from tested t join base b on b.hadm_id = t.hadm_id)"""
+_KEYED = "hadm_id::varchar || ':' || strftime(charttime, '%Y-%m-%d %H:%M:%S')"
+_MD5 = f"md5({_KEYED} || ':11')"
+
+
+def _flow_cohort(t, name: str):
+    labels = cohort.resistance_labels(t.admissions, t.microbiology, Params(), ["F"], range(60))
+    return cohort.build_cohort(labels, _scaled_features(t, name))
+
+
+@query(
+    "cohort_samples",
+    f"""{CTES}, {_COHORT.strip()},
+    split as (select *, case when r < floor(n * 0.3::double) then 'test' when r < floor(n * 0.3::double) + floor(n * 0.1::double) then 'validation' else 'train' end as split
+      from (select *, row_number() over (order by {_MD5}) - 1 as r, count(*) over () as n from cohort)),
+    size as (select least(floor(count(*) / 4.0::double), count(*) filter (y = 1)) as pos, count(*) filter (y = 0) as have from split where split = 'train'),
+    ranked as (select *, row_number() over (partition by y order by {_MD5}) - 1 as cr, row_number() over (order by {_MD5}) - 1 as g from split where split = 'train'),
+    again as (select {_KEYED} as draw, ('0x' || substr(md5({_KEYED} || ':11:draw'), 1, 15))::bigint % have as r from ranked, size where floor(3 * pos) > have and g < floor(3 * pos))
+    select hadm_id, charttime, y, split, {_KEYED} as draw from ranked, size
+    where (y = 1 and cr < pos) or (y = 0 and floor(3 * pos) <= have and cr < floor(3 * pos))
+    union all select x.hadm_id, x.charttime, x.y, x.split, d.draw from again d join ranked x on x.y = 0 and x.cr = d.r
+    union all select hadm_id, charttime, y, split, {_KEYED} from split where split <> 'train'""",
+)
+def cohort_samples(t):
+    """The main flow up to training: features, labelled cohort, exact split, ratio sample of the training part."""
+    p = Params()
+    rows = _flow_cohort(t, "samples").select(*cohort.ROW_KEY, "y")
+    out = sampling.generate_samples(
+        rows, cohort.ROW_KEY, "y", p.random_state, p.negative_to_positive_ratio, p.test_set_fraction, p.validation_set_fraction
+    )
+    return out.select(*cohort.ROW_KEY, "y", "split", "draw")
+
+
+@query(
+    "main_flow",
+    f"""{CTES}, {_COHORT.strip()},
+    exact as (select y, ceil(sum(n) over () * 0.1::double) as want, ceil(sum(n) over () * 0.1::double) * n / sum(n) over () as q from (select y, count(*) as n from cohort group by 1)),
+    quota as (select y, floor(q) + (case when row_number() over (order by q - floor(q) desc, y) <= want - sum(floor(q)) over () then 1 else 0 end) as q from exact)
+    select hadm_id, charttime, y, true as valid from (select *, row_number() over (partition by y order by {_MD5}) - 1 as r from cohort) join quota using (y) where r < q""",
+)
+def main_flow(t):
+    """Features, labelled cohort, stratified split, oversampling, the study's forest, and the scored test rows."""
+    rows = cut_lineage(_flow_cohort(t, "flow"))
+    names = [c for c in rows.columns if c not in (*cohort.ROW_KEY, "y")]
+    done = baseline.run(rows, cohort.ROW_KEY, "y", names, partial(learn.forest, seed=11), 11, folds=0)
+    score = F.col("score")
+    fits = F.when(score > 0.5, F.col("prediction") == 1).when(score < 0.5, F.col("prediction") == 0).otherwise(True)
+    return done.scored.select(*cohort.ROW_KEY, "y", F.coalesce(score.between(0, 1) & fits, F.lit(False)).alias("valid"))

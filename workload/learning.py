@@ -1,9 +1,15 @@
-"""Training, scoring and encoding; row counts are checked, not values."""
+"""Training, scoring and encoding.
+
+Fitted values depend on the trainer, so a query returns what SQL can state of
+its result: the keys, labels and split of every scored row, the sizes of folds
+and curves, and whether scores, metrics and codes are what they must be.
+"""
 
 from functools import partial
 
 from pyspark.sql import functions as F
 
+from admitflow.functions import vectors
 from admitflow.operators import encode, evaluate, learn, sampling
 from admitflow.plans import baseline
 from admitflow.presets import clinical
@@ -32,7 +38,11 @@ def training_rows(t):
 
 
 FEATURES = ["lines", "quantity", "price", "discount", "tax", "suppliers", "open", "total"]
-small_forest = partial(learn.forest, trees=10, depth=5, features=3, seed=SEED)
+# The study's forest; its 40 features a split are all of this frame's.
+study_forest = partial(learn.forest, features="all", seed=SEED)
+# Curves fit a forest for every point.
+curve_forest = partial(learn.forest, trees=20, depth=8, features=3, seed=SEED)
+BOOSTING, EPOCHS = 20, 170
 
 
 def _split(t):
@@ -40,78 +50,138 @@ def _split(t):
     return rows.where("split = 'train'").drop("split"), rows.where("split = 'test'").drop("split")
 
 
-@query("model_roundtrip")
+_ROWS = "select l_orderkey as o_orderkey, max((l_returnflag = 'R')::int) as y, any_value(o_totalprice) as total from lineitem join orders on o_orderkey = l_orderkey group by 1"
+_RANKED = f"select *, row_number() over (partition by y order by md5(o_orderkey::varchar || ':42')) - 1 as r, count(*) over (partition by y) as n from ({_ROWS})"
+# Of the two classes, the quota of each in a test part of a tenth, by largest remainder.
+_TEST = f"""
+    with ranked as ({_RANKED}),
+    exact as (select y, ceil(sum(n) over () * 0.1::double) as want, ceil(sum(n) over () * 0.1::double) * n / sum(n) over () as q from (select y, count(*) as n from ranked group by 1)),
+    quota as (select y, floor(q) + (case when row_number() over (order by q - floor(q) desc, y) <= want - sum(floor(q)) over () then 1 else 0 end) as q from exact),
+    test as (select o_orderkey, y from ranked join quota using (y) where r < q)"""
+_SCORED = f"{_TEST} select o_orderkey, y::int as y, true as valid from test"
+
+
+def checked(scored, *keys: str):
+    """Keys and label of scored rows, and whether score and prediction are a probability and its class."""
+    score, predicted = F.col("score"), F.col("prediction")
+    fits = F.when(score > 0.5, predicted == 1).when(score < 0.5, predicted == 0).otherwise(predicted.isin(0, 1))
+    return scored.select(*(keys or (KEY,)), "y", F.coalesce(score.between(0, 1) & fits, F.lit(False)).alias("valid"))
+
+
+def _unit(*names: str):
+    """Every one of the columns lies in [0, 1]."""
+    out = F.lit(True)
+    for name in names:
+        out = out & F.coalesce(F.col(name).between(0, 1), F.lit(False))
+    return out
+
+
+@query("model_roundtrip", f"select count(*) as n, 0::bigint as n_different from ({_ROWS})")
 def model_roundtrip(t):
-    rows = training_rows(t)
-    model = learn.fit(rows, FEATURES, small_forest(trees=5))
+    """Scores of a reloaded model are those of the model."""
+    rows = cut_lineage(training_rows(t))
+    model = learn.fit(rows, FEATURES, study_forest())
     path = models.save_model(model, new_path(t.spark, f"{t.tag}_model"))
-    return learn.score(models.load_model(path), rows, KEY)
+    one = learn.score(model, rows, KEY).select(KEY, F.col("score").alias("before"))
+    two = learn.score(models.load_model(path), rows, KEY)
+    return one.join(two, KEY).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("before") != F.col("score")).alias("n_different"))
 
 
-@query("rf_train_score")
+@query("rf_train_score", _SCORED)
 def rf_train_score(t):
-    return baseline.run(training_rows(t), KEY, "y", FEATURES, small_forest, SEED, folds=0).scored
+    return checked(baseline.run(training_rows(t), KEY, "y", FEATURES, study_forest, SEED, folds=0).scored)
 
 
-@query("gbt_train_score")
+@query("gbt_train_score", _SCORED)
 def gbt_train_score(t):
     train, test = _split(t)
-    return learn.score(learn.fit(train, FEATURES, learn.boosted(rounds=5, seed=SEED)), test, KEY)
+    return checked(learn.score(learn.fit(train, FEATURES, learn.boosted(rounds=BOOSTING, seed=SEED)), test, KEY))
 
 
-@query("mlp_train_score")
+@query("mlp_train_score", _SCORED)
 def mlp_train_score(t):
     train, test = _split(t)
-    return learn.score(learn.fit(train, FEATURES, learn.perceptron(len(FEATURES), [16, 8], 10)), test, KEY)
+    return checked(learn.score(learn.fit(train, FEATURES, learn.perceptron(len(FEATURES), [128, 64], 10)), test, KEY))
 
 
-@query("multilabel_train_score")
+@query(
+    "multilabel_train_score",
+    f"""
+    select * from (
+      select 0 as label_id, sum(y)::bigint as support, true as valid from ({_ROWS})
+      union all select 1, sum((total > 250000)::int)::bigint, true from ({_ROWS}))""",
+)
 def multilabel_train_score(t):
-    rows = training_rows(t).withColumn("y2", (F.col("total") > 250000).cast("int"))
+    """Two labels, scored, thresholded and reported."""
+    rows = cut_lineage(training_rows(t).withColumn("y2", (F.col("total") > 250000).cast("int")))
     features = [f for f in FEATURES if f != "total"]
-    found = learn.fit_multilabel(rows, features, ["y", "y2"], lambda name: learn.perceptron(len(features), [8, 4], 5, label=name))
-    return learn.score_multilabel(found, rows, KEY)
+    found = learn.fit_multilabel(rows, features, ["y", "y2"], lambda name: learn.perceptron(len(features), [128, 64], 10, label=name))
+    scored = learn.score_multilabel(found, rows, KEY)
+    cut = scored.withColumn("predictions", F.transform("scores", lambda s: vectors.at_least(s)))
+    report = evaluate.multilabel_report(cut, "labels", "predictions", KEY)
+    return report.select("label_id", "support", _unit("accuracy", "precision", "recall", "f1").alias("valid"))
 
 
-@query("grid_sweep")
+# The study's layouts, narrowed by 32 to the width of this frame.
+LAYOUTS = [[max(n // 32, 2) for n in nodes] for nodes in clinical.LAYER_GRID]
+_LAYOUTS = ", ".join(f"({i}, '{'-'.join(map(str, nodes))}')" for i, nodes in enumerate(LAYOUTS))
+
+
+@query("grid_sweep", f"select layout, count(*) as n, true as valid from (values {_LAYOUTS}) v(i, layout) group by 1")
 def grid_sweep(t):
+    """All fifteen layouts; narrowed ones that are alike count together."""
     train, test = _split(t)
-    # The study's layouts, narrowed by 32 to the width of this frame.
-    layouts = [[max(n // 32, 2) for n in nodes] for nodes in clinical.LAYER_GRID if len(nodes) == 2]
-    return learn.grid_sweep(train, test, FEATURES, KEY, layouts, epochs=3)
+    swept = learn.grid_sweep(train, test, FEATURES, KEY, LAYOUTS, epochs=30)
+    valid = F.bool_and(_unit(*learn.METRICS)).alias("valid")
+    distinct = swept.groupBy("layout").agg(valid)
+    times = F.create_map(*(F.lit(x) for name in {"-".join(map(str, n)) for n in LAYOUTS} for x in (name, sum("-".join(map(str, n)) == name for n in LAYOUTS))))
+    return distinct.select("layout", times[F.col("layout")].cast("bigint").alias("n"), "valid")
 
 
-@query("cross_validate")
+@query("cross_validate", "select unnest(['accuracy', 'precision', 'recall', 'f1', 'roc_auc']) as metric, true as valid")
 def cross_validate(t):
-    rows = sampling.kfold_assign(training_rows(t), KEY, "y", SEED, 3)
+    rows = sampling.kfold_assign(training_rows(t), KEY, "y", SEED, 5)
     over = partial(sampling.oversample_minority, key=KEY, label="y", seed=SEED)
-    folds = learn.cross_validate(rows, FEATURES, KEY, partial(small_forest, trees=5), 3, resample=over, parallelism=3)
-    return learn.summarize_folds(folds)
+    folds = learn.cross_validate(rows, FEATURES, KEY, study_forest, 5, resample=over, parallelism=3)
+    table = learn.summarize_folds(folds)
+    return table.select("metric", (_unit("mean", "std") & (F.col("spread") == 2 * F.col("std"))).alias("valid"))
+
+
+_FOLDS = f"select o_orderkey, (select count(*) from range(1, 3) k where r >= floor(n * k.range / 3))::int as fold from ({_RANKED})"
 
 
-@query("learning_curve")
+@query(
+    "learning_curve",
+    f"""
+    with folds as ({_FOLDS})
+    select f.fold, floor(share * n)::int as size, true as valid
+    from (select k.range::int as fold, (select count(*) from folds where fold <> k.range) as n from range(0, 3) k) f,
+         (select unnest([0.1::double, 0.325::double, 0.55::double, 0.775::double, 1.0::double]) as share)""",
+)
 def learning_curve(t):
-    make = partial(small_forest, trees=3, depth=4)
-    return learn.learning_curve(training_rows(t), FEATURES, KEY, make, SEED, shares=(0.1, 0.55, 1.0), folds=2)
+    curve = learn.learning_curve(training_rows(t), FEATURES, KEY, curve_forest, SEED)
+    return curve.select("fold", "size", _unit("train_score", "test_score").alias("valid"))
 
 
-@query("validation_curve")
+@query("validation_curve", "select v.range::varchar as value, f.range::int as fold, true as valid from range(2, 5, 2) v, range(0, 3) f")
 def validation_curve(t):
-    make = lambda n: small_forest(trees=3, depth=4, features=n)
-    return learn.validation_curve(training_rows(t), FEATURES, KEY, make, [2, 4], SEED, folds=2)
+    curve = learn.validation_curve(training_rows(t), FEATURES, KEY, lambda n: curve_forest(features=n), [2, 4], SEED)
+    return curve.select("value", "fold", _unit("train_score", "test_score").alias("valid"))
 
 
-@query("feature_importance")
+@query("feature_importance", f"select unnest({FEATURES}) as label, true as shares_add_up")
 def feature_importance(t):
-    rows = training_rows(t)
-    return learn.feature_importance(learn.fit(rows, FEATURES, small_forest()), rows)
+    rows = cut_lineage(training_rows(t))
+    table = cut_lineage(learn.feature_importance(learn.fit(rows, FEATURES, study_forest()), rows))
+    total = table.agg(F.abs(F.sum("importance") - 1) < 1e-9).first()[0]
+    return table.select("label", (F.lit(total) & F.col("rank").between(1, len(FEATURES))).alias("shares_add_up"))
 
 
-@query("topk_retrain")
+@query("topk_retrain", _SCORED)
 def topk_retrain(t):
     train, test = _split(t)
-    model, _ = learn.topk_retrain(train, FEATURES, small_forest, top=4)
-    return learn.score(model, test, KEY)
+    model, _ = learn.topk_retrain(train, FEATURES, study_forest)
+    return checked(learn.score(model, test, KEY))
 
 
 def _unit_rows(t):
@@ -120,26 +190,53 @@ def _unit_rows(t):
     return t("embeddings").select("vec_id", "label", moved.alias("x"))
 
 
-@query("fit_encoder")
+def _coded(df, width: int):
+    """Whether a code has its width and finite entries."""
+    finite = F.forall("encoded", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return (finite & (F.size("encoded") == width)).alias("valid")
+
+
+@query("fit_encoder", f"select range::int as epoch, true as valid from range(1, {EPOCHS} + 1)")
 def fit_encoder(t):
-    model = encode.fit_autoencoder(_unit_rows(t), "x", encode.new_autoencoder(64, (32, 16), 8), epochs=5, rate=0.01)
-    return encode.loss_history(model, t.spark)
+    model = encode.fit_autoencoder(_unit_rows(t), "vec_id", "x", encode.new_autoencoder(64, (32, 16), 8), epochs=EPOCHS, rate=0.01)
+    falls = model.losses[-1] < model.losses[0]
+    return encode.loss_history(model, t.spark).select("epoch", (F.col("loss").between(0, 10) & F.lit(falls)).alias("valid"))
 
 
-@query("encode_rows")
+@query("encode_rows", "select vec_id, label, true as valid from embeddings")
 def encode_rows(t):
+    """Codes by an encoder that was stored and loaded."""
     rows = _unit_rows(t)
-    model = encode.fit_autoencoder(rows, "x", encode.new_autoencoder(64, (32, 16), 8), epochs=2, rate=0.01)
-    return encode.encode_rows(rows, "x", model, ["vec_id", "label"])
+    model = encode.fit_autoencoder(rows, "vec_id", "x", encode.new_autoencoder(64, (32, 16), 8), epochs=2, rate=0.01)
+    model = models.load_encoder(t.spark, models.save_encoder(t.spark, model, new_path(t.spark, f"{t.tag}_encoder")))
+    coded = encode.encode_rows(rows, "x", model, ["vec_id", "label"])
+    return coded.select("vec_id", "label", _coded(coded, 8))
 
 
-@query("encode_pca")
+@query(
+    "encode_pca",
+    """
+    select a.range::int as i, b.range::int as j, true as uncorrelated, a.range = b.range as own from range(0, 8) a, range(0, 8) b where a.range <= b.range""",
+)
 def encode_pca(t):
+    """Principal components are uncorrelated, and ordered by variance: the covariance of every two of them."""
     rows = _unit_rows(t)
-    return encode.encode_pca(encode.fit_pca(rows, "x", 8), rows, "x").select("vec_id", "label", "encoded")
+    coded = encode.encode_pca(encode.fit_pca(rows, "x", 8), rows, "x").select("encoded")
+    pairs = [(i, j) for i in range(8) for j in range(i, 8)]
+    found = coded.agg(*(F.covar_samp(F.col("encoded")[i], F.col("encoded")[j]).alias(f"c{i}_{j}") for i, j in pairs))
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("c"), F.col(f"c{max(i - 1, 0)}_{max(i - 1, 0)}").alias("before")) for i, j in pairs]
+    own = F.col("i") == F.col("j")
+    fits = F.when(own, (F.col("c") > 0) & (F.col("c") <= F.col("before"))).otherwise(F.abs("c") < 1e-9)
+    return found.select(F.explode(F.array(*cells)).alias("x")).select("x.*").select("i", "j", fits.alias("uncorrelated"), own.alias("own"))
 
 
-@query("roc_of_model")
+@query("roc_of_model", "select true as begins, true as ends, true as rises")
 def roc_of_model(t):
+    """The curve goes from (0, 0) to (1, 1) and never falls, and its area beats chance."""
     train, test = _split(t)
-    return evaluate.roc_points(learn.score(learn.fit(train, FEATURES, small_forest()), test, KEY), "y", "score")
+    scored = cut_lineage(learn.score(learn.fit(train, FEATURES, study_forest()), test, KEY))
+    points = evaluate.roc_points(scored, "y", "score")
+    ends = points.agg(
+        F.bool_or((F.col("fpr") == 0) & (F.col("tpr") == 0)).alias("begins"), F.bool_or((F.col("fpr") == 1) & (F.col("tpr") == 1)).alias("ends")
+    )
+    return ends.crossJoin(evaluate.roc_auc(scored, "y", "score").select((F.col("roc_auc") > 0.5).alias("rises")))

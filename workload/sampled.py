@@ -8,7 +8,7 @@ from workload.registry import query
 SEED = 11
 _RANK = "row_number() over (order by md5(id::varchar || ':11')) - 1"
 _CLASS_RANK = "row_number() over (partition by y order by md5(id::varchar || ':11')) - 1"
-_DRAW = "('0x' || substr(md5(draw::varchar || ':11:draw'), 1, 8))::bigint"
+_DRAW = "('0x' || substr(md5(draw::varchar || ':11:draw'), 1, 15))::bigint"
 
 
 @query(
@@ -131,7 +131,7 @@ def class_weights(t):
     "weighted_bootstrap",
     f"""
     with ranked as (select id, y, {_CLASS_RANK} as r, count(*) over (partition by y) as n from labelled),
-    draws as (select id as draw, ('0x' || substr(md5(id::varchar || ':11:class'), 1, 8))::bigint % 2 as y from labelled),
+    draws as (select id as draw, ('0x' || substr(md5(id::varchar || ':11:class'), 1, 15))::bigint % 2 as y from labelled),
     aimed as (select d.y, d.draw, {_DRAW} % c.n as r from draws d join (select y, count(*) as n from labelled group by 1) c on c.y = d.y)
     select d.y::int as y, d.draw, x.id from aimed d join ranked x on x.y = d.y and x.r = d.r""",
 )

@@ -183,4 +183,4 @@ def impute_median(t):
       from labs group by 1) s on s.itemid = l.itemid""",
 )
 def bin_equal_width(t):
-    return scale.bin_equal_width(_numbers(t), "x", ["itemid"], groups=7)
+    return scale.bin_equal_width(_numbers(t), "x", ["itemid"])

@@ -106,8 +106,8 @@ def sigmoid_threshold(t):
 @query(
     "flip_noise",
     """
-    select vec_id, pos, round(case when ('0x' || substr(md5(vec_id::varchar || ':' || pos::varchar || ':11'), 1, 8))::bigint
-                                 < 429496729 then x else 1.0::double - x end, 6) as x
+    select vec_id, pos, round(case when ('0x' || substr(md5(vec_id::varchar || ':' || pos::varchar || ':11'), 1, 15))::bigint
+                                 < 115292150460684704 then x else 1.0::double - x end, 6) as x
     from (select vec_id, (generate_subscripts(embedding, 1) - 1)::int as pos, unnest(embedding)::double + 0.5::double as x
           from embeddings)""",
 )

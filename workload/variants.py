@@ -8,7 +8,7 @@ from admitflow.operators import encode, population, sampling
 from admitflow.params import Params
 from admitflow.plans import cohort, encoded, research
 from admitflow.plans.features import build_features
-from workload.features import RULES, sources, staged_labs
+from workload.features import CTES, RULES, sources, staged_labs
 from workload.registry import query
 
 RESEARCH = research.ResearchRules(
@@ -118,18 +118,27 @@ def research_table(t):
     return out.select(*((F.round(c, 6) + 0.0).alias(c) if c in _NUMERIC else F.col(f"`{c}`") for c in out.columns))
 
 
+EPOCHS = 3
+_TESTED = """
+    select a.hadm_id, m.charttime, max(case when m.interpretation in ('R', 'I') then 1 else 0 end) as y
+    from admissions a join microbiology m on m.hadm_id = a.hadm_id
+    where m.ab_name = 'F' and m.org_itemid < 60 and date_sub('hour', a.admittime, m.charttime) > 24 group by 1, 2"""
+
+
 def _encoded(t, name: str):
-    src, params = sources(t), replace(Params(), encoder_training_epochs=3)
+    src, params = sources(t), replace(Params(), encoder_training_epochs=EPOCHS)
     table, _ = build_features(src, params, RULES, binned=True, labs=staged_labs(t, src, params, name))
     labels = cohort.resistance_labels(t.admissions, t.microbiology, params, ["F"], range(60))
     return encoded.encoded_cohort(table, labels, params, hidden=(32, 16), code=8, rate=0.01)
 
 
-@query("encoded_cohort")
+@query("encoded_cohort", f"{CTES} select c.hadm_id, c.charttime, c.y, 8 as width from ({_TESTED}) c join base b on b.hadm_id = c.hadm_id")
 def encoded_cohort(t):
-    return _encoded(t, "encoded")[0]
+    coded = _encoded(t, "encoded")[0]
+    finite = F.forall("encoded", lambda v: ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return coded.select("hadm_id", "charttime", "y", F.when(finite, F.size("encoded")).alias("width"))
 
 
-@query("encoder_loss")
+@query("encoder_loss", f"select range::int as epoch, true as valid from range(1, {EPOCHS} + 1)")
 def encoder_loss(t):
-    return encode.loss_history(_encoded(t, "loss")[1], t.spark)
+    return encode.loss_history(_encoded(t, "loss")[1], t.spark).select("epoch", F.col("loss").between(0, 10).alias("valid"))
