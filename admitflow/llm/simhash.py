@@ -51,7 +51,7 @@ def widen(hashes: np.ndarray, words: int) -> np.ndarray:
     out = np.empty((len(hashes), words), dtype=np.uint64)
     out[:, 0] = hashes
     for k in range(1, words):
-        x = hashes + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k)
+        x = hashes + np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         out[:, k] = x ^ (x >> np.uint64(31))
@@ -78,13 +78,16 @@ def fingerprints(df: DataFrame, shingle: int = 3, seed: int = 42, bits: int = 64
     return by_batch(source, f"`{id_column}` {df.schema[id_column].dataType.simpleString()}, fingerprint binary", make)
 
 
-def radius_for(similarity: float, bits: int) -> int:
-    """Bits that two fingerprints are expected to differ in, at most, if their shingle sets have that Jaccard similarity.
+def radius_for(similarity: float, bits: int, margin: float = 0.5) -> int:
+    """Bits that two fingerprints differ in, at most, if their shingle sets have that Jaccard similarity.
 
     A bit differs with the angle between the shingle counts, and sets of equal
-    size and similarity s share 2s / (1 + s) of their elements.
+    size and similarity s share 2s / (1 + s) of their elements. The number of
+    such bits is binomial; ``margin`` standard deviations are added to its mean,
+    so that most pairs just similar enough are within the radius.
     """
-    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * share + margin * math.sqrt(bits * share * (1 - share)))
 
 
 def near_cells(blocks: int, width: int, radius: int) -> list[tuple[int, ...]]:
