@@ -12,18 +12,21 @@ import json
 import re
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from admitflow.llm.common import LATIN, LATIN_WORDS, PieceCache, by_batch, held, text_of, with_column
+from admitflow.llm.common import ID_TYPE, LATIN, LATIN_WORDS, PieceCache, by_batch, held, text_of, with_column
 
 
-# Bits for a token id and for a position, of numbers that hold one beside a rank.
-IDS, POSITIONS = 20, 40
-LAST_ID, LAST_POSITION = (1 << IDS) - 1, (1 << POSITIONS) - 1
-# Pre-tokens whose ids a task keeps before it starts afresh. Changes no result.
-WORDS_KEPT = 100_000
+# Bits for a token id, in numbers that hold two of them, or one beside a rank.
+IDS = 20
+LAST_ID = (1 << IDS) - 1
+# Pre-tokens, and pieces of text, whose ids are kept, in two generations each. Changes no result.
+WORDS_KEPT = 400_000
+PIECES_KEPT = 400_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -51,8 +54,15 @@ class BytePairCoder:
         self.added = added
         self.split_added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.pre_tokenize = Tokenizer.from_str(spec).pre_tokenizer.pre_tokenize_str
-        self.words: dict[str, list[int]] = {}
-        self.cached = PieceCache(lambda new: [tuple(self._piece(p)) for p in new])
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.old_words: dict[str, tuple[int, ...]] = {}
+        self.cached = PieceCache(lambda new: [self._piece(p) for p in new], PIECES_KEPT)
+        # All vocabulary strings on end, and where each begins and ends.
+        longest = max(self.strings) + 1
+        lengths = np.array([len(self.strings.get(i, b"")) for i in range(longest)], np.int64)
+        self.ends = np.cumsum(lengths)
+        self.lengths = lengths
+        self.letters = np.frombuffer(b"".join(self.strings.get(i, b"") for i in range(longest)), np.uint8)
 
     def merge(self, ids: Sequence[int]) -> list[int]:
         """Merge one pre-token's symbols, the lowest rank first, the leftmost first among equal ranks.
@@ -63,46 +73,46 @@ class BytePairCoder:
         """
         symbols, merge_of = list(ids), self.merges.get
         size = len(symbols)
-        queue = [
-            (found >> IDS) << POSITIONS | i
-            for i in range(size - 1)
-            if (found := merge_of(symbols[i] << IDS | symbols[i + 1])) is not None
-        ]
+        found = map(merge_of, [a << IDS | b for a, b in zip(symbols, symbols[1:])])
+        # An entry is a pair's rank, what it becomes, and the place of its left symbol.
+        places = size.bit_length()
+        queue = [pair << places | i for i, pair in enumerate(found) if pair is not None]
         if not queue:
             return symbols
-        following, before = list(range(1, size + 1)), list(range(-1, size - 1))
         heapq.heapify(queue)
+        pop, push, last = heapq.heappop, heapq.heappush, (1 << places) - 1
+        following, before = list(range(1, size + 1)), list(range(-1, size - 1))
         while queue:
-            entry = heapq.heappop(queue)
-            left = entry & LAST_POSITION
+            entry = pop(queue)
+            left = entry & last
             right = following[left]
-            if symbols[left] < 0 or right >= size:
+            if right >= size or symbols[left] < 0 or merge_of(symbols[left] << IDS | symbols[right]) != entry >> places:
                 continue
-            found = merge_of(symbols[left] << IDS | symbols[right])
-            if found is None or found >> IDS != entry >> POSITIONS:
-                continue
-            merged = symbols[left] = found & LAST_ID
+            merged = symbols[left] = entry >> places & LAST_ID
             symbols[right] = -1
             after = following[left] = following[right]
             if after < size:
                 before[after] = left
-                if (new := merge_of(merged << IDS | symbols[after])) is not None:
-                    heapq.heappush(queue, (new >> IDS) << POSITIONS | left)
+                pair = merge_of(merged << IDS | symbols[after])
+                if pair is not None:
+                    push(queue, pair << places | left)
             prior = before[left]
-            if prior >= 0 and (new := merge_of(symbols[prior] << IDS | merged)) is not None:
-                heapq.heappush(queue, (new >> IDS) << POSITIONS | prior)
+            if prior >= 0:
+                pair = merge_of(symbols[prior] << IDS | merged)
+                if pair is not None:
+                    push(queue, pair << places | prior)
         return [s for s in symbols if s >= 0]
 
     def _plain(self, text: str) -> list[int]:
         out: list[int] = []
-        if len(self.words) > WORDS_KEPT:
-            self.words = {}
-        words, firsts = self.words, self.first_ids
+        if 2 * len(self.words) > WORDS_KEPT:
+            self.words, self.old_words = {}, self.words
+        words, old, firsts = self.words, self.old_words, self.first_ids
         if LATIN.fullmatch(text):
             for word in LATIN_WORDS.findall(text):
                 ids = words.get(word)
                 if ids is None:
-                    ids = words[word] = self.merge([firsts[b] for b in word.encode()])
+                    ids = words[word] = old.get(word) or tuple(self.merge([firsts[b] for b in word.encode()]))
                 out += ids
         else:
             for word, _ in self.pre_tokenize(text):
@@ -119,13 +129,21 @@ class BytePairCoder:
             at = found.end()
         return out + self._plain(piece[at:])
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if any(" " in s for s in self.added):
-            return self._piece(text)
+            return np.array(self._piece(text), dtype=ID_TYPE)
         return self.cached(text)
 
-    def decode(self, ids: Sequence[int]) -> str:
-        return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The vocabulary strings of the ids, concatenated."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.letters[np.repeat(self.ends[ids] - ends, lengths) + np.arange(total)].tobytes()
+
+    def decode_text(self, ids: Sequence[int]) -> str:
+        """As UTF-8, with what is not valid replaced."""
+        return self.decode(np.asarray(ids, dtype=np.int64)).decode("utf-8", "replace")
 
 
 def read_spec(path: str) -> str:
@@ -145,7 +163,14 @@ def encode_texts(df: DataFrame, path: str, id_column: str = "doc_id", text_colum
 
     def make():
         coder = held(BytePairCoder, spec.value)
-        return lambda c: {id_column: c[id_column], "ids": [coder.encode(t) for t in c["_text"]]}
+
+        def step(c):
+            ids = [coder.encode(t) for t in c["_text"]]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            flat = np.concatenate([np.zeros(0, ID_TYPE), *ids]).astype(np.int32)
+            return {id_column: c[id_column], "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+
+        return step
 
     return by_batch(source, f"`{id_column}` {df.schema[id_column].dataType.simpleString()}, ids array<int>", make)
 
@@ -157,6 +182,14 @@ def decode_ids(df: DataFrame, path: str, ids_column: str = "ids", text_column: s
 
     def make():
         coder = held(BytePairCoder, spec.value)
-        return lambda c: c | {text_column: [None if i is None else coder.decode(i) for i in c[ids_column]]}
 
-    return by_batch(df, schema, make)
+        def step(c):
+            rows, out = c[ids_column], []
+            flat, ends = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
+            for i in range(len(rows)):
+                out.append(coder.decode_text(flat[ends[i] : ends[i + 1]]) if rows[i].is_valid else None)
+            return c | {text_column: out}
+
+        return step
+
+    return by_batch(df, schema, make, raw=(ids_column,))

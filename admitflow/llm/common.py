@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
-from itertools import chain
+import struct
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,30 +28,35 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def by_batch(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
+def by_batch(
+    df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], raw: tuple[str, ...] = ()
+) -> DataFrame:
     """Map Arrow batches of ``df``: ``make()`` is called once a task and gives a function from columns to columns.
 
     Nothing is kept between batches but what that function itself holds. If it
     has a ``finish``, that gives the last columns once the task's rows are through.
+    Columns named in ``raw`` come as Arrow arrays instead of lists, and any column
+    may be handed back as one.
     """
-    struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    target = to_arrow_schema(struct)
+    kinds = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    target = to_arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
 
         def pack(out: dict[str, list]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+            arrays = [out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in target]
+            return pa.RecordBatch.from_arrays(arrays, schema=target)
 
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_OUT):
                 part = batch.slice(at, ROWS_OUT)
-                columns = {name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)}
+                columns = {name: part.column(i) if name in raw else part.column(i).to_pylist() for i, name in enumerate(part.schema.names)}
                 yield pack(step(columns))
         if hasattr(step, "finish"):
             yield pack(step.finish())
 
-    return df.mapInArrow(run, struct)
+    return df.mapInArrow(run, kinds)
 
 
 def with_column(df: DataFrame, name: str, kind: str) -> T.StructType:
@@ -94,23 +100,37 @@ LATIN_WORDS = re.compile(
 )
 
 
+# How token ids are held: unsigned, 32 bits, the lowest byte first.
+ID_TYPE = "<u4"
+
+
 class PieceCache:
-    """Token ids by piece, for one Python worker. It is emptied when ``limit`` pieces are held, which changes no result."""
+    """Token ids by piece, for one Python worker, in two generations.
+
+    When the young one holds half of ``limit`` pieces it becomes the old one, and
+    what was in the old one and has not been asked for since goes. What is held
+    changes no result.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list[tuple[int, ...]]], limit: int = 400_000):
-        self.encode, self.limit, self.known = encode, limit, {}
+    def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], limit: int = 200_000):
+        self.encode, self.limit, self.known, self.old = encode, limit, {}, {}
 
-    def __call__(self, text: str) -> list[int]:
+    def __call__(self, text: str) -> np.ndarray:
         parts = pieces(text)
-        if len(self.known) > self.limit:
-            self.known = {}
-        known = self.known
+        if 2 * len(self.known) > self.limit:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
         found = list(map(known.get, parts))
         if None in found:
-            new = list({p for p, ids in zip(parts, found) if ids is None})
-            known.update(zip(new, self.encode(new)))
+            new = []
+            for p in {p for p, ids in zip(parts, found) if ids is None}:
+                if p in old:
+                    known[p] = old[p]
+                else:
+                    new.append(p)
+            known.update((p, struct.pack(f"<{len(ids)}I", *ids)) for p, ids in zip(new, self.encode(new)))
             found = list(map(known.__getitem__, parts))
-        return list(chain.from_iterable(found))
+        return np.frombuffer(b"".join(found), ID_TYPE)
 
 
 _HELD: dict[tuple, object] = {}

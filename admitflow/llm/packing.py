@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from admitflow.llm.bpe import byte_alphabet, read_spec
-from admitflow.llm.common import LATIN, PieceCache, by_batch, held, text_of
+from admitflow.llm.common import ID_TYPE, LATIN, PieceCache, by_batch, held, text_of
 from admitflow.session import cut_lineage
 
 
@@ -117,13 +117,13 @@ def library_encoder(spec: str) -> PieceCache:
     added = [t["content"] for t in json.loads(spec)["added_tokens"]]
     quick = _same_by_rank(spec)
 
-    def encode(new: list[str]) -> list[tuple[int, ...]]:
+    def encode(new: list[str]) -> list[list[int]]:
         if quick is None:
-            return [tuple(e.ids) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        ids = [tuple(quick(p)) if LATIN.fullmatch(p) and not any(a in p for a in added) else None for p in new]
+            return [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        ids = [quick(p) if LATIN.fullmatch(p) and not any(a in p for a in added) else None for p in new]
         rest = [p for p, found in zip(new, ids) if found is None]
         others = iter(tokenizer.encode_batch_fast(rest, add_special_tokens=False))
-        return [tuple(next(others).ids) if found is None else found for found in ids]
+        return [next(others).ids if found is None else found for found in ids]
 
     return PieceCache(encode)
 
@@ -159,7 +159,7 @@ def token_runs(
         def step(columns):
             out = {name: [] for name in (id_column, "start", "length", "ids", "doc_tokens", "_task", "_number")}
             for key, text in zip(columns[id_column], columns["_text"]):
-                ids = np.array([*encode(text), end_id], dtype="<u4")
+                ids = np.append(encode(text), np.array([end_id], ID_TYPE))
                 for start in range(0, len(ids), capacity):
                     run = ids[start : start + capacity]
                     row = (key, start, len(run), run.tobytes(), len(ids), task, int(seen[len(run)]))
@@ -225,7 +225,7 @@ def sequences(placed: DataFrame, capacity: int = 1024, pad_id: int = 0) -> DataF
         def step(columns):
             out = {"sequence_id": columns["sequence_id"], "ids": [], "used": []}
             for group in columns["runs"]:
-                ids = np.frombuffer(b"".join(r["ids"] for r in group), "<u4").tolist()
+                ids = np.frombuffer(b"".join(r["ids"] for r in group), ID_TYPE).tolist()
                 out["used"].append(len(ids))
                 out["ids"].append(ids + [pad_id] * (pad_length(len(ids), capacity) - len(ids)))
             return out

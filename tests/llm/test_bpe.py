@@ -22,8 +22,8 @@ ODD = ["", " ", "  ", "a  b", "a \n b", "\n\n", "x<|endoftext|> y", "a <|endofte
 
 def same(text):
     want = LIBRARY.encode(text, add_special_tokens=False).ids
-    assert CODER.encode(text) == want
-    assert CODER.decode(want) == LIBRARY.decode(want, skip_special_tokens=False)
+    assert CODER.encode(text).tolist() == want
+    assert CODER.decode_text(want) == LIBRARY.decode(want, skip_special_tokens=False)
     assert "".join(pieces(text)) == text
 
 
@@ -51,19 +51,19 @@ def test_latin_words_are_the_library_s_pre_tokens():
 @pytest.mark.parametrize("text", ODD)
 def test_quick_encoder_gives_the_library_s_ids(text):
     encode = library_encoder(bpe.read_spec(PATH))
-    assert encode(text) == encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert encode(text).tolist() == encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x2FF), st.sampled_from(" \n\t'sle<|endoftx>")), max_size=60))
 def test_latin_text(text):
     same(text)
-    assert QUICK(text) == CODER.encode(text)
+    assert QUICK(text).tolist() == CODER.encode(text).tolist()
 
 
 def test_invalid_bytes_are_replaced_alike():
     for ids in ([CODER.symbol["é"]], [50256, 0, 198], [CODER.symbol["Ā"]]):
-        assert CODER.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
+        assert CODER.decode_text(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
 def test_whole_table(spark, folder):
