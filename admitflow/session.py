@@ -18,8 +18,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "33554432",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "200",
 }
 # Marks a session that is set up.
 TUNED = "spark.admitflow.tuned"

@@ -154,13 +154,13 @@ def _scaled_sql(low: float, high: float, way: str, where: str = "true") -> str:
 
 @query("scale_p1_p99", _scaled_sql(0.01, 0.99, "low - high"))
 def scale_p1_p99(t):
-    return scale.scale_p1_p99(_numbers(t), "x", ["itemid"], 7).withColumn("x", F.round("x", 6) + 0.0)
+    return scale.scale_p1_p99(_numbers(t), "x", ["itemid"]).withColumn("x", F.round("x", 6) + 0.0)
 
 
 @query("scale_iqr", _scaled_sql(0.25, 0.75, "high - low", "flag is not null"))
 def scale_iqr(t):
     flagged = t.labs.where("flag is not null").select("itemid", F.col("valuenum").alias("x"))
-    return scale.scale_iqr(_numbers(t), flagged, "x", ["itemid"], 7).withColumn("x", F.round("x", 6) + 0.0)
+    return scale.scale_iqr(_numbers(t), flagged, "x", ["itemid"]).withColumn("x", F.round("x", 6) + 0.0)
 
 
 @query(
@@ -169,7 +169,7 @@ def scale_iqr(t):
     select hadm_id, itemid, coalesce(valuenum, median(valuenum) over (partition by itemid)) as x from labs""",
 )
 def impute_median(t):
-    return scale.impute_median(_numbers(t), "x", ["itemid"], 7)
+    return scale.impute_median(_numbers(t), "x", ["itemid"])
 
 
 @query(
