@@ -29,6 +29,8 @@ from admitflow.session import cut_lineage
 
 # Fingerprints in one tile at most; two tiles and a strip of their distances fit a core's cache.
 TILE = 2048
+# Sizes of at most this many cells are broadcast; a row of them is some 50 bytes.
+MOST_CELLS = 100_000
 STRIP = 128
 
 
@@ -159,6 +161,10 @@ def tile_links(groups: DataFrame, bits: int, radius: int, blocks: int, width: in
     """(a, b): links among different fingerprints (rep, fingerprint) that connect all within ``radius`` bits."""
     celled = cut_lineage(_cells(groups.select("rep", "fingerprint"), bits, blocks, width), "cells")
     sizes = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (TILE / 2)).alias("n"))
+    # There are at most so many cells, whatever the corpus. Joined by broadcast, the
+    # rows of a large cell are not brought together before they are dealt into tiles.
+    if (bits // blocks // width + 1) ** blocks <= MOST_CELLS:
+        sizes = F.broadcast(sizes)
     tile = F.pmod(F.xxhash64("fingerprint"), F.col("n")).alias("tile")
     tiles = celled.join(sizes, "cell").groupBy("cell", tile).agg(F.collect_list(F.struct("fingerprint", "rep")).alias("rows"))
 

@@ -35,9 +35,9 @@ BEGINNINGS = (6, 5, 4, 3)
 # A unit seen less often in the sample is not judged.
 LEAST_COUNT = 5
 # Words whose score a task keeps before it starts afresh. Changes no result.
-WORDS_KEPT = 200_000
-# Units a counting task holds before it hands them on.
-COUNTS_KEPT = 300_000
+WORDS_KEPT = 100_000
+# Words a counting task holds before it hands their units on.
+COUNTS_KEPT = 60_000
 # A segment is significant if no more than this many as high are expected by chance.
 SIGNIFICANT = 0.05
 
