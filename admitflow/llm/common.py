@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import struct
 from collections.abc import Callable, Iterator, Sequence
@@ -28,6 +29,14 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def give_back() -> None:
+    """Return what a task has freed, so that a Python worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def by_batch(
     df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], raw: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -55,6 +64,8 @@ def by_batch(
                 yield pack(step(columns))
         if hasattr(step, "finish"):
             yield pack(step.finish())
+        del step
+        give_back()
 
     return df.mapInArrow(run, kinds)
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from admitflow.llm.common import by_batch, fold, text_of
+from admitflow.llm.common import by_batch, fold, give_back, text_of
 from admitflow.session import cut_lineage
 
 WORD = re.compile(r"\w+")
@@ -341,6 +341,8 @@ def score_column(model: Model, text: Column, docs: DataFrame) -> Column:
                     "passages": [[dict(zip(("start", "end", "score", "expected"), p)) for p in scanner.spans(t)] for t in texts],
                 }
             )
+        del scanner
+        give_back()
 
     return scored(F.coalesce(text.cast("string"), F.lit("")))
 
