@@ -61,8 +61,12 @@ def widen(hashes: np.ndarray, words: int) -> np.ndarray:
 
 
 def simhash(text: str, shingle: int = 3, seed: int = 42, bits: int = 64) -> bytes:
+    """The fingerprint of all shingles of a text, repeats included."""
+    return fingerprint(shingle_hashes(text, shingle, seed), bits)
+
+
+def fingerprint(hashes: np.ndarray, bits: int = 64) -> bytes:
     """The fingerprint, most significant byte first; a bit is set if it is set in over half of the hashes."""
-    hashes = shingle_hashes(text, shingle, seed)
     ones = np.zeros(bits, dtype=np.int64)
     for at in range(0, len(hashes), 8192):
         part = widen(hashes[at : at + 8192], bits // 64).astype(">u8").view(np.uint8).reshape(-1, bits // 8)
@@ -106,6 +110,23 @@ def near_cells(blocks: int, width: int, radius: int) -> list[tuple[int, ...]]:
     return [o for o in found if o >= (0,) * blocks]
 
 
+def first_words(radius: int, words: int) -> int:
+    """Words to compare of every pair, three at most: so many that chance leaves few pairs within the radius."""
+    return next((k for k in range(min(2, words), min(3, words)) if 32 * k - 16 * math.sqrt(k) >= radius), min(3, words))
+
+
+def join_parts(near_rows: np.ndarray, near_columns: np.ndarray, label: np.ndarray, at: int, base: int, found: list[tuple[int, int]]) -> None:
+    """Add to ``found`` the pairs that join two parts not yet joined. ``label`` names each one's part and follows."""
+    for row in np.unique(near_rows):
+        columns = near_columns[near_rows == row]
+        labels, first = np.unique(label[columns + base], return_index=True)
+        for other, k in zip(labels, first):
+            own = label[row + at]
+            if other != own:
+                label[label == other] = own
+                found.append((row + at, columns[k]))
+
+
 def _forest(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> list[tuple[int, int]]:
     """Links between two tiles that connect whatever lies within the radius, fewer than they have rows.
 
@@ -114,28 +135,21 @@ def _forest(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> lis
     """
     label = np.arange(len(left) + (0 if same else len(right)))
     base, found = 0 if same else len(left), []
+    first = first_words(radius, left.shape[1])
     for at in range(0, len(left), STRIP):
         strip = left[at : at + STRIP]
         distance = np.bitwise_count(strip[:, None, 0] ^ right[None, :, 0])
-        if left.shape[1] == 1:
-            near_rows, near_columns = np.nonzero(distance <= radius)
-        else:
-            # Later words only for pairs that the first two leave within the radius.
-            distance = distance + np.bitwise_count(strip[:, None, 1] ^ right[None, :, 1])
-            near_rows, near_columns = np.nonzero(distance <= radius)
+        for k in range(1, first):
+            distance = distance + np.bitwise_count(strip[:, None, k] ^ right[None, :, k])
+        near_rows, near_columns = np.nonzero(distance <= radius)
+        if left.shape[1] > first:
+            # Later words only for pairs that the first ones leave within the radius.
             total = np.bitwise_count(strip[near_rows] ^ right[near_columns]).sum(axis=1, dtype=np.int32)
             near_rows, near_columns = near_rows[total <= radius], near_columns[total <= radius]
         if same:
             above = near_columns > near_rows + at
             near_rows, near_columns = near_rows[above], near_columns[above]
-        for row in np.unique(near_rows):
-            columns = near_columns[near_rows == row]
-            labels, first = np.unique(label[columns + base], return_index=True)
-            for other, k in zip(labels, first):
-                own = label[row + at]
-                if other != own:
-                    label[label == other] = own
-                    found.append((row + at, columns[k]))
+        join_parts(near_rows, near_columns, label, at, base, found)
     return found
 
 
