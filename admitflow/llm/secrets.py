@@ -38,7 +38,8 @@ HEX_RUN = re.compile(rf"(?<![0-9a-f])[0-9a-f]{{{HEX_LEAST},}}")
 # What any text with an assignment has in it, in lower case.
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 
-ENCODED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![\w+/=-])")
+# Whole runs, wherever they stand; '=' is padding only if nothing of the encoding follows.
+ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 LENGTH_CLASSES = (20, 24, 32, 48, 96)
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Alphabets from narrow to wide; a string is taken to be in the first that has all its characters.

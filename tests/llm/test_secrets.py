@@ -98,3 +98,18 @@ def test_empty_table(spark, planted):
     scanned = docs.select(secrets.scan_column(letters, F.col("text")).alias("s")).select("s.*")
     assert secrets.fit_cuts(scanned, 0.01) == {}
     assert scanned.select(secrets.all_spans({})).count() == 0
+
+
+def test_keys_beside_an_equals_sign_or_an_accent(planted):
+    rng = random.Random(12)
+    docs, _, _ = planted
+    letters = secrets.Letters.of(secrets.letter_counts(docs))
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "AUTH={}", "see https://x.example/a?sig={}&key=1", "é{}é", "x {}ß", "{}=1", "a={}=="]
+    for form in forms:
+        key = base64.urlsafe_b64encode(rng.randbytes(33)).decode()
+        text = "ordinary words " + form.format(key) + " and more"
+        found = {text[s:e].rstrip("="): v for s, e, _, v in secrets.candidates(text, letters, secrets.base_spans(text))}
+        assert found.get(key, 0) > 3, form
+        cuts = dict.fromkeys(range(len(secrets.LENGTH_CLASSES)), 3.0)
+        assert key not in secrets.redacted(text, letters, cuts, "[SECRET]"), form
+    assert [m.group() for m in secrets.ENCODED.finditer("A" * 20 + "=" + "B" * 20 + "== " + "C" * 19)] == ["A" * 20, "B" * 20 + "=="]
