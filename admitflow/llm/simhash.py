@@ -242,10 +242,11 @@ def near_duplicates(
     """
     marked = cut_lineage(fingerprints(docs, shingle, seed, bits, id_column, text_column), "fingerprints")
     # Copies meet here, after partial aggregation; what follows sees each fingerprint once.
-    groups = marked.groupBy("fingerprint").agg(F.min(id_column).alias("rep"))
+    groups = marked.groupBy("fingerprint").agg(F.min(id_column).alias("least")).withColumn("rep", F.monotonically_increasing_id())
     groups = cut_lineage(groups, "fingerprint-groups")
-    linked = components(tile_links(groups.where("rep is not null"), bits, radius, blocks, width))
-    named = groups.join(linked, groups.rep == linked.node, "left").select(
-        "fingerprint", F.coalesce("component", "rep").alias("component_id")
-    )
+    # Links are between numbers of fingerprints, so those without an id link too; ids name the components afterwards.
+    linked = components(tile_links(groups, bits, radius, blocks, width))
+    parts = groups.join(linked, groups.rep == linked.node, "left").select("fingerprint", "least", F.coalesce("component", "rep").alias("part"))
+    names = parts.groupBy("part").agg(F.min("least").alias("component_id"))
+    named = parts.join(names, "part").select("fingerprint", "component_id")
     return marked.join(named, "fingerprint").select(id_column, "fingerprint", "component_id")

@@ -106,6 +106,16 @@ def test_null_and_repeated_ids(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, 3), (3, 3), (3, 3)]
 
 
+def test_null_ids_link_near_copies(spark, monkeypatch):
+    """Fingerprints two bits apart: 9 and 4 are connected only through a row without an id, two null rows with each other."""
+    prints = {"a": 0b11111, "b": 0b111, "c": 0b1, "d": 0xFF << 40, "e": 0x7F << 40}
+    monkeypatch.setattr(simhash, "fingerprints", lambda df, *a: df.select("doc_id", F.col("fingerprint")))
+    rows = [(9, "a"), (None, "b"), (4, "c"), (None, "d"), (None, "e")]
+    df = spark.createDataFrame([(i, prints[k].to_bytes(8, "big")) for i, k in rows], "doc_id long, fingerprint binary")
+    got = {int.from_bytes(r.fingerprint, "big"): r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert got == {prints["a"]: 4, prints["b"]: 4, prints["c"]: 4, prints["d"]: None, prints["e"]: None}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(1, 300).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {r.component for r in components(links).collect()} == {0}
