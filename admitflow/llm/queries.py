@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitflow.llm import bpe, chat, neighbours, packing, prefix_hash, secrets, simhash, site_tree, toxicity, warc
+from admitflow.llm import bpe, chat, neighbours, packing, prefix_hash, rank_bpe, secrets, simhash, site_tree, toxicity, warc
 from admitflow.llm.common import held_out, table, text_of
 from admitflow.session import cut_lineage
 from admitflow.sources.tables import new_path
@@ -16,6 +16,7 @@ from admitflow.sources.tables import new_path
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def query(name: str, sql: str | None = None):
@@ -128,3 +129,12 @@ def op10_packing(spark, folder):
     narrow = runs.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     placed = packing.place_runs(cut_lineage(narrow, "runs"))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op13_rank_bpe")
+def op13_rank_bpe(spark, folder):
+    """Encode by ranks, decode what came out in the same pass, and give the digests of both."""
+    coded = rank_bpe.encode_texts(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN, decoded="decoded")
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
