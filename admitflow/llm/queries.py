@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitflow.llm import bpe, chat, neighbours, packing, prefix_hash, rank_bpe, secrets, simhash, site_tree, toxicity, warc
+from admitflow.llm import bpe, chat, neighbours, packing, prefix_hash, prefix_trie, rank_bpe, secrets, simhash, site_tree, toxicity, warc
 from admitflow.llm.common import held_out, table, text_of
 from admitflow.session import cut_lineage
 from admitflow.sources.tables import new_path
@@ -138,3 +138,45 @@ def op13_rank_bpe(spark, folder):
     return coded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+# crc32 of a decimal number in SQL: one step per character, eight bits a step.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}::varchar, ''), lambda x: ord(x)::bigint)),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda s, k: xor(s >> 1, (s & 1) * 3988292384::bigint))), 4294967295::bigint)"""
+
+
+@query(
+    "op12_prefix_trie",
+    f"""
+    with told as (
+        select conv_id as c, coalesce(text, '') as x, coalesce(role, '') as r,
+               row_number() over (partition by conv_id order by turn nulls first,
+                                  sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as pos
+        from conversations where conv_id is not null),
+    own as (select c, list({{'r': r, 'x': x}} order by pos) as turns from told group by c),
+    heads as (select c, turns, {CRC32.format("c")} % 9 as h from own),
+    whole as (
+        select a.c, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1:]) as s
+        from heads a left join own b on b.c = a.c - a.c % 5),
+    passed as (select c, d, s[1:d] as p, len(s) = d as last from (select *, unnest(range(len(s) + 1)) as d from whole)),
+    nodes as (
+        select p, d, min(c) as conv_id, count(*) as n_convs, coalesce(strlen(p[-1].x), 0) as n_bytes,
+               sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where last), '')) as ends_sha256
+        from passed group by p, d),
+    linked as (
+        select n.*, u.conv_id as parent_conv_id
+        from nodes n left join nodes u on n.d > 0 and u.d = n.d - 1 and u.p = n.p[1:n.d - 1]),
+    children as (select p[1:d - 1] as q, count(*) as n_children from nodes where d > 0 group by 1),
+    valued as (
+        select k.*, coalesce(n_children, 0) as n_children, (n_children is null)::int as leaf, (n_convs - 1) * n_bytes as saved
+        from linked k left join children on q = k.p),
+    lifted as (select p[1:j] as q, sum(leaf) as n_leaves, sum(saved) as saved_tokens
+               from (select *, unnest(range(d + 1)) as j from valued) group by 1)
+    select conv_id::bigint as conv_id, d::bigint as depth, parent_conv_id::bigint as parent_conv_id, n_convs::bigint as n_convs,
+           n_children::bigint as n_children, n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, ends_sha256
+    from valued join lifted on q = p""",
+)
+def op12_prefix_trie(spark, folder):
+    turns = prefix_trie.turns_in_order(table(spark, folder, "conversations"))
+    rebuilt, convs = prefix_trie.with_shared_openings(cut_lineage(turns, "turns-in-order"))
+    return prefix_trie.trie(cut_lineage(rebuilt, "rebuilt-turns"), convs)
