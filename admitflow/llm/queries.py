@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitflow.llm import bpe, chat, neighbours, packing, prefix_hash, prefix_trie, rank_bpe, secrets, simhash, site_tree, toxicity, warc
+from admitflow.llm import bpe, chat, collocations, neighbours, packing, prefix_hash, prefix_trie, rank_bpe, secrets, simhash, site_tree, toxicity, warc
 from admitflow.llm.common import held_out, table, text_of
 from admitflow.session import cut_lineage
 from admitflow.sources.tables import new_path
@@ -140,6 +140,42 @@ def op13_rank_bpe(spark, folder):
     )
 
 
+@query(
+    "op11_collocations",
+    r"""
+    with pieces as (
+        select coalesce(lang, 'und') as lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[.,;:!?\x0A-\x0D]')) as piece
+        from documents),
+    told as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+    places as (select lang, w, unnest(range(1, len(w) + 1)) as i from told),
+    grams as (select lang, w[i:i + k - 1] as g from places, range(1, 4) r(k) where i + k - 1 <= len(w)),
+    f as (select lang, g, count(*) as f from grams group by all),
+    totals as (select lang, sum(f) as n from f where len(g) = 1 group by lang),
+    candidates as (select lang, g, f as a from f where len(g) > 1 and f >= 10),
+    cuts as (
+        select c.lang, c.g, c.a, k, x.f as l, y.f as r,
+               1000000::hugeint * c.a::hugeint * c.a::hugeint // (x.f::hugeint * y.f::hugeint) as score
+        from (select *, unnest(range(1, len(g))) as k from candidates) c
+        join f x on x.lang = c.lang and x.g = c.g[1:k] join f y on y.lang = c.lang and y.g = c.g[k + 1:]),
+    scored as (select * from cuts qualify row_number() over (partition by lang, g order by score, k) = 1),
+    inside as (
+        select distinct lang, g[j:j + 1] as g, max(a) as most from (select *, unnest([1, 2]) as j from candidates where len(g) = 3) group by all),
+    kept as (
+        select s.* from scored s left join inside i on i.lang = s.lang and i.g = s.g
+        where i.most is null or 100 * i.most < 50 * s.a),
+    ranked as (
+        select *, array_to_string(g, ' ') as phrase,
+               row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank
+        from kept)
+    select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+    from ranked join totals using (lang) where rank <= 2000""",
+)
+def op11_collocations(spark, folder):
+    return collocations.mine(table(spark, folder, "documents"))
+
+
 # crc32 of a decimal number in SQL: one step per character, eight bits a step.
 CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}::varchar, ''), lambda x: ord(x)::bigint)),
         lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda s, k: xor(s >> 1, (s & 1) * 3988292384::bigint))), 4294967295::bigint)"""
