@@ -20,8 +20,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "200",
 }
-# Marks a session that is set up.
-TUNED = "spark.admitflow.tuned"
+# Marks a session that is set up, and names its folder where spark.checkpoint.dir is not set.
+TUNED, OWN_DIR = "spark.admitflow.tuned", "spark.admitflow.dir"
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -77,13 +77,13 @@ def shared_dir(spark: SparkSession) -> str:
     A machine-local folder is made only on a local master that names none; on
     a cluster, executors could not read one another's files there.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR, None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="admitflow-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    spark.conf.set(OWN_DIR, folder)  # Spark refuses to change its own setting in a running session
     return folder
 
 
@@ -97,6 +97,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The folders directly inside one; none if it is absent."""
+    if not exists(spark, path):
+        return []
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [s.getPath().toString() for s in target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target) if s.isDirectory()]
+
+
 def clear_run(spark: SparkSession) -> None:
     """Delete everything this application stored. Frames that read it cannot be used afterwards."""
     target = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))

@@ -66,9 +66,19 @@ def test_stage_without_success_mark_is_not_reused(spark):
     def build():
         return spark.range(6).select("id")
 
-    half = f"{run_dir(spark)}/half-{tables.fingerprint(build())}"
-    spark.range(2).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(half)
+    def here():  # rows from the driver: reused in this application only
+        return spark.createDataFrame([(i,) for i in range(6)], "id long")
+
+    first = tables.stage(spark, "half", build, reuse=True)
+    rows = files_of(first)[0].rpartition("/")[0]
+    own = f"{rows.rpartition('/')[0].rpartition('/')[0]}/{'0' * 32}/rows"  # another's, begun before
+    tables.forget_stages(spark, "half")
+    spark.range(2).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(own)
     assert tables.stage(spark, "half", build, reuse=True).count() == 6
+    half = f"{run_dir(spark)}/half-{tables.fingerprint(here())}"
+    spark.range(2).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(half)
+    assert tables.lasting_fingerprint(here()) is None
+    assert tables.stage(spark, "half", here, reuse=True).count() == 6
 
 
 def test_stage_built_twice_keeps_earlier_readers(spark):
