@@ -7,12 +7,13 @@ folds hold one row per fitted model.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,19 @@ def perceptron(inputs: int, nodes: Sequence[int], epochs: int = 10, seed: int =
     return MultilayerPerceptronClassifier(labelCol=label, layers=[inputs, *nodes, 2], maxIter=epochs, seed=seed)
 
 
+def _assembly(features: Sequence[str]) -> list:
+    """Stages that make the vector ``features``. The columns are aliased first, since an assembler takes a dot in a name for a nested field."""
+    quoted = (f"`{name.replace('`', '``')}` AS `_feature_{i}`" for i, name in enumerate(features))
+    aliases = SQLTransformer(statement=f"SELECT *, {', '.join(quoted)} FROM __THIS__")
+    return [aliases, VectorAssembler(inputCols=[f"_feature_{i}" for i in range(len(features))], outputCol="features")]
+
+
+def feature_names(model: PipelineModel) -> list[str]:
+    """The columns a model of ``fit`` was fitted on, in the order of its vector. They are stored with the model."""
+    found = re.findall(r"`((?:[^`]|``)+)` AS `_feature_\d+`", model.stages[0].getStatement())
+    return [name.replace("``", "`") for name in found]
+
+
 def fit(df: DataFrame, features: Sequence[str], estimator: Estimator) -> PipelineModel:
     """Assemble the features and fit; adds balanced weights if the estimator uses them.
 
@@ -61,12 +75,12 @@ def fit(df: DataFrame, features: Sequence[str], estimator: Estimator) -> Pipelin
     persisted (memory, then disk) while it lasts.
     """
     label = estimator.getLabelCol()
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    rows = assembler.transform(df).select("features", label).persist()
+    assembly = _assembly(features)
+    rows = PipelineModel(stages=assembly).transform(df).select("features", label).persist()
     try:
         if estimator.hasParam("weightCol") and estimator.isSet("weightCol"):
-            return PipelineModel(stages=[assembler, estimator.fit(balanced(rows, label, estimator.getWeightCol()))])
-        return PipelineModel(stages=[assembler, estimator.fit(rows)])
+            return PipelineModel(stages=[*assembly, estimator.fit(balanced(rows, label, estimator.getWeightCol()))])
+        return PipelineModel(stages=[*assembly, estimator.fit(rows)])
     finally:
         rows.unpersist()
 
@@ -198,7 +212,7 @@ def validation_curve(
 
 def feature_importance(model: PipelineModel, df: DataFrame, top: int | None = None) -> DataFrame:
     """(rank, label, importance) of the features of a fitted tree model, highest first."""
-    names = model.stages[0].getInputCols()
+    names = feature_names(model)
     values = model.stages[-1].featureImportances.toArray()
     table = df.sparkSession.createDataFrame([(n, float(v)) for n, v in zip(names, values)], "label string, importance double")
     return evaluate.rank_table(table, "label", "importance", top)
