@@ -220,10 +220,10 @@ def limit_n(t):
 
 @query(
     "union_samples",
-    "select id, y from labelled where y = 1 union all select id, y from labelled where y = 0 and x < 100000",
+    "select id, y from labelled where y = 1 union all select id, y from labelled where y = 0",
 )
 def union_samples(t):
     rows = t.labelled
-    return sampling.union_rows(rows.where("y = 1").select("id", "y"), rows.where("y = 0 and x < 100000").select("id", "y"))
+    return sampling.union_rows(rows.where("y = 1").select("id", "y"), rows.where("y = 0").select("id", "y"))
 
 

@@ -126,7 +126,7 @@ def assemble_features(t):
 @query(
     "cohort_join_features",
     """
-    select c.hadm_id, f.top, c."RESISTANT_YN" as y from (
+    select c.hadm_id, c.charttime, f.top, c."RESISTANT_YN" as y from (
       select a.hadm_id, m.charttime, max(case when m.interpretation in ('R', 'I') then 1 else 0 end) as "RESISTANT_YN"
       from admissions a join microbiology m on m.hadm_id = a.hadm_id
       where m.ab_name in ('F') and m.org_itemid in (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)
