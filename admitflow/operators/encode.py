@@ -1,16 +1,12 @@
-"""Row encoders: PCA, and a denoising autoencoder trained data-parallel.
-
-Each training step is one Spark job: tasks compute the gradient of their rows
-with the current weights, the gradients are summed by a shuffle over pieces of
-the weight vector, and the driver, which holds one copy of the weights, moves
-them. Steps use all rows, so losses follow another path than mini-batches do.
-Noise is drawn by row key and epoch: how rows are dealt out changes nothing but
-the order in which gradients are added.
+"""Row encoders: PCA, and a denoising autoencoder.
+
+The autoencoder is trained by ``neural``: replicas take steps over batches of
+their own rows and their weights are averaged, so no gradient reaches the
+driver. What is fetched there is the fitted encoder, once.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PIECE = 8192  # weights per shuffled piece
+from admitflow.operators import neural
 
 
 def fit_pca(df: DataFrame, column: str, k: int) -> PCAModel:
@@ -59,82 +55,12 @@ def new_autoencoder(d: int, hidden: tuple[int, ...] | None = None, code: int = 1
     return Autoencoder(widths, weights)
 
 
-def _forward(weights, x: np.ndarray, stop: int) -> list[np.ndarray]:
-    """Outputs of the layers; ReLU between, none on the code, sigmoid at the end."""
-    outs, code = [x], len(weights) // 2
-    for i, (w, b) in enumerate(weights[:stop], 1):
-        z = outs[-1] @ w + b
-        if i == len(weights):
-            z = 1.0 / (1.0 + np.exp(-z))
-        elif i != code:
-            z = np.maximum(z, 0.0)
-        outs.append(z)
-    return outs
-
-
-def _gradient(weights, x: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
-    """Summed cross-entropy of a batch and its gradient as one flat vector."""
-    outs, code = _forward(weights, x, len(weights)), len(weights) // 2
-    p = np.clip(outs[-1], 1e-7, 1 - 1e-7)
-    loss = -float(np.sum(target * np.log(p) + (1 - target) * np.log(1 - p)))
-    flat, delta = [], outs[-1] - target
-    for i in range(len(weights) - 1, -1, -1):
-        flat[:0] = [(outs[i].T @ delta).ravel(), delta.sum(axis=0)]
-        if i:
-            delta = delta @ weights[i][0].T
-            if i != code:
-                delta = delta * (outs[i] > 0)
-    return loss, np.concatenate(flat)
-
-
-def _unflatten(flat: np.ndarray, widths: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-    out, at = [], 0
-    for a, b in zip(widths, widths[1:]):
-        out.append((flat[at : at + a * b].reshape(a, b), flat[at + a * b : at + a * b + b]))
-        at += a * b + b
-    return out
-
-
-def noisy(keys, target: np.ndarray, keep: float, seed: int, epoch: int) -> np.ndarray:
-    """Each entry x stays with chance ``keep`` and turns into 1 - x otherwise; the draws are the row key's own."""
-    draws = np.empty(target.shape)
-    for i, key in enumerate(keys):
-        digest = hashlib.blake2b(f"{key}:{epoch}:{seed}".encode(), digest_size=16).digest()
-        draws[i] = np.random.Generator(np.random.Philox(key=np.frombuffer(digest, np.uint64))).random(target.shape[1])
-    return np.where(draws < keep, target, 1.0 - target)
-
+def _net(model: Autoencoder) -> neural.Net:
+    return neural.Net(tuple(model.widths), "relu", norm=False, code=model.code_layer)
 
-def _gradient_pieces(rows: DataFrame, key: str, column: str, shared, epoch: int, keep: float | None, seed: int) -> DataFrame:
-    """(piece, part) rows: each task's gradient, cut in pieces; piece -1 is (loss, entries)."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = shared.value
-        loss, entries, total = 0.0, 0, None
-        for batch in batches:
-            if batch.empty:
-                continue
-            target = np.stack(batch[column].to_numpy()).astype(float)
-            x = target if keep is None else noisy(batch[key], target, keep, seed, epoch)
-            part_loss, part = _gradient(weights, x, target)
-            loss, entries = loss + part_loss, entries + target.size
-            total = part if total is None else total + part
-        if total is not None:
-            pieces = range(0, len(total), PIECE)
-            yield pd.DataFrame({
-                "piece": [-1, *range(len(pieces))],
-                "part": [np.array([loss, float(entries)]), *(total[i : i + PIECE] for i in pieces)],
-            })
-
-    return rows.mapInPandas(work, "piece int, part array<double>")
-
-
-def _sum_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for piece, part in zip(batch["piece"], batch["part"]):
-            sums[piece] = sums[piece] + part if piece in sums else np.array(part)
-    if sums:
-        yield pd.DataFrame({"piece": list(sums), "part": list(sums.values())})
+def _flat(model: Autoencoder) -> np.ndarray:
+    return np.concatenate([a.ravel() for pair in model.weights for a in pair])
 
 
 def fit_autoencoder(
@@ -148,37 +74,26 @@ def fit_autoencoder(
     keep: float | None = 0.1,
     stop: float = 0.005,
     seed: int = 42,
+    batch: int = 512,
+    replicas: int = 8,
+    epochs_a_round: int = 10,
 ) -> Autoencoder:
     """Train on an array column with entries in [0, 1]; without rows the model stays as it is.
 
     ``keep`` is the chance that an input entry x stays as it is; otherwise it is
     fed as 1 - x (None: no noise). The target is always the clean row. Adam with
-    L2 ``decay``; ends early when the mean loss falls below ``stop``.
+    L2 ``decay`` over batches of ``batch`` rows in each of ``replicas``, averaged
+    after every ``epochs_a_round`` epochs; ends early when the mean loss at the
+    end of a round is below ``stop``.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).alias("_key"), F.col(column)).persist()
-    flat = np.concatenate([a.ravel() for pair in model.weights for a in pair])
-    first, second, losses = np.zeros_like(flat), np.zeros_like(flat), []
-    try:
-        for epoch in range(1, epochs + 1):
-            shared = spark.sparkContext.broadcast(_unflatten(flat, model.widths))
-            pieces = _gradient_pieces(rows, "_key", column, shared, epoch, keep, seed)
-            # A task holds one running sum per piece, however many tasks send one.
-            sums = pieces.repartition(F.col("piece")).mapInPandas(_sum_pieces, "piece int, part array<double>")
-            got = {r["piece"]: np.array(r["part"]) for r in sums.collect()}
-            shared.unpersist()
-            if not got:
-                break
-            loss, entries = got.pop(-1)
-            losses.append(loss / entries)
-            g = np.concatenate([got[i] for i in sorted(got)]) / entries + decay * flat
-            first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-            flat = flat - rate * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.999**epoch)) + 1e-8)
-            if losses[-1] < stop:
-                break
-    finally:
-        rows.unpersist()
-    return Autoencoder(model.widths, _unflatten(flat, model.widths), losses)
+    pieces = neural.pieces_of(0, 1, _flat(model))
+    state = spark.createDataFrame(pieces, neural.STATE)
+    how = neural.Training(epochs, batch, rate, decay, keep, stop, False, replicas, epochs_a_round, seed)
+    done = neural.train(df.select(F.col(key).alias("_key"), F.col(column).alias("_x")), "_key", "_x", "_x", [_net(model)], how, state=state)
+    found = done.numbers(0)
+    layers = range(1, len(model.widths))
+    return Autoencoder(model.widths, [(found[f"w{i}"].copy(), found[f"b{i}"].copy()) for i in layers], done.losses[0])
 
 
 def loss_history(model: Autoencoder, spark) -> DataFrame:
@@ -187,17 +102,20 @@ def loss_history(model: Autoencoder, spark) -> DataFrame:
 
 def encode_rows(df: DataFrame, column: str, model: Autoencoder, keep: list[str], name: str = "encoded") -> DataFrame:
     """The code of every row, with the columns of ``keep``; one narrow stage."""
-    shared = df.sparkSession.sparkContext.broadcast(model.weights)
-    stop = model.code_layer
+    net, flat = _net(model), _flat(model)
+    shared = df.sparkSession.sparkContext.broadcast((tuple(net.widths), net.code, flat))
     out = T.StructType([*df.select(*keep).schema, T.StructField(name, T.ArrayType(T.DoubleType()))])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        widths, code, numbers = shared.value
+        net = neural.Net(widths, "relu", norm=False, code=code)
+        weights = neural.views(net, numbers)
         for batch in batches:
             if batch.empty:
                 continue
             x = np.stack(batch[column].to_numpy()).astype(float)
             coded = batch[keep].copy()
-            coded[name] = list(_forward(shared.value, x, stop)[-1])
+            coded[name] = list(neural.forward(net, weights, x, stop=code)[0])
             yield coded
 
     return df.select(*keep, column).mapInPandas(work, out)

@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from admitflow.operators import evaluate, sampling
+from admitflow.operators import evaluate, neural, sampling
 from admitflow.session import cut_lineage
 
 METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
@@ -37,11 +37,18 @@ def balanced(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     return df.withColumn(name, _weight_column(sampling.class_counts(df, label), label))
 
 
-def forest(trees: int = 150, depth: int = 13, features: int | str = 40, share: float = 0.9, leaf: int = 2, weighted: bool = True, seed: int = 42, label: str = "y") -> RandomForestClassifier:
-    """Random forest; ``features`` candidates per split, ``share`` of the rows per tree."""
+def forest(
+    trees: int = 150, depth: int = 13, features: int | str = 40, share: float = 0.9, leaf: int = 2, weighted: bool = True, seed: int = 42, label: str = "y",
+    statistics_mb: int = 1024,
+) -> RandomForestClassifier:
+    """Random forest; ``features`` candidates per split, ``share`` of the rows per tree.
+
+    ``statistics_mb`` is the memory for split statistics: the more nodes fit into
+    it, the fewer passes over the rows a level takes. Results do not depend on it.
+    """
     model = RandomForestClassifier(
         labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy=str(features),
-        subsamplingRate=share, minInstancesPerNode=leaf, seed=seed,
+        subsamplingRate=share, minInstancesPerNode=leaf, seed=seed, maxMemoryInMB=statistics_mb,
     )
     return model.setWeightCol("weight") if weighted else model
 
@@ -133,6 +140,74 @@ def grid_sweep(train: DataFrame, test: DataFrame, features: Sequence[str], key:
     return measure(frames, label)
 
 
+def net_frame(df: DataFrame, features: Sequence[str] | str, key: sampling.Key, labels: Sequence[str]) -> DataFrame:
+    """(key, x, y): features (columns, or one array column) and 0/1 labels as arrays, for ``neural``."""
+    x = F.col(features) if isinstance(features, str) else F.array(*(F.col(f"`{c}`").cast("double") for c in features))
+    return df.select(*sampling.key_columns(key), x.alias("x"), F.array(*(F.col(c).cast("double") for c in labels)).alias("y"))
+
+
+def net_shape(inputs: int, nodes: Sequence[int], dropout: float = 0.5, outputs: int = 1) -> neural.Net:
+    """The study's classifier: hidden layers of linear, dropout, ELU, batch norm; sigmoid outputs."""
+    return neural.Net((inputs, *nodes, outputs), "elu", dropout, norm=True)
+
+
+def score_nets(trained: neural.Trained, rows: DataFrame, key: sampling.Key, label: str = "y", lanes: int = 1) -> DataFrame:
+    """(net, key, label, prediction, score) of every net with one output; a score of 0.5 or more is class 1. ``rows``: of ``net_frame``."""
+    keys = [key] if isinstance(key, str) else list(key)
+    scored = neural.score(trained, rows, [*keys, "y"], "x", lanes=lanes)
+    p = F.col("scores")[0]
+    return scored.select("net", *keys, F.col("y")[0].cast("int").alias(label), (p >= 0.5).cast("int").alias("prediction"), p.alias("score"))
+
+
+def net_sweep(
+    train: DataFrame, test: DataFrame, features: Sequence[str] | str, inputs: int, key: sampling.Key, layouts: Sequence[Sequence[int]],
+    dropouts: Sequence[float], training: neural.Training, label: str = "y", lanes: int = 4,
+) -> DataFrame:
+    """Metrics of the study's classifier per hidden-layer layout and dropout; all are trained and scored side by side."""
+    grid = [(layout, p) for layout in layouts for p in dropouts]
+    nets = [net_shape(inputs, layout, p) for layout, p in grid]
+    done = neural.train(net_frame(train, features, key, [label]), sampling.key_columns(key), "x", "y", nets, training, lanes)
+    scored = cut_lineage(score_nets(done, net_frame(test, features, key, [label]), key, label, lanes), "net-scores")
+    tags = [(i, "-".join(map(str, layout)), float(p), done.losses[i][-1] if done.losses[i] else None) for i, (layout, p) in enumerate(grid)]
+    named = train.sparkSession.createDataFrame(tags, "net int, layout string, dropout double, loss double")
+    basic = evaluate.binary_metrics(scored, label, "prediction", ["net"]).drop("no_skill")
+    return named.join(basic, "net", "left").join(evaluate.roc_auc(scored, label, "score", ["net"]), "net", "left").drop("net")
+
+
+def fit_label_chain(df: DataFrame, features: Sequence[str], labels: Sequence[str], key: sampling.Key, make: Callable[[str], Estimator], seed, folds: int = 3) -> dict[str, PipelineModel]:
+    """One model per label, in order; each also sees the scores of the labels before it.
+
+    Those scores are out-of-fold: a row's score comes from a model that did not see
+    the row, so a label's model learns from scores like those it gets later. The
+    models returned are fitted on all rows.
+    """
+    fold = "_chain_fold"
+    rows, seen, models = cut_lineage(sampling.kfold_assign(df, key, labels[0], seed, folds, fold), "chain"), list(features), {}
+    for name in labels:
+        models[name] = fit(rows, seen, make(name))
+        if name == labels[-1]:
+            break
+        parts = []
+        for i in range(folds):
+            model = fit(rows.where(F.col(fold) != i), seen, make(name))
+            parts.append(_with_score(model, rows.where(F.col(fold) == i), f"_chain_{name}"))
+        rows = cut_lineage(sampling.union_rows(*parts), "chain")
+        seen.append(f"_chain_{name}")
+    return models
+
+
+def _with_score(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
+    return model.transform(df).select(*(F.col(f"`{c}`") for c in df.columns), F.get(vector_to_array("probability"), F.lit(1)).alias(name))
+
+
+def score_label_chain(models: Mapping[str, PipelineModel], df: DataFrame, key: str) -> DataFrame:
+    """(key, labels, scores): arrays in label order; each model sees the scores before its own."""
+    out = df
+    for name, model in models.items():
+        out = _with_score(model, out, f"_chain_{name}")
+    return out.select(key, F.array(*(F.col(n).cast("int") for n in models)).alias("labels"), F.array(*(F.col(f"_chain_{n}") for n in models)).alias("scores"))
+
+
 def cross_validate(
     df: DataFrame,
     features: Sequence[str],

@@ -10,7 +10,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from admitflow.functions import vectors
-from admitflow.operators import encode, evaluate, learn, sampling
+from admitflow.operators import encode, evaluate, learn, neural, sampling
 from admitflow.plans import baseline
 from admitflow.presets import clinical
 from admitflow.session import cut_lineage
@@ -42,7 +42,7 @@ FEATURES = ["lines", "quantity", "price", "discount", "tax", "suppliers", "open"
 study_forest = partial(learn.forest, features="all", seed=SEED)
 # Curves fit a forest for every point.
 curve_forest = partial(learn.forest, trees=20, depth=8, features=3, seed=SEED)
-BOOSTING, EPOCHS = 20, 170
+EPOCHS = 170  # of the encoder
 
 
 def _split(t):
@@ -95,7 +95,7 @@ def rf_train_score(t):
 @query("gbt_train_score", _SCORED)
 def gbt_train_score(t):
     train, test = _split(t)
-    return checked(learn.score(learn.fit(train, FEATURES, learn.boosted(rounds=BOOSTING, seed=SEED)), test, KEY))
+    return checked(learn.score(learn.fit(train, FEATURES, learn.boosted(seed=SEED)), test, KEY))
 
 
 @query("mlp_train_score", _SCORED)
@@ -196,21 +196,122 @@ def _coded(df, width: int):
     return (finite & (F.size("encoded") == width)).alias("valid")
 
 
+def loss_rows(t, losses, epochs: int, stop: float, good):
+    """(epoch, valid): each epoch's loss is a loss, or training had ended below ``stop`` before; ``good`` is what must hold of them all."""
+    history = t.spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses, 1)], "epoch int, loss double")
+    ended = bool(losses) and losses[-1] < stop
+    fits = F.when(F.col("loss").isNull(), F.lit(ended)).otherwise(F.col("loss").between(0, 10)) & F.lit(bool(good))
+    return t.spark.range(1, epochs + 1).select(F.col("id").cast("int").alias("epoch")).join(history, "epoch", "left").select("epoch", fits.alias("valid"))
+
+
 @query("fit_encoder", f"select range::int as epoch, true as valid from range(1, {EPOCHS} + 1)")
 def fit_encoder(t):
-    model = encode.fit_autoencoder(_unit_rows(t), "vec_id", "x", encode.new_autoencoder(64, (32, 16), 8), epochs=EPOCHS, rate=0.01)
-    falls = model.losses[-1] < model.losses[0]
-    return encode.loss_history(model, t.spark).select("epoch", (F.col("loss").between(0, 10) & F.lit(falls)).alias("valid"))
+    """The study's encoder (d, d/2, 256, 128) in 170 epochs of 512-row steps; its loss ends below that of the mean row."""
+    rows = cut_lineage(_unit_rows(t), "unit-rows")
+    model = encode.fit_autoencoder(rows, "vec_id", "x", encode.new_autoencoder(64), epochs=EPOCHS)
+    mean = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"))
+    alone = mean.agg(F.avg(-F.col("m") * F.log("m") - (1 - F.col("m")) * F.log(1 - F.col("m")))).first()[0]
+    return loss_rows(t, model.losses, EPOCHS, 0.005, model.losses[-1] < min(model.losses[0], alone + 0.01))
 
 
 @query("encode_rows", "select vec_id, label, true as valid from embeddings")
 def encode_rows(t):
-    """Codes by an encoder that was stored and loaded."""
+    """Codes by an encoder that was fitted, stored and loaded."""
     rows = _unit_rows(t)
-    model = encode.fit_autoencoder(rows, "vec_id", "x", encode.new_autoencoder(64, (32, 16), 8), epochs=2, rate=0.01)
+    model = encode.fit_autoencoder(rows, "vec_id", "x", encode.new_autoencoder(64), epochs=EPOCHS)
     model = models.load_encoder(t.spark, models.save_encoder(t.spark, model, new_path(t.spark, f"{t.tag}_encoder")))
     coded = encode.encode_rows(rows, "x", model, ["vec_id", "label"])
-    return coded.select("vec_id", "label", _coded(coded, 8))
+    return coded.select("vec_id", "label", _coded(coded, 128))
+
+
+def _planted(t):
+    """Embeddings whose label says on which side of a plane they lie, so a classifier's skill has a known bound."""
+    e = F.col("embedding")
+    side = (e[0] + e[1] - e[2]).cast("double") > 0
+    return t("embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double") * 8).alias("x"), side.cast("int").alias("y"))
+
+
+_PLANTED = "(select vec_id, (embedding[1] + embedding[2] - embedding[3] > 0)::int as y from embeddings)"
+NET = neural.Training(epochs=30, batch=32, balance=True, replicas=4, seed=SEED)
+
+
+@query("net_train_score", f"select vec_id, y, true as valid from {_PLANTED}")
+def net_train_score(t):
+    """The study's classifier (dropout, ELU, batch norm) with layers 128 and 64: every row's score."""
+    rows = learn.net_frame(_planted(t), "x", "vec_id", ["y"])
+    done = neural.train(rows, "vec_id", "x", "y", [learn.net_shape(64, [128, 64])], NET)
+    return checked(learn.score_nets(done, rows, "vec_id").drop("net"), "vec_id")
+
+
+@query("net_skill", "select true as loss_falls, true as beats_columns, true as separates")
+def net_skill(t):
+    """Held-out skill on a planted plane: a better AUC than any single column, and one near 1."""
+    split = sampling.split_stratified(cut_lineage(_planted(t), "planted"), "vec_id", "y", SEED, 0.3)
+    train, test = split.where("split = 'train'"), cut_lineage(split.where("split = 'test'"), "planted-test")
+    shape = learn.net_shape(64, [128, 64], 0.25)
+    done = neural.train(learn.net_frame(train, "x", "vec_id", ["y"]), "vec_id", "x", "y", [shape], NET)
+    scored = learn.score_nets(done, learn.net_frame(test, "x", "vec_id", ["y"]), "vec_id")
+    columns = test.select("y", F.posexplode("x").alias("column", "v"))
+    single = evaluate.roc_auc(columns, "y", "v", ["column"]).agg(F.max(F.greatest("roc_auc", 1 - F.col("roc_auc")))).first()[0]
+    auc = evaluate.roc_auc(scored, "y", "score").first()[0]
+    found = (done.losses[0][-1] < done.losses[0][0], auc > single, auc > 0.85)
+    return t.spark.createDataFrame([tuple(map(bool, found))], "loss_falls boolean, beats_columns boolean, separates boolean")
+
+
+DROPOUTS = [0.0, 0.1, 0.25, 0.4, 0.5]
+_GRID = ", ".join(f"('{'-'.join(map(str, nodes))}', {p}::double)" for nodes in clinical.LAYER_GRID for p in DROPOUTS)
+
+
+@query("dropout_grid", f"select layout, dropout, true as valid from (values {_GRID}) v(layout, dropout)")
+def dropout_grid(t):
+    """All fifteen layouts at full width with each of five dropouts, side by side."""
+    split = sampling.split_stratified(cut_lineage(_planted(t), "planted"), "vec_id", "y", SEED, 0.3)
+    train, test = split.where("split = 'train'"), split.where("split = 'test'")
+    how = neural.Training(epochs=10, batch=128, balance=True, replicas=1, epochs_a_round=10, seed=SEED)
+    swept = learn.net_sweep(train, test, "x", 64, "vec_id", clinical.LAYER_GRID, DROPOUTS, how, lanes=8)
+    return swept.select("layout", "dropout", (_unit(*learn.METRICS) & F.col("loss").between(0, 10)).alias("valid"))
+
+
+@query(
+    "multilabel_net",
+    f"""
+    select 0 as label_id, sum(y)::bigint as support, true as skilled from {_PLANTED}
+    union all select 1, sum((label < 5)::int)::bigint, true from embeddings
+    union all select 2, sum(((label < 5) and y = 1)::int)::bigint, true from {_PLANTED} join embeddings using (vec_id)""",
+)
+def multilabel_net(t):
+    """One net with three sigmoid outputs, as the study's multi-label classifier; on its own rows it knows more than each label's share."""
+    rows = _planted(t).join(t("embeddings").select("vec_id", (F.col("label") < 5).cast("int").alias("low")), "vec_id")
+    rows = cut_lineage(rows.withColumn("both", F.col("low") * F.col("y")), "three-labels")
+    frame = learn.net_frame(rows, "x", "vec_id", ["y", "low", "both"])
+    done = neural.train(frame, "vec_id", "x", "y", [learn.net_shape(64, [128, 64], 0.1, 3)], neural.Training(epochs=30, batch=32, replicas=4, seed=SEED))
+    scored = neural.score(done, frame, ["vec_id", "y"], "x")
+    long = scored.select(F.posexplode(F.arrays_zip("y", "scores")).alias("label_id", "z")).select("label_id", F.col("z.y").cast("int").alias("y"), F.col("z.scores").alias("score"))
+    long = cut_lineage(long, "three-scores")
+    skill = evaluate.roc_auc(long, "y", "score", ["label_id"])
+    return long.groupBy("label_id").agg(F.sum("y").alias("support")).join(skill, "label_id").select("label_id", "support", (F.col("roc_auc") > 0.75).alias("skilled"))
+
+
+@query(
+    "label_chain",
+    f"""
+    select 0 as label_id, sum(y)::bigint as support, true as no_worse from ({_ROWS})
+    union all select 1, sum((y = 1 and total > 150000)::int)::bigint, true from ({_ROWS})""",
+)
+def label_chain(t):
+    """The second label holds only where the first does: the chain's model of it is no worse than one that does not see the first's score."""
+    rows = training_rows(t).withColumn("y2", (F.col("y") * (F.col("total") > 150000).cast("int")))
+    rows = cut_lineage(rows.drop("total"), "chain-rows")
+    features, make = [f for f in FEATURES if f != "total"], lambda name: learn.forest(30, 6, "all", seed=SEED, label=name)
+    chain = learn.fit_label_chain(rows, features, ["y", "y2"], KEY, make, SEED)
+    alone = learn.fit_multilabel(rows, features, ["y", "y2"], make)
+    frames = {"chain": learn.score_label_chain(chain, rows, KEY), "alone": learn.score_multilabel(alone, rows, KEY)}
+    parts = [f.select(F.lit(n).alias("how"), F.posexplode(F.arrays_zip("labels", "scores")).alias("label_id", "z")) for n, f in frames.items()]
+    long = cut_lineage(sampling.union_rows(*parts).select("how", "label_id", F.col("z.labels").alias("y"), F.col("z.scores").alias("score")), "chain-scores")
+    skill = evaluate.roc_auc(long, "y", "score", ["how", "label_id"])
+    best = skill.groupBy("label_id").agg(F.max(F.when(F.col("how") == "chain", F.col("roc_auc"))).alias("c"), F.max(F.when(F.col("how") == "alone", F.col("roc_auc"))).alias("a"))
+    counts = long.where("how = 'chain'").groupBy("label_id").agg(F.sum("y").cast("bigint").alias("support"))
+    return counts.join(best, "label_id").select("label_id", "support", (F.col("c") > F.col("a") - 0.02).alias("no_worse"))
 
 
 @query(

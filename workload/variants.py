@@ -1,14 +1,13 @@
 """The population sample, the early labs, the research table and the encoded cohort."""
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
-from admitflow.operators import encode, population, sampling
+from admitflow.operators import population, sampling
 from admitflow.params import Params
 from admitflow.plans import cohort, encoded, research
 from admitflow.plans.features import build_features
 from workload.features import CTES, RULES, sources, staged_labs
+from workload.learning import loss_rows
 from workload.registry import query
 
 RESEARCH = research.ResearchRules(
@@ -118,7 +117,7 @@ def research_table(t):
     return out.select(*((F.round(c, 6) + 0.0).alias(c) if c in _NUMERIC else F.col(f"`{c}`") for c in out.columns))
 
 
-EPOCHS = 3
+EPOCHS = Params().encoder_training_epochs
 _TESTED = """
     select a.hadm_id, m.charttime, max(case when m.interpretation in ('R', 'I') then 1 else 0 end) as y
     from admissions a join microbiology m on m.hadm_id = a.hadm_id
@@ -126,13 +125,13 @@ _TESTED = """
 
 
 def _encoded(t, name: str):
-    src, params = sources(t), replace(Params(), encoder_training_epochs=EPOCHS)
+    src, params = sources(t), Params()
     table, _ = build_features(src, params, RULES, binned=True, labs=staged_labs(t, src, params, name))
     labels = cohort.resistance_labels(t.admissions, t.microbiology, params, ["F"], range(60))
-    return encoded.encoded_cohort(table, labels, params, hidden=(32, 16), code=8, rate=0.01)
+    return encoded.encoded_cohort(table, labels, params)
 
 
-@query("encoded_cohort", f"{CTES} select c.hadm_id, c.charttime, c.y, 8 as width from ({_TESTED}) c join base b on b.hadm_id = c.hadm_id")
+@query("encoded_cohort", f"{CTES} select c.hadm_id, c.charttime, c.y, 128 as width from ({_TESTED}) c join base b on b.hadm_id = c.hadm_id")
 def encoded_cohort(t):
     coded = _encoded(t, "encoded")[0]
     finite = F.forall("encoded", lambda v: ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -141,4 +140,5 @@ def encoded_cohort(t):
 
 @query("encoder_loss", f"select range::int as epoch, true as valid from range(1, {EPOCHS} + 1)")
 def encoder_loss(t):
-    return encode.loss_history(_encoded(t, "loss")[1], t.spark).select("epoch", F.col("loss").between(0, 10).alias("valid"))
+    losses = _encoded(t, "loss")[1].losses
+    return loss_rows(t, losses, EPOCHS, 0.005, losses[-1] < losses[0])
