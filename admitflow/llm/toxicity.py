@@ -82,29 +82,31 @@ class Model:
 
 
 def maximal_segments(scores: Sequence[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) of a sequence, in one pass with a list of candidates.
+    """All maximal scoring segments (start, end, score) of a sequence, in linear time.
 
-    Each candidate keeps the running totals before its start and at its end. A
-    new positive score joins the nearest earlier candidate that starts lower,
-    if that one ends lower than the new one, and the check is repeated.
+    Each candidate keeps the running totals before its start and at its end, and a
+    link to the nearest earlier candidate that starts lower. A new positive score
+    joins the nearest earlier candidate that starts lower than itself, if that one
+    ends lower than the new one, and the check is repeated. Candidates that a link
+    passes over start no lower, so the search jumps along the links.
     """
-    found: list[list] = []  # start, end, total before, total at end
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, total before, total at end, link
     total = 0.0
     for at, score in enumerate(scores):
         before, total = total, total + score
         if score <= 0:
             continue
-        new = [at, at + 1, before, total]
+        start, low, k = at, before, len(found) - 1
         while True:
-            k = len(found) - 1
-            while k >= 0 and found[k][2] >= new[2]:
-                k -= 1
-            if k < 0 or found[k][3] >= new[3]:
-                found.append(new)
+            while k >= 0 and found[k][2] >= low:
+                k = found[k][4]
+            if k < 0 or found[k][3] >= total:
+                found.append((start, at + 1, low, total, k))
                 break
-            new = [found[k][0], new[1], found[k][2], new[3]]
+            start, _, low, _, link = found[k]
             del found[k:]
-    return [(s, e, high - low) for s, e, low, high in found]
+            k = link
+    return [(s, e, high - low) for s, e, low, high, _ in found]
 
 
 class Scanner:
@@ -140,9 +142,9 @@ class Scanner:
             last = i + 1
         return len(words), [(places[s][0], places[e - 1][1], v) for s, e, v in maximal_segments(steps)]
 
-    def spans(self, text: str) -> list[tuple[int, int, float, float]]:
-        """Significant passages as code points: (start, end, score, number expected by chance)."""
-        count, found = self.segments(text)
+    def spans(self, text: str, scanned: tuple | None = None) -> list[tuple[int, int, float, float]]:
+        """Significant passages as code points: (start, end, score, number expected by chance). ``scanned``: the text's segments, if known."""
+        count, found = scanned or self.segments(text)
         kept = [(s, e, v, x) for s, e, v in found if (x := self.model.expected(v, count)) <= SIGNIFICANT]
         if not kept:
             return []
@@ -151,9 +153,9 @@ class Scanner:
             return [(0, len(text), v, x) for _, _, v, x in kept]
         return [(words[s][0], words[e - 1][1], v, x) for s, e, v, x in kept]
 
-    def features(self, text: str) -> tuple[float, float]:
+    def features(self, text: str, scanned: tuple | None = None) -> tuple[float, float]:
         """The best segment's excess over chance, and that of all significant segments, by logarithm. Both allow for the length."""
-        count, found = self.segments(text)
+        count, found = scanned or self.segments(text)
         excess = [self.model.excess(v, count) for _, _, v in found]
         certain = sum(x for x in excess if x >= -math.log(SIGNIFICANT))
         return min(max(excess, default=-10.0), 60.0), math.log1p(certain)
@@ -326,21 +328,23 @@ def fit(
     return model
 
 
-def score_column(model: Model, text: Column, docs: DataFrame) -> Column:
-    """struct<score, passages>: the probability of the label, and the significant passages as code points."""
+def score_column(model: Model, text: Column, docs: DataFrame, passages: bool = True) -> Column:
+    """struct<score, passages>: the probability of the label, and the significant passages as code points (null unless ``passages``).
+
+    A text is split and scanned once, for both.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, passages array<struct<start:long,end:long,score:double,expected:double>>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(sent.value)
         for batch in batches:
-            texts = batch.tolist()
-            yield pd.DataFrame(
-                {
-                    "score": [sent.value.probability(scanner.features(t)) for t in texts],
-                    "passages": [[dict(zip(("start", "end", "score", "expected"), p)) for p in scanner.spans(t)] for t in texts],
-                }
-            )
+            scores, marked = [], []
+            for text in batch.tolist():
+                scanned = scanner.segments(text)
+                scores.append(sent.value.probability(scanner.features(text, scanned)))
+                marked.append([dict(zip(("start", "end", "score", "expected"), p)) for p in scanner.spans(text, scanned)] if passages else None)
+            yield pd.DataFrame({"score": scores, "passages": marked})
         del scanner
         give_back()
 

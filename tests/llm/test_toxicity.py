@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 
 import pytest
@@ -35,6 +36,15 @@ def test_segments_are_the_maximal_ones(seed):
     assert [s[2] for s in got] == pytest.approx([s[2] for s in want])
 
 
+def test_segments_take_time_in_proportion():
+    took = []
+    for n in (16_000, 160_000):
+        begin = time.process_time()
+        assert len(toxicity.maximal_segments([1.0, -2.0] * n)) == n
+        took.append(time.process_time() - begin)
+    assert took[1] < 25 * took[0] + 0.1
+
+
 def test_decay_solves_its_equation():
     counts = {-0.5: 990, 2.0: 9, 4.0: 1}
     x = toxicity.chance_decay(counts, 0.5)
