@@ -104,8 +104,8 @@ def _matrix(blobs: list[bytes], dimension: int) -> np.ndarray:
 class _Best:
     """Each query's best answers within a task."""
 
-    def __init__(self, k: int, dimension: int):
-        self.k, self.dimension, self.best = k, dimension, {}
+    def __init__(self, k: int, dimension: int, most: int):
+        self.k, self.dimension, self.most, self.best = k, dimension, most, {}
 
     def __call__(self, c):
         for ids, vectors, query_ids, queries in zip(c["ids"], c["vectors"], c["query_ids"], c["queries"]):
@@ -120,14 +120,18 @@ class _Best:
 
     def compare(self, query_ids, queries, rough, ids, vectors, scale):
         """Exact distances of what the rough ones leave among the best, and a little more for rounding."""
-        keep = min(self.k + 1, rough.shape[1])  # one more, since the query may be among them
+        # One id more, since the query's own may be among them; an id may stand on several vectors.
+        keep = min((self.k + 1) * self.most, rough.shape[1])
         last = np.partition(rough, keep - 1, axis=1)[:, keep - 1]
         slack = 1e-9 * (scale + np.abs(last) + (queries * queries).sum(axis=1))
         for row, key in enumerate(query_ids.tolist()):
             near = np.nonzero(rough[row] <= last[row] + slack[row])[0]
             exact = np.sqrt(((vectors[near] - queries[row]) ** 2).sum(axis=1))
-            new = {(d, i) for d, i in zip(exact.tolist(), ids[near].tolist()) if i != key}
-            self.best[key] = heapq.nsmallest(self.k, new.union(self.best.get(key, ())))
+            least = {i: d for d, i in self.best.get(key, ())}
+            for d, i in zip(exact.tolist(), ids[near].tolist()):
+                if i != key and d < least.get(i, math.inf):
+                    least[i] = d
+            self.best[key] = heapq.nsmallest(self.k, ((d, i) for i, d in least.items()))
 
     def empty(self):
         return {"query_id": [], "vec_id": [], "score": []}
@@ -194,6 +198,7 @@ def nearest(
     asked = _packed_vectors(rows.where("asked").groupBy("vec_id").agg(F.min("v").alias("v")))
 
     total = named.count()
+    most = named.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
     drawn = named.where(F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(1 << 20)) < int(min(1.0, max_sample / max(total, 1)) * (1 << 20)))
     sample = _matrix([r.v for r in drawn.select("v").orderBy(F.xxhash64("v")).limit(max_sample).collect()], dimension)
     forest = grow(sample, total, trees, leaf, seed)
@@ -226,7 +231,7 @@ def nearest(
     opened = cut_lineage(by_batch(asked, schema, search), "opened-leaves")
     asking = _blocks(opened, "vec_id", "v", ("query_ids", "queries"), dimension)
     pairs = stored.join(asking, ["tree", "leaf"]).select("ids", "vectors", "query_ids", "queries")
-    answers = by_batch(pairs, "query_id long, vec_id long, score double", lambda: _Best(k, dimension))
+    answers = by_batch(pairs, "query_id long, vec_id long, score double", lambda: _Best(k, dimension, most))
     answers = answers.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return answers.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

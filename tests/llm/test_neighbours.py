@@ -49,6 +49,16 @@ def test_all_leaves_give_the_exact_answer(spark):
     assert all(r.score == pytest.approx(want[r.query_id, r.rank][1], abs=1e-12) for r in got)
 
 
+def test_an_id_on_many_vectors_counts_once(spark):
+    """Id 700 lies on 59 vectors near the query, ids 1 to 39 lie farther: ten different ids are found."""
+    rows = [(0, [1.0, 0.0])] + [(700, [1.0 + i / 1000, 0.0]) for i in range(1, 60)] + [(i, [2.0 + i / 10, 0.0]) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.rank, r.vec_id) for r in neighbours.nearest(df, F.col("vec_id") == 0, leaf=16, share=100.0).collect())
+    assert got == [(1, 700)] + [(i + 1, i) for i in range(1, 10)]
+    want = {(q, r): (i, d) for q, r, i, d in exact(rows, lambda i: i == 0)}
+    assert [i for _, i in got] == [want[0, r][0] for r in range(1, 11)]
+
+
 def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (100, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = neighbours.nearest(df, F.col("vec_id") % 100 == 0).collect()
