@@ -29,6 +29,11 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one value, so that helper columns beside it can have any name."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def give_back() -> None:
     """Return what a task has freed, so that a Python worker that waits for its next task holds little."""
     pa.default_memory_pool().release_unused()
