@@ -25,8 +25,8 @@ from admitflow.llm.common import ID_TYPE, LATIN, LATIN_WORDS, PieceCache, by_bat
 IDS = 20
 LAST_ID = (1 << IDS) - 1
 # Pre-tokens, and pieces of text, whose ids are kept, in two generations each. Changes no result.
-WORDS_KEPT = 400_000
-PIECES_KEPT = 400_000
+WORDS_KEPT = 1_000_000
+PIECES_KEPT = 1_600_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -151,11 +151,12 @@ def read_spec(path: str) -> str:
         return file.read()
 
 
-def encode_texts(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def encode_texts(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", decoded: str | None = None) -> DataFrame:
     """``id_column``, ``ids array<int>``: every whole text as token ids. Null and empty texts have no ids.
 
-    One narrow pass: no shuffle, and a task holds one batch of texts and a
-    bounded cache. Rows that repeat are encoded as often as they occur. Other
+    ``decoded`` names a further column: the text that the ids decode to, made in the
+    same pass. One narrow pass: no shuffle, and a task holds one batch of texts and
+    a bounded cache. Rows that repeat are encoded as often as they occur. Other
     columns of ``df`` are not read.
     """
     spec = df.sparkSession.sparkContext.broadcast(read_spec(path))
@@ -168,11 +169,12 @@ def encode_texts(df: DataFrame, path: str, id_column: str = "doc_id", text_colum
             ids = [coder.encode(t) for t in c["_text"]]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             flat = np.concatenate([np.zeros(0, ID_TYPE), *ids]).astype(np.int32)
-            return {id_column: c[id_column], "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+            out = {id_column: c[id_column], "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+            return out | ({decoded: list(map(coder.decode_text, ids))} if decoded else {})
 
         return step
 
-    return by_batch(source, f"`{id_column}` {df.schema[id_column].dataType.simpleString()}, ids array<int>", make)
+    return by_batch(source, f"`{id_column}` {df.schema[id_column].dataType.simpleString()}, ids array<int>" + (f", `{decoded}` string" if decoded else ""), make)
 
 
 def decode_ids(df: DataFrame, path: str, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:

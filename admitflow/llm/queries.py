@@ -78,10 +78,9 @@ def op5_prefix_hash(spark, folder):
 
 @query("op6_bpe")
 def op6_bpe(spark, folder):
-    """Encode with the merge queue, decode what came out, and give the digests of both."""
-    encoded = bpe.encode_texts(table(spark, folder, "documents"), TOKENIZER)
-    decoded = bpe.decode_ids(encoded, TOKENIZER)
-    return decoded.select(
+    """Encode with the merge queue, decode what came out in the same pass, and give the digests of both."""
+    coded = bpe.encode_texts(table(spark, folder, "documents"), TOKENIZER, decoded="decoded")
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
