@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from admitflow.functions import recode
-from admitflow.operators.totals import quantiles
+from admitflow.operators.totals import quantiles, range_bucket, running_totals
 
 # The percentiles of a description.
 DESCRIBE_PROBS = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -46,8 +50,97 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     return basic.withColumn("_s", row).select("*", "_s.*").drop("_s")
 
 
-def describe_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return describe(to_long(df, columns, "double", "column"), "value", ["column"])
+def describe_columns(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000) -> DataFrame:
+    """count, mean, std, min, max and exact percentiles of each column; null cells do not count.
+
+    The rows are read twice and never turned into cells. The first pass aggregates,
+    and brackets each percentile between two quantiles of a mergeable sketch whose
+    ranks are off by at most one in ``accuracy`` of the values. The second counts
+    what lies below each bracket and how often each value in it occurs, and the
+    percentile is selected exactly among those. A bracket that should miss its
+    ranks is opened to the whole column and counted again.
+    """
+    columns = list(columns)
+    x = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    margin, probs = 2.0 / accuracy, list(DESCRIBE_PROBS.values())
+    sides = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
+    one = df.agg(
+        *(
+            F.struct(
+                F.count(x[c]).alias("count"), F.avg(x[c]).alias("mean"), F.stddev_samp(x[c]).alias("std"), F.min(x[c]).alias("min"), F.max(x[c]).alias("max"),
+                F.percentile_approx(x[c], sides, accuracy).alias("sides"),
+            ).alias(f"_{i}")
+            for i, c in enumerate(columns)
+        )
+    ).first()
+    basic = [one[i] for i in range(len(columns))]
+    brackets, ranks = {}, {}
+    for i, b in enumerate(basic):
+        for j, p in enumerate(probs):
+            if b["count"]:
+                at = (b["count"] - 1) * p
+                ranks[i, j] = (math.floor(at), math.ceil(at))
+                lowest, highest = ranks[i, j][0] == 0, ranks[i, j][1] == b["count"] - 1
+                brackets[i, j] = (b["min"] if lowest else b["sides"][j], b["max"] if highest else b["sides"][len(probs) + j])
+    found: dict[tuple[int, int], tuple[float, float]] = {}
+    while brackets:
+        seen = _selected(df, [x[c] for c in columns], brackets, ranks)
+        for place in list(brackets):
+            ends = [seen.get(place, {}).get(rank) for rank in ranks[place]]
+            if None in ends:
+                brackets[place] = (-math.inf, math.inf)
+            else:
+                found[place] = tuple(ends)
+                del brackets[place]
+    rows = []
+    for i, (c, b) in enumerate(zip(columns, basic)):
+        cells = []
+        for j, p in enumerate(probs):
+            if (i, j) in found:
+                low, high = found[i, j]
+                cells.append(low + (high - low) * ((b["count"] - 1) * p - ranks[i, j][0]))
+            else:
+                cells.append(None)
+        rows.append((c, b["count"], b["mean"], b["std"], b["min"], b["max"], *cells))
+    names = ", ".join(f"{n} double" for n in ("mean", "std", "min", "max", *DESCRIBE_PROBS))
+    return df.sparkSession.createDataFrame(rows, f"column string, count long, {names}")
+
+
+def _selected(df: DataFrame, columns: Sequence[Column], brackets: dict, ranks: dict) -> dict[tuple[int, int], dict[int, float]]:
+    """{(column, bracket): {rank: value}} of the asked ranks whose values lie in their brackets.
+
+    Per task: how many values lie below each bracket, and counts of those in it.
+    Spark sums them, lays the values out by range and carries totals from range to
+    range; only the values at the asked ranks come to the driver.
+    """
+    wanted = sorted(brackets.items())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below, inside = Counter(), {place: Counter() for place, _ in wanted}
+        for batch in batches:
+            arrays = {i: batch.column(i).drop_null().to_numpy(zero_copy_only=False) for i in {i for (i, _), _ in wanted}}
+            for place, (low, high) in wanted:
+                v = arrays[place[0]]
+                below[place] += int((v < low).sum())
+                values, counts = np.unique(v[~(v < low) & ~(v > high)], return_counts=True)
+                inside[place].update(dict(zip(values.tolist(), counts.tolist())))
+        rows = [(*place, None, n) for place, n in below.items() if n]
+        rows += [(*place, v, n) for place, held in inside.items() for v, n in held.items()]
+        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int64())
+        for at in range(0, len(rows), 1 << 16):
+            part = list(zip(*rows[at : at + (1 << 16)]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds)], ["i", "j", "v", "n"])
+
+    cells = df.select(*(c.alias(f"_{i}") for i, c in enumerate(columns)))
+    counted = cells.mapInArrow(work, "i int, j int, v double, n long").groupBy("i", "j", "v").agg(F.sum("n").alias("_n"))
+    run = running_totals(range_bucket(counted, "v", ["i", "j"]), ["i", "j"], ["v"], ["_n"], "_range")
+    asked = F.create_map(*(F.lit(x) for (i, j), _ in wanted for x in (f"{i}:{j}", list(ranks[i, j]))))
+    rank = F.explode(asked[F.concat_ws(":", F.col("i").cast("string"), F.col("j").cast("string"))].cast("array<long>"))
+    hits = run.withColumn("_rank", rank).where((F.col("_n_run") - F.col("_n") <= F.col("_rank")) & (F.col("_rank") < F.col("_n_run")))
+    out: dict[tuple[int, int], dict[int, float]] = {}
+    for r in hits.where(F.col("v").isNotNull()).select("i", "j", "v", "_rank").collect():
+        out.setdefault((r.i, r.j), {})[r["_rank"]] = r.v
+    return out
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

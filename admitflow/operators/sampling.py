@@ -12,9 +12,12 @@ Labels are not null.
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -239,6 +242,63 @@ def oversample_minority(df: DataFrame, key: Key, label: str, seed) -> DataFrame:
     return originals.unionByName(copies.select(*originals.columns))
 
 
+def draw_counts(splits: Sequence[tuple[str, object, int]], totals: dict, seed: int) -> list[tuple[str, object, int, int]]:
+    """(split, class, rows, draws): each class's draws dealt to its splits by a multinomial, in proportion to their rows."""
+    out = []
+    for k, (c, total) in enumerate(sorted(totals.items(), key=str)):
+        mine = sorted((s, n) for s, of, n in splits if of == c)
+        rows = np.array([n for _, n in mine], float)
+        if total and not len(mine):
+            raise ValueError(f"class {c} has no rows to draw from")
+        dealt = np.random.default_rng([seed, k]).multinomial(total, rows / rows.sum()) if len(mine) else []
+        out += [(s, c, n, int(m)) for (s, n), m in zip(mine, dealt)]
+    return out
+
+
+def draw_rows(df: DataFrame, label: str, totals: dict, seed: int, name: str = "draw") -> DataFrame:
+    """``totals[c]`` draws with replacement from the rows of each class c, every row of a class as likely as the other.
+
+    Draws are first dealt to the splits of the stored rows (files, or blocks of
+    large ones) by a multinomial, then made within each split: row after row, the
+    number of its copies is a binomial of the draws that are left. So totals are
+    exact, the copies of all rows together follow a multinomial, and no row moves:
+    after the counts there is one narrow stage. The driver sees one number per
+    split and class. A row drawn k times comes k times, with ``name`` 0 to k - 1.
+    Labels are not null; classes without a total are not drawn.
+    """
+    rows = cut_lineage(df, "draw-from")
+    # A file's number in its folder, and where the block begins; the rest of its name is random.
+    file = F.col("_metadata.file_name")
+    numbers = (F.regexp_extract(file, r"^part-(\d+)", 1), F.regexp_extract(file, r"(c\d+)\D*$", 1))
+    split = F.concat_ws(":", *numbers, F.col("_metadata.file_block_start").cast("string"))
+    placed = rows.select("*", split.alias("_split"))
+    counted = placed.where(F.col(label).isin(*totals)).groupBy("_split", label).agg(F.count(F.lit(1)).alias("n")).collect()
+    dealt = draw_counts([(r["_split"], r[label], r.n) for r in counted], totals, seed)
+    kind = dict(df.dtypes)[label]
+    plan = df.sparkSession.createDataFrame(dealt, f"_split string, `{label}` {kind}, _rows long, _draws long")
+
+    @F.pandas_udf("long")
+    def copies(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        left: dict[tuple, list] = {}  # rows and draws that are left, and the draws' own generator, by split and class
+        for split, of, n_rows, n_draws in batches:
+            out = np.zeros(len(split), np.int64)
+            for i, key in enumerate(zip(split, of)):
+                if key not in left:
+                    word = hashlib.blake2b(repr((seed, str(key[0]), str(key[1]))).encode(), digest_size=8).digest()
+                    left[key] = [int(n_rows.iloc[i]), int(n_draws.iloc[i]), np.random.default_rng(int.from_bytes(word, "big"))]
+                state = left[key]
+                if state[1]:
+                    out[i] = state[2].binomial(state[1], 1.0 / state[0]) if state[0] > 1 else state[1]
+                state[0] -= 1
+                state[1] -= out[i]
+            yield pd.Series(out)
+
+    once = copies.asNondeterministic()  # it counts down: Spark must not run it a second time for the filter
+    aimed = placed.join(plan, ["_split", label]).withColumn("_copies", once("_split", label, "_rows", "_draws"))
+    drawn = aimed.where("_copies > 0").withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+    return drawn.select(*(F.col(f"`{c}`") for c in df.columns if c != name), name)
+
+
 def undersample_majority(df: DataFrame, key: Key, label: str, seed, share: float = 0.55) -> DataFrame:
     """Keep int(n_minority / share) rows of the majority class and all others."""
     sizes = class_counts(df, label)

@@ -53,6 +53,22 @@ def lookback_any(t):
     return seen.select("hadm_id", "itemid", "charttime")
 
 
+@query(
+    "join_hot_subject",
+    """
+    select e.hadm_id, e.itemid, e.charttime, p.hadm_id as for_hadm_id
+    from (select *, case when subject_id % 8 = 0 then 8 else subject_id end as subject from labs) e
+    join (select *, case when subject_id % 8 = 0 then 8 else subject_id end as subject from population) p
+      on p.subject = e.subject and e.charttime <= p.index_date and date_sub('day', e.charttime, p.admittime) <= 7""",
+)
+def join_hot_subject(t):
+    """One subject has an eighth of all events; its buckets are split."""
+    hot = F.when(F.col("subject_id") % 8 == 0, F.lit(8)).otherwise(F.col("subject_id")).cast("bigint")
+    pop = t.population.select(hot.alias("subject_id"), F.col("hadm_id").alias("for_hadm_id"), "index_date", "admittime")
+    labs = t.labs.select(hot.alias("subject_id"), "hadm_id", "itemid", "charttime")
+    return joins.lookback_events(labs, pop, least=50).select("hadm_id", "itemid", "charttime", "for_hadm_id")
+
+
 @query(
     "join_until_index",
     """
@@ -123,6 +139,34 @@ def assemble_features(t):
     return joins.join_blocks(t.population.select("hadm_id"), _blocks(t), "hadm_id")
 
 
+@query(
+    "assemble_stored_blocks",
+    """
+    select p.hadm_id, coalesce(w.wounds, 0) as wounds, coalesce(i.intubation, 0) as intubation, coalesce(l.top, 0) as top
+    from population p
+    left join (select hadm_id, 1 as wounds from diagnoses where icd9_code like 'Brand#1%' group by 1) w on w.hadm_id = p.hadm_id
+    left join (select hadm_id, 1 as intubation from procedures where cpt_cd = 'purchase' group by 1) i on i.hadm_id = p.hadm_id
+    left join (select hadm_id, max(valuenum) as top from labs group by 1) l on l.hadm_id = p.hadm_id""",
+)
+def assemble_stored_blocks(t):
+    """The same blocks, stored by key once: the joins move no rows."""
+    base, *blocks = (joins.store_block(b, "hadm_id", "block", 8) for b in (t.population.select("hadm_id"), *_blocks(t)))
+    return joins.join_blocks(base, blocks, "hadm_id")
+
+
+@query(
+    "concat_columns",
+    """
+    select vec_id, c_custkey, c_name from (select vec_id, row_number() over (order by label, vec_id) as i from embeddings) e
+    full join (select c_custkey, c_name, row_number() over (order by c_acctbal desc, c_custkey) as i from customer) c using (i)""",
+)
+def concat_columns(t):
+    """Two tables without a common key, side by side by their ranks."""
+    customers = t("customer").select((-F.col("c_acctbal")).alias("_by"), "c_custkey", "c_name")
+    both = joins.concat_columns(t("embeddings").select("label", "vec_id"), customers, ["label", "vec_id"], ["_by", "c_custkey"])
+    return both.select("vec_id", "c_custkey", "c_name")
+
+
 @query(
     "cohort_join_features",
     """

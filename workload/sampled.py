@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from admitflow.operators import sampling
+from admitflow.session import cut_lineage
 from workload.registry import query
 
 SEED = 11
@@ -150,3 +151,24 @@ def resample_balance(t):
     rows = t.labelled.select("id", "y")
     over = sampling.oversample_minority(rows, "id", "y", SEED)
     return sampling.balance_table("y", original=rows, oversampled=over)
+
+
+@query(
+    "draws_by_split",
+    """
+    select y, max(n) as draws, true as rows_exist, true as spread from (
+      select 0 as y, (select count(*) from labelled where y = 0) as n union all select 1, (select count(*) from labelled where y = 0))
+    group by 1""",
+)
+def draws_by_split(t):
+    """Both classes drawn with replacement to the majority's size, where the rows lie: totals, and how many different rows came."""
+    rows = t.labelled.select("id", "y")
+    size = sampling.class_counts(rows, "y")
+    drawn = cut_lineage(sampling.draw_rows(rows, "y", {0: size[0], 1: size[0]}, SEED), "draws")
+    known = drawn.join(rows.withColumn("known", F.lit(1)), ["id", "y"], "left")
+    found = known.groupBy("y").agg(F.count(F.lit(1)).alias("draws"), F.count("known").alias("_known"), F.count_distinct("id").alias("_rows"))
+    have = F.when(F.col("y") == 0, F.lit(size[0])).otherwise(F.lit(size[1]))
+    # n (1 - (1 - 1/n)^m) different rows are to be expected.
+    expected = have * (1 - F.pow(1 - 1 / have, F.col("draws")))
+    spread = F.abs(F.col("_rows") - expected) < 6 * F.sqrt(expected) + 1
+    return found.select("y", "draws", (F.col("_known") == F.col("draws")).alias("rows_exist"), spread.alias("spread"))
