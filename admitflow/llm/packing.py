@@ -103,8 +103,12 @@ def plan_windows(histogram: dict[int, int], capacity: int) -> list[tuple[int, in
     return stretches
 
 
-def library_encoder(spec: str) -> PieceCache:
-    """Ids as the tokenizers library gives them, without truncation, padding or special tokens.
+# Pieces of text whose ids a worker keeps. Changes no result.
+PIECES_KEPT = 1_600_000
+
+
+def library_encoder(spec: str, kept: int = PIECES_KEPT) -> PieceCache:
+    """Ids as the tokenizers library gives them, without truncation, padding or special tokens; ``kept`` pieces are remembered.
 
     Pieces seen before are looked up. New pieces of Latin text go through
     tiktoken with the same vocabulary, which gives the same ids several times
@@ -125,7 +129,11 @@ def library_encoder(spec: str) -> PieceCache:
         others = iter(tokenizer.encode_batch_fast(rest, add_special_tokens=False))
         return [next(others).ids if found is None else found for found in ids]
 
-    return PieceCache(encode)
+    return PieceCache(encode, kept)
+
+
+def _encoder(spec: tuple[str, int]) -> PieceCache:
+    return library_encoder(*spec)
 
 
 def _same_by_rank(spec: str):
@@ -141,7 +149,7 @@ def _same_by_rank(spec: str):
 
 
 def token_runs(
-    df: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text"
+    df: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text", kept: int = PIECES_KEPT
 ) -> DataFrame:
     """Each document's ids and ``end_id``, cut into full windows and one rest: (id, start, length, ids, doc_tokens).
 
@@ -150,11 +158,11 @@ def token_runs(
     them, since another run of the plan may deal the rows out differently. Null
     and empty texts are one run of ``end_id``; repeated rows are repeated runs.
     """
-    spec = df.sparkSession.sparkContext.broadcast(read_spec(path))
+    spec = df.sparkSession.sparkContext.broadcast((read_spec(path), kept))
     source = df.select(F.col(id_column), text_of(text_column).alias("_text"))
 
     def make():
-        encode, task, seen = held(library_encoder, spec.value), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encode, task, seen = held(_encoder, spec.value), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
 
         def step(columns):
             out = {name: [] for name in (id_column, "start", "length", "ids", "doc_tokens", "_task", "_number")}
