@@ -253,3 +253,22 @@ def main_flow(t):
     score = F.col("score")
     fits = F.when(score > 0.5, F.col("prediction") == 1).when(score < 0.5, F.col("prediction") == 0).otherwise(True)
     return done.scored.select(*cohort.ROW_KEY, "y", F.coalesce(score.between(0, 1) & fits, F.lit(False)).alias("valid"))
+
+
+@query(
+    "topk_feature_table",
+    f"""{CTES}, {_COHORT.strip()},
+    exact as (select y, ceil(sum(n) over () * 0.1::double) as want, ceil(sum(n) over () * 0.1::double) * n / sum(n) over () as q from (select y, count(*) as n from cohort group by 1)),
+    quota as (select y, floor(q) + (case when row_number() over (order by q - floor(q) desc, y) <= want - sum(floor(q)) over () then 1 else 0 end) as q from exact)
+    select hadm_id, charttime, y, true as valid, 50 as n_kept from (select *, row_number() over (partition by y order by {_MD5}) - 1 as r from cohort) join quota using (y) where r < q""",
+)
+def topk_feature_table(t):
+    """The forest on all features of the labelled cohort, and again on the 50 of them that matter most."""
+    rows = cut_lineage(_flow_cohort(t, "topk"))
+    names = [c for c in rows.columns if c not in (*cohort.ROW_KEY, "y")]
+    split = sampling.split_stratified(rows, cohort.ROW_KEY, "y", 11, 0.1)
+    train, test = split.where("split = 'train'"), split.where("split = 'test'")
+    model, best = learn.topk_retrain(train, names, partial(learn.forest, seed=11), 50)
+    scored = learn.score(model, test, cohort.ROW_KEY)
+    fits = F.col("score").between(0, 1) & F.lit(len(names) > len(best)) & F.lit(set(learn.feature_names(model)) == set(best))
+    return scored.select(*cohort.ROW_KEY, "y", F.coalesce(fits, F.lit(False)).alias("valid"), F.lit(len(best)).alias("n_kept"))
