@@ -118,8 +118,49 @@ def sample_n(df: DataFrame, key: Key, n: int, seed) -> DataFrame:
     return df.where(below_cut(key, seed, cuts))
 
 
+def _before(order: Sequence[str], cut: Sequence) -> tuple[Column, Column]:
+    """Whether a row comes before the cut in the order (nulls first), and whether it is level with it."""
+    before, level = F.lit(False), F.lit(True)
+    for name, value in zip(order, cut):
+        c = F.col(f"`{name}`")
+        less = F.lit(False) if value is None else c.isNull() | (c < F.lit(value))
+        before, level = before | (level & less), level & c.eqNullSafe(F.lit(value))
+    return F.coalesce(before, F.lit(False)), F.coalesce(level, F.lit(False))
+
+
 def first_n(df: DataFrame, n: int, *order: str) -> DataFrame:
-    return df.orderBy(*order).limit(n)
+    """The ``n`` first rows in the order, nulls first; rows level in it follow their other columns. All rows if there are fewer.
+
+    Only the order's values move: they are counted, laid out by range, and totals
+    carried from range to range give the value at which the n-th row lies. The rows
+    are then filtered where they are, however many are asked for. Rows that are
+    level at the cut are settled in the same way by the rest of their columns, and
+    of rows alike in all of them as many copies are made as are wanted.
+    """
+    if n <= 0:
+        return df.limit(0)
+    rest = [c for c in df.columns if c not in order]
+    counts = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_n"))
+    laid_out = cut_lineage(counts.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "order")
+    sizes = laid_out.groupBy("_range").agg(F.sum("_n").alias("_here"))
+    # One row per range reaches this window.
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_here").over(ahead), F.lit(0)))
+    edge = starts.where((F.col("_start") < n) & (F.col("_start") + F.col("_here") >= n)).first()
+    if edge is None:
+        return df
+    inside = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = laid_out.where(F.col("_range") == edge["_range"]).withColumn("_run", F.sum("_n").over(inside) + edge["_start"])
+    at = run.where(F.col("_run") >= n).orderBy("_run").first()
+    spare = n - (at["_run"] - at["_n"])
+    before, level = _before(order, [at[c] for c in order])
+    if spare == at["_n"]:
+        return df.where(before | level)
+    if rest:
+        return df.where(before).unionByName(first_n(df.where(level), spare, *rest))
+    # Alike in all columns: one row of theirs, as often as wanted.
+    again = df.where(level).distinct().withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(spare)))).drop("_copy")
+    return df.where(before).unionByName(again)
 
 
 def union_rows(*frames: DataFrame) -> DataFrame:

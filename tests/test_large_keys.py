@@ -128,3 +128,24 @@ def test_describe_opens_a_bracket_that_misses(spark, monkeypatch):
     monkeypatch.setattr(profile, "_selected", narrow)
     row = profile.describe_columns(df, ["a"]).first()
     assert (row.p25, row.p50, row.p99) == (26.0, 51.0, 100.0) and len(asked) == 2
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_first_n_is_the_sorted_prefix(spark, seed):
+    draw = random.Random(seed)
+    rows = [(draw.choice([None, 1, 2, 3]), draw.choice([None, "a", "b"]), draw.choice([0.5, float("nan"), None])) for _ in range(60)]
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "a int, b string, c double").repartition(5)
+    key = lambda r: tuple((v is not None, isinstance(v, float) and v != v, 0 if v is None or v != v else v) for v in r)
+    whole = sorted(map(key, rows))
+    for n in (0, 33, 200):
+        got = sampling.first_n(df, n, "a")
+        assert sorted(key(tuple(r)) for r in got.collect()) == whole[:n]
+        assert "TakeOrdered" not in plan_of(got) and got.columns == df.columns
+
+
+def test_first_n_of_repeated_rows(spark):
+    """A third of all rows and more are one row; some of its copies are wanted."""
+    df = spark.range(0, 900, numPartitions=6).select(F.lit(5).alias("a"), F.lit("x").alias("b"))
+    assert sampling.first_n(df, 400, "a").count() == 400
+    assert sampling.first_n(df.limit(0), 3, "a").count() == 0

@@ -13,8 +13,8 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-# Encoders run in Python; two statistics rows are joined without a key.
-PYTHON = {"fit_encoder", "encode_rows", "encoder_loss", "encoded_cohort"}
+# Encoders and nets run in Python; two statistics rows are joined without a key.
+PYTHON = {"fit_encoder", "encode_rows", "encoder_loss", "encoded_cohort", "net_train_score", "net_skill", "dropout_grid", "multilabel_net"}
 RELATIONAL = sorted(set(ORACLES) - PYTHON - {"roc_of_model"})
 
 
