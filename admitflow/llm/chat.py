@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 from admitflow.llm.bpe import read_spec
 from admitflow.llm.common import by_batch, held
 from admitflow.llm.packing import library_encoder
+from admitflow.session import cut_lineage
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + "\n", re.S)
@@ -108,14 +109,14 @@ def _windows(stretch: int, turns: list[dict], system: dict | None, budget: int,
         sums.append(sums[-1] + t["tokens"])
     out, at = [], 0
     for number, end in enumerate(span_ends(sums, max(room, 1))):
+        head = [system] if system and not (begins and at == 0) else []
         repeated: list[dict] = []
-        left = history
+        left = min(history, budget - sum(t["tokens"] for t in head) - (sums[end] - sums[at]))
         for t in reversed(past + own[:at]):
             if t["tokens"] > left or (system and t["first"]):
                 break
             left -= t["tokens"]
             repeated.insert(0, t)
-        head = [system] if system and not (begins and at == 0) else []
         text, spans = "", []
         for t in head + repeated:
             text += render(t["role"], t["text"])
@@ -136,11 +137,12 @@ def windows(conversations: DataFrame, path: str, budget: int = 1024, history: in
     ``loss`` are spans of ``formatted`` in code points, one for each assistant
     text that is new there; ``repeated`` turns at the front are known from
     earlier windows: the system turn and at most ``history`` tokens of turns. A
-    window has at most ``budget`` tokens, unless its one new turn alone needs
-    more. Every row is one turn, repeated rows too. The system turn is the first
+    window has at most ``budget`` tokens, unless the system turn and its one new
+    turn need more; it then repeats no others. Every row is one turn, repeated rows too. The system turn is the first
     one, if its role is "system". A null conversation is a conversation.
     """
-    turns = counted_turns(conversations, path)
+    # Stored, since the prefix sums read it twice and counting tokens is the work.
+    turns = cut_lineage(counted_turns(conversations, path), "counted-turns")
     ordered = with_prefix(turns)
     first = ordered.where("before = 0").groupBy("conv_id").agg(F.min_by(F.struct("role", "text", "tokens"), F.struct("turn", "role", "text")).alias("head"))
     system = first.where("head.role = 'system'").select(F.col("conv_id").alias("_conv"), F.col("head").alias("system"))

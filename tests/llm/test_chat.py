@@ -104,3 +104,17 @@ def test_windows(made):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.windows(df, PATH)).count() == 0
+
+
+def test_a_long_system_turn_keeps_windows_within_the_budget(spark):
+    """Windows exceed the budget only where the system turn and one new turn do."""
+    rows = [(1, 0, "system", "rule " * 180), (2, 0, "system", "rule " * 300)]
+    rows += [(c, k, "user" if k % 2 else "assistant", "word " * (5 + 7 * k % 40)) for c in (1, 2) for k in range(1, 60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.windows(df, PATH, budget=256, history=48)
+    assert {r.conv_id: tuple(r)[1:5] for r in chat.read_back(found).collect()} == expected(rows)
+    for w in found.collect():
+        if tokens(w.formatted) > 256:
+            assert w.turns - w.repeated == 1 and w.repeated <= 1
+        if w.conv_id == 1:
+            assert tokens(w.formatted) <= 256
