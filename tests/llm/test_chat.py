@@ -108,7 +108,7 @@ def test_empty_table(spark):
 
 def test_a_long_system_turn_keeps_windows_within_the_budget(spark):
     """Windows exceed the budget only where the system turn and one new turn do."""
-    rows = [(1, 0, "system", "rule " * 180), (2, 0, "system", "rule " * 300)]
+    rows = [(1, 0, "system", "rule " * 150), (2, 0, "system", "rule " * 300)]
     rows += [(c, k, "user" if k % 2 else "assistant", "word " * (5 + 7 * k % 40)) for c in (1, 2) for k in range(1, 60)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     found = chat.windows(df, PATH, budget=256, history=48)
