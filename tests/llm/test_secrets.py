@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +115,74 @@ def test_keys_beside_an_equals_sign_or_an_accent(planted):
         cuts = dict.fromkeys(range(len(secrets.LENGTH_CLASSES)), 3.0)
         assert key not in secrets.redacted(text, letters, cuts, "[SECRET]"), form
     assert [m.group() for m in secrets.ENCODED.finditer("A" * 20 + "=" + "B" * 20 + "== " + "C" * 19)] == ["A" * 20, "B" * 20 + "=="]
+
+
+def naive_battery(places, size):
+    """The three statistics by their definitions, with exact sums and no arrays."""
+    n = len(places)
+    cells = max(2, min(size, n // 5))
+    widths = [sum(1 for v in range(size) if v * cells // size == c) for c in range(cells)]
+    seen = [sum(1 for v in places if v * cells // size == c) for c in range(cells)]
+    chi = sum((o - n * w / size) ** 2 / (n * w / size) for o, w in zip(seen, widths))
+    high = [v >= size / 2 for v in places]
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    ones = sum(high)
+    mean = sum(places) / n
+    serial = sum((a - mean) * (b - mean) for a, b in zip(places, places[1:])) / sum((a - mean) ** 2 for a in places)
+    return chi, cells - 1, runs, ones, serial
+
+
+@pytest.mark.parametrize("size", [16, 32, 64])
+def test_battery_follows_its_definitions(size):
+    """Tail probabilities fall with the statistics computed by hand, and are right where they are known exactly."""
+    rng = random.Random(size)
+    for _ in range(40):
+        places = [rng.randrange(size) for _ in range(rng.randint(20, 90))]
+        chi, df, runs, ones, serial = naive_battery(places, size)
+        x = np.array(places)
+        assert secrets.uniformity(x, size) == pytest.approx(secrets.chi_squared_tail(chi, df))
+        n, zeros = len(places), len(places) - ones
+        if ones and zeros:
+            mean = 2 * ones * zeros / n + 1
+            z = abs(runs - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1))
+            assert secrets.runs_test(x, size) == pytest.approx(math.erfc(z / math.sqrt(2)))
+        assert secrets.serial_correlation(x) == pytest.approx(math.erfc(abs(serial + 1 / n) * math.sqrt(n) / math.sqrt(2)))
+    # An even number of degrees of freedom has a finite sum.
+    for x in (1.0, 4.0, 9.0, 15.0):
+        exact = math.exp(-x / 2) * (1 + x / 2 + (x / 2) ** 2 / 2)
+        assert secrets.chi_squared_tail(x, 6) == pytest.approx(exact, abs=0.01)
+
+
+def test_evidence_is_the_tail_of_the_letter_model():
+    """Strings drawn by the corpus's letter frequencies exceed an evidence e in about 10^-e of all cases."""
+    letters = secrets.Letters.of({c: n for c, n in zip("etaoinshrdlu", (120, 90, 80, 75, 70, 67, 63, 61, 60, 43, 40, 28))})
+    rng = random.Random(7)
+    members, weights = zip(*((c, math.exp(v)) for c, v in letters.log_share.items()))
+    drawn = [letters.evidence("".join(rng.choices(members, weights, k=30)), 64) for _ in range(4000)]
+    for e, most in ((1.0, 0.2), (2.0, 0.04)):
+        assert sum(d >= e for d in drawn) / len(drawn) < most
+    random_ones = [letters.evidence("".join(rng.choices(members, k=30)), 64) for _ in range(500)]
+    assert sum(d >= 4 for d in random_ones) / 500 > 0.95
+
+
+def test_power_and_false_discoveries():
+    """Of 400 random keys among 20,000 words of 20 letters nearly all are added, and few of the words."""
+    rng = random.Random(3)
+    vowels, others = "aeiou", "bcdfghlmnprst"
+    words = ["".join(rng.choice(others if i % 2 else vowels) for i in range(rng.randint(20, 28))) for _ in range(20_000)]
+    keys = [base64.urlsafe_b64encode(rng.randbytes(rng.randint(15, 24))).decode().rstrip("=") for _ in range(400)]
+    texts = [" ".join(words[i::100]) + (f" {' '.join(keys[i::100])}") for i in range(100)]
+    counts = {}
+    for text in texts:
+        for c in text:
+            counts[c] = counts.get(c, 0) + 1
+    letters = secrets.Letters.of({c: n for c, n in counts.items() if c in secrets.COUNTED})
+    found = [(text[s:e], k, v) for text in texts for s, e, k, v in secrets.candidates(text, letters, secrets.base_spans(text))]
+    tally = {}
+    for _, k, v in found:
+        tally[k, v] = tally.get((k, v), 0) + 1
+    cuts = secrets.discovery_cuts(tally, secrets.RATE)
+    added = [w for w, k, v in found if k in cuts and v >= cuts[k]]
+    right = sum(w in set(keys) for w in added)
+    assert right >= 0.9 * len(keys)
+    assert len(added) - right <= 3 * secrets.RATE * len(added) + 2
