@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from admitflow.llm.common import by_batch, fold, give_back, text_of
+from admitflow.llm.common import by_batch, fold, give_back, text_of, whole_row
 from admitflow.session import cut_lineage
 
 WORD = re.compile(r"\w+")
@@ -176,7 +176,8 @@ def unit_counts(sample: DataFrame) -> DataFrame:
     """(unit, toxic, clean): texts by class that have the unit, so that one text's repetitions count once.
 
     A beginning counts each of a text's words that start with it. What a task
-    finds is added up before it is shuffled. Texts that repeat count once.
+    finds is added up before it is shuffled. Texts that repeat count once, as toxic
+    if any of their labels says so.
     """
 
     class Count:
@@ -198,7 +199,7 @@ def unit_counts(sample: DataFrame) -> DataFrame:
             self.counts = (Counter(), Counter())
             return {"unit": names, "toxic": [units[1][u] for u in names], "clean": [units[0][u] for u in names]}
 
-    counted = by_batch(sample.dropDuplicates(["text"]).select("text", "y"), "unit string, toxic long, clean long", Count)
+    counted = by_batch(sample.groupBy("text").agg(F.max("y").alias("y")), "unit string, toxic long, clean long", Count)
     return counted.groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -357,5 +358,6 @@ def score_texts(docs: DataFrame, model: Model, text_column: str = "text", score:
     Null and empty texts are scored as texts without words. Rows that repeat
     have equal scores. Columns named ``score`` or ``passages`` are replaced.
     """
-    marked = docs.withColumn("_scored", score_column(model, F.col(text_column), docs))
-    return marked.withColumns({score: F.col("_scored.score"), passages: F.col("_scored.passages")}).drop("_scored")
+    kept = [f"doc.`{c}`" for c in docs.columns if c not in (score, passages)]
+    marked = docs.select(whole_row(docs).alias("doc"), score_column(model, F.col(text_column), docs).alias("found"))
+    return marked.select(*kept, F.col("found.score").alias(score), F.col("found.passages").alias(passages))
