@@ -38,7 +38,7 @@ SCALE, INSIDE = 1_000_000, 50
 # Bits of a filter: 4 MB, whatever the corpus. Changes no result.
 FILTER_BITS = 1 << 25
 # Bytes of text that a task counts at once, and words and phrases that it holds before it hands them on.
-CHUNK, HELD_WORDS, HELD_PHRASES = 1 << 22, 1 << 20, 1 << 22
+CHUNK, HELD_WORDS, HELD_PHRASES = 1 << 21, 1 << 19, 3 << 20
 # Frontier of the first round, in times the number of phrases asked for.
 FIRST, GROWTH = 2, 4
 
