@@ -130,9 +130,8 @@ def test_describe_opens_a_bracket_that_misses(spark, monkeypatch):
     assert (row.p25, row.p50, row.p99) == (26.0, 51.0, 100.0) and len(asked) == 2
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_first_n_is_the_sorted_prefix(spark, seed):
-    draw = random.Random(seed)
+def test_first_n_is_the_sorted_prefix(spark):
+    draw = random.Random(0)
     rows = [(draw.choice([None, 1, 2, 3]), draw.choice([None, "a", "b"]), draw.choice([0.5, float("nan"), None])) for _ in range(60)]
     rows += rows[:20]
     df = spark.createDataFrame(rows, "a int, b string, c double").repartition(5)
