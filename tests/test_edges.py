@@ -233,6 +233,17 @@ def test_whole_years_before_birthday(spark):
     assert values(df.select(times.whole_years("b", "t"))) == [19]
 
 
+def test_whole_years_of_a_leap_day(spark):
+    """As DuckDB's date_sub: the year is full on February 28 of a common year, at the hour of birth, in either direction."""
+    at = dt.datetime
+    rows = [
+        (at(1948, 2, 29), at(1995, 2, 28), 47), (at(1948, 2, 29), at(1995, 2, 27), 46), (at(1948, 2, 29), at(1996, 2, 28), 47), (at(1948, 2, 29), at(1996, 2, 29), 48),
+        (at(1948, 2, 29, 12), at(1995, 2, 28, 10), 46), (at(1995, 2, 28), at(1992, 2, 29), -3), (at(1995, 2, 28), at(1996, 2, 28), 1), (None, at(1996, 2, 28), None),
+    ]
+    df = spark.createDataFrame(rows, f"b {NTZ}, t {NTZ}, n bigint")
+    assert [tuple(r) for r in df.select(times.whole_years("b", "t"), "n").collect()] == [(n, n) for *_, n in rows]
+
+
 def unit_rows(spark, n=40):
     cells = F.array(*(F.pmod(F.hash("id", F.lit(i)), F.lit(100)) / 100 for i in range(6)))
     return spark.range(n).select("id", cells.alias("x"))
