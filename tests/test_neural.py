@@ -121,3 +121,14 @@ def test_neither_weights_nor_gradients_are_collected(spark, monkeypatch):
     monkeypatch.setattr(DataFrame, "collect", lambda self: (lambda rows: (fetched.append(len(rows)), rows)[1])(plain(self)))
     neural.train(rows_of(spark), "id", "x", "y", [Net((4, 300, 300, 1))], Training(epochs=4, replicas=2, epochs_a_round=2))
     assert fetched == [2, 2]
+
+
+def test_skill_of_a_label_is_more_than_its_share(spark):
+    """A label of which little can be known is still known a little (AUC 0.633); scores that say nothing are no skill."""
+    from workload.learning import label_skills
+
+    little = [(1, int(i % 4 == 0 or i % 8 == 1), 0.5 if i % 2 == 0 else 0.25) for i in range(800)]
+    nothing = [(2, i % 2, 0.3 + 0.4 * (i % 4 > 1)) for i in range(800)]
+    planted = [(0, i % 2, 0.1 + 0.8 * (i % 2)) for i in range(800)]
+    got = {r.label_id: (r.support, r.skilled) for r in label_skills(spark.createDataFrame(little + nothing + planted, "label_id int, y int, score double")).collect()}
+    assert got == {0: (400, True), 1: (300, True), 2: (400, False)}
