@@ -43,6 +43,26 @@ def test_boosted_and_perceptron(separable):
         assert evaluate.roc_auc(scored, "y", "score").first()[0] > 0.7
 
 
+def test_perceptron_learns_from_large_numbers(separable):
+    far = separable.select("id", "y", (F.col("a") * 1e6 + 5e6).alias("a"), (F.col("b") * 1e-3).alias("b"))
+    model = learn.fit(far, FEATURES, learn.perceptron(2, [4, 4], 30))
+    assert evaluate.roc_auc(learn.score(model, far, "id"), "y", "score").first()[0] > 0.9
+
+
+def test_multilabel_report_reads_scores_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def scored(rows):
+        for row in rows:
+            made.add(1)
+            yield row
+
+    rows = spark.createDataFrame(spark.sparkContext.parallelize([(i, [i % 2, 1], [1, i % 3 // 2]) for i in range(30)], 2).mapPartitions(scored), "id long, y array<int>, p array<int>")
+    got = {r.label_id: (r.support, r.accuracy, r.recall) for r in evaluate.multilabel_report(rows, "y", "p", "id").collect()}
+    assert got == {0: (15, 0.5, 1.0), 1: (30, 1 / 3, 1 / 3)}
+    assert made.value == 30
+
+
 def test_folds_are_numbered_before_resampling(separable):
     numbered = sampling.kfold_assign(separable, "id", "y", 1, 3)
     over = sampling.oversample_minority(numbered.where("fold != 0"), "id", "y", 1)
