@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIDEST = 20_000  # columns a table gets from its data, unless the caller states another bound
+NARROW = 32  # up to so many columns a pivot is one aggregation with a condition per column
 
 
 def bounded(rows: DataFrame, most: int, what: str) -> list:
@@ -28,10 +29,15 @@ def pivot_values(df: DataFrame, key: str, code: str, value: str, codes: Sequence
     """One column per code. (key, code) must be unique: pick rows first.
 
     Partitioning by the key up front serves both aggregations that a pivot
-    plans, so rows move once. A key has at most one row per code.
+    plans, so rows move once. A key has at most one row per code. Spark's pivot
+    holds a task's rows by (key, code), and then its keys; a narrow one is
+    aggregated by key at once and never holds the rows.
     """
+    codes = list(codes)
     keyed = df.where(F.col(key).isNotNull()).select(key, code, value).repartition(F.col(key))
-    return keyed.groupBy(key).pivot(code, list(codes)).agg(F.max(value))
+    if len(codes) > NARROW or any(type(c) not in (str, int) for c in codes):
+        return keyed.groupBy(key).pivot(code, codes).agg(F.max(value))
+    return keyed.groupBy(key).agg(*(F.max(F.when(F.col(code) == F.lit(c), F.col(value))).alias(str(c)) for c in codes))
 
 
 def pivot_flags(df: DataFrame, key: str, code: str, flag: Column, codes: Sequence) -> DataFrame:

@@ -267,3 +267,20 @@ def test_encoder_is_stored(spark):
     assert back.widths == model.widths and back.losses == model.losses
     codes = [{r.id: r.encoded for r in encode.encode_rows(unit_rows(spark), "x", m, ["id"]).collect()} for m in (model, back)]
     assert codes[0] == codes[1]
+
+
+def test_narrow_pivot_is_a_pivot(spark, monkeypatch):
+    rows = [(1, "a", 1.0), (1, "b.c", None), (2, "a", float("nan")), (2, None, 5.0), (None, "a", 7.0), (3, "other", 8.0), (3, "b.c", -1.0)]
+    long, codes = spark.createDataFrame(rows, "k int, code string, v double"), ["a", "b.c", "absent"]
+    narrow = reshape.pivot_values(long, "k", "code", "v", codes)
+    monkeypatch.setattr(reshape, "NARROW", 0)
+    wide = reshape.pivot_values(long, "k", "code", "v", codes)
+    assert narrow.schema == wide.schema and "pivotfirst" in wide._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, wide.collect()))
+
+
+def test_sampling_keeps_dotted_names(spark):
+    df = spark.range(40).select("id", (F.col("id") % 4 == 0).cast("int").alias("y"), F.col("id").alias("4_19.0"))
+    for out in (sampling.oversample_minority(df, "id", "y", 1), sampling.undersample_majority(df, "id", "y", 1)):
+        assert set(out.columns) >= {"id", "y", "4_19.0"} and out.where("id != `4_19.0`").count() == 0
+    assert sampling.oversample_minority(df, "id", "y", 1).count() == 60

@@ -61,3 +61,10 @@ def test_lookback_joins_on_subject_and_time_bucket(spark, small):
 def test_sample_split_does_not_shuffle(spark, small):
     assert "Exchange" not in plan(QUERIES["split_exact"](spark, small))
     assert "Exchange" not in plan(QUERIES["kfold_assign"](spark, small))
+
+
+def test_narrow_pivots_are_one_aggregation(spark, small):
+    for name in ("pivot_values", "pivot_flags"):
+        text = plan(QUERIES[name](spark, small))
+        assert "pivotfirst" not in text and text.count("HashAggregate(") == 2
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
