@@ -1,19 +1,21 @@
 """Main text of web pages, with the help of a style tree per site.
 
-A page's elements are named by their path of tags and classes. For every site
-the pages' trees are merged: per path, how many pages have it, with which
-sequences of children (its styles), and with which texts. A path whose styles
-and texts hardly vary over the site's pages carries no information: its
-importance, an entropy, is low and its branch is removed from the pages.
+A page's elements are named by their path of tags, classes and roles. For every
+site the pages' trees are merged: per path, how many pages have it, with which
+sequences of children (its styles), and with which texts. The importance of an
+element is the entropy of its styles together with the importance of what is
+below it, from the leaves up; that of a leaf says how much its texts vary. A
+branch in which nothing is important is removed from the pages as a whole.
 
 The merged tree is a table keyed by (host, path). It is made by counting rows,
-partial counts first, so a site with a third of all pages is no single task's
-work. Pages get the paths to remove by a join on narrow rows.
-
-Entropy says nothing where menus, adverts and footers vary from page to page.
-There the elements' roles decide, as HTML states them: a branch with a role like
-navigation has weight zero, one inside an article has full weight, and the
-entropy decides about all others.
+so a site with a third of all pages is no single task's work, and importance goes
+up it in as many rounds as the logarithm of its depth. Pages get the paths to
+remove by a join on their sets of paths; they are parsed once.
+
+Entropy cannot tell the article where menus, adverts and footers vary from page
+to page. What it leaves open is decided in the tree by the elements' roles, as
+HTML states them: a branch with a role like navigation has weight zero, and one
+inside an article, which is never cut, has full weight.
 """
 
 from __future__ import annotations
@@ -141,6 +143,9 @@ class Page:
     def __init__(self, html: str):
         self.blocks: list[Block] = []
         self.styles: list[tuple[int, int]] = []  # path, hash of its children
+        self.below: dict[int, list[int]] = {}  # path: its children, of all elements of that path
+        self.roles: dict[int, int] = {}
+        self.shown: set[int] = set()  # paths of elements with text in them
         self.stack = [Element("", 0, NEUTRAL)]
         self.open_tags: Counter = Counter()
         self.parts: list[str] = []
@@ -149,13 +154,21 @@ class Page:
         while len(self.stack) > 1:
             self.pop()
         self.flush()
+        self.below[0] = self.stack[0].children
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
                 top = next(e for e in reversed(self.stack) if not e.tag or e.tag in BLOCKS)
-                self.blocks.append(Block(text, top.path, self.stack[-1].role, self.linked / len(text)))
+                # Text of an inline element whose role is its own, such as a hidden one, is a branch of its own.
+                own = self.stack[-1]
+                path = top.path if own.role == top.role else path_of(top.path, f"#{own.role}")
+                if path != top.path:
+                    self.below.setdefault(top.path, []).append(path)
+                    self.roles[path] = own.role
+                self.blocks.append(Block(text, path, own.role, self.linked / len(text)))
+                self.shown |= {path, top.path}
             self.parts, self.linked = [], 0
 
     def pop(self) -> None:
@@ -165,6 +178,9 @@ class Page:
         self.open_tags[top.tag] -= 1
         kinds = [c for c, before in zip(top.children, [None, *top.children]) if c != before]
         self.styles.append((top.path, xxhash.xxh64_intdigest(repr(kinds)) >> 1))
+        self.below.setdefault(top.path, []).extend(kinds)
+        if top.path in self.shown:
+            self.shown.add(self.stack[-1].path)
 
     def close(self, tag: str) -> None:
         """Close the nearest open element of that name; without one, the end tag says nothing."""
@@ -240,7 +256,8 @@ class Page:
             parent = next(e for e in reversed(self.stack) if e.role != NOISE)
         name = tag + "".join(f".{w}" for w in sorted(set(WORD.findall(attributes.get("class", "").lower()))))
         role, sticky = _role(tag, attributes, parent)
-        path = path_of(parent.path, name)
+        path = path_of(parent.path, name if role == NEUTRAL else f"{name}#{role}")
+        self.roles[path] = role
         parent.children.append(path)
         self.stack.append(Element(tag, path, role, sticky))
         self.open_tags[tag] += 1
@@ -251,27 +268,54 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def site_counts(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, value, n): per path of a site its styles (kind 0) and, outside noise and articles, its texts (kind 1).
+STYLE, TEXT, SHARE, OWN, ROLE = range(5)  # kinds of facts
+WHOLE = 1 << 20  # shares are whole numbers of this, so that their sums do not depend on an order
 
-    ``n`` counts pages. Counts of a few pages are added up before they are shuffled.
-    """
+
+def facts_of(page: Page) -> list[tuple[int, int, int, int]]:
+    """(path, kind, value, n) of one page: an element's style; its texts; as a child with text, its
+    parent and its share of it; the share of its own text in it; its role. The shares of an element add up to 1."""
+    own = {b.path for b in page.blocks}
+    facts = {(path, STYLE, style): 1 for path, style in dict(page.styles).items()}
+    facts |= {(b.path, TEXT, xxhash.xxh64_intdigest(b.text) >> 1): 1 for b in page.blocks}
+    facts |= {(path, ROLE, page.roles.get(path, NEUTRAL)): 1 for path in page.shown}
+    for path in page.shown:
+        shown = [p for p in page.below.get(path, ()) if p in page.shown]
+        parts = Counter(shown)
+        k = len(shown) + (path in own)
+        for child, n in parts.items():
+            facts[child, SHARE, path] = WHOLE * n // k
+        if path in own:
+            facts[path, OWN, 0] = WHOLE // k
+    return [(*key, n) for key, n in facts.items()]
+
+
+def parse(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, blocks, facts) of each page."""
 
     def make():
         def step(c):
-            counts: Counter = Counter()
-            for url, html in zip(c["url"], c["html"]):
-                page, host = Page(html or ""), host_of(url)
-                seen = {(host, path, 0, style) for path, style in dict(page.styles).items()}
-                seen |= {(host, b.path, 1, xxhash.xxh64_intdigest(b.text) >> 1) for b in page.blocks if b.role == NEUTRAL}
-                counts.update(seen)
-            columns = list(zip(*counts)) or [()] * 4
-            return dict(zip(("host", "path", "kind", "value"), map(list, columns))) | {"n": list(counts.values())}
+            read = [Page(h or "") for h in c["html"]]
+            blocks = [{"text": [b.text for b in p.blocks], "path": [b.path for b in p.blocks], "role": [b.role for b in p.blocks], "links": [b.links for b in p.blocks]} for p in read]
+            facts = [[dict(zip(("path", "kind", "value", "n"), f)) for f in facts_of(p)] for p in read]
+            return {"page_id": c["page_id"], "url": c["url"], "host": [host_of(u) for u in c["url"]], "blocks": blocks, "facts": facts}
 
         return step
 
-    counted = by_batch(pages.select("url", "html"), "host string, path long, kind int, value long, n long", make)
-    return counted.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
+    key = pages.schema["page_id"].dataType.simpleString()
+    kinds = "struct<`text`: array<string>, path: array<long>, role: array<int>, links: array<double>>"
+    facts = "array<struct<path: long, kind: int, value: long, n: long>>"
+    return by_batch(pages.select("page_id", "url", "html"), f"page_id {key}, url string, host string, blocks {kinds}, facts {facts}", make)
+
+
+def counts_of(parsed: DataFrame) -> DataFrame:
+    """(host, path, kind, value, n): the facts of a site's pages, added up. For styles, texts and roles ``n`` counts pages."""
+    facts = parsed.select("host", F.explode("facts").alias("f")).select("host", "f.*")
+    return facts.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
+
+
+def site_counts(pages: DataFrame) -> DataFrame:
+    return counts_of(parse(pages))
 
 
 def importance(counts: DataFrame) -> DataFrame:
@@ -294,63 +338,106 @@ def importance(counts: DataFrame) -> DataFrame:
     return tree.select("host", "path", "pages", "styles", "node", "content", ((1 - own) * F.col("node") + own * F.col("content")).alias("importance"))
 
 
-def unimportant(tree: DataFrame, texts: DataFrame) -> DataFrame:
-    """(host, path) of the branches to remove: on enough pages, with texts that a page may show, and of low importance."""
-    low = tree.where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("host", "path")
-    return low.join(texts.select("host", "path").distinct(), ["host", "path"], "left_semi")
+def branches(counts: DataFrame) -> DataFrame:
+    """(host, path, role, up, pages, composite, most) of the elements with text.
 
+    ``composite`` is the importance of an element and of what is below it: in place
+    of its own texts alone stands the mean, by their shares, of its children's
+    composites and its own texts. It is a sum over all below, with the product of the
+    shares in between as weights, so it is found by doubling the distance that a sum
+    reaches. ``most`` is the highest composite in the branch, found likewise; an
+    element on too few pages counts as important.
+    """
+    role = counts.where(F.col("kind") == ROLE).groupBy("host", "path").agg(F.max("value").cast("int").alias("role"))
+    up = counts.where(F.col("kind") == SHARE).select("host", "path", F.col("value").alias("up"), F.col("n").alias("share"))
+    mine = counts.where(F.col("kind") == OWN).select("host", "path", F.col("n").alias("mine"))
+    children = up.groupBy("host", F.col("up").alias("path")).agg(F.sum("share").alias("shared"))
+    tree = importance(counts).join(role, ["host", "path"], "right").join(up, ["host", "path"], "left").join(mine, ["host", "path"], "left")
+    tree = tree.join(children, ["host", "path"], "left").fillna({"mine": 0, "shared": 0})
+    # Text with a role of its own is an element without a style.
+    own, node, content = F.pow(F.lit(GAMMA), F.coalesce("styles", F.lit(1))), F.coalesce("node", F.lit(0.0)), F.coalesce("content", F.lit(1.0))
+    total = F.col("mine") + F.col("shared")
+    first = (1 - own) * node + own * F.coalesce(F.try_divide(F.col("mine") * content, total), content)
+    tree = tree.select(
+        "host", "path", "role", "up", F.coalesce("pages", F.lit(0)).alias("pages"), "share", total.alias("total"), first.alias("composite"), own.alias("own")
+    )
+    above = tree.select("host", F.col("path").alias("up"), F.try_divide("own", "total").alias("_rate"))
+    tree = tree.drop("own", "total").join(above, ["host", "up"], "left").withColumn("weight", F.coalesce(F.col("share") * F.col("_rate"), F.lit(0.0)))
+    tree = cut_lineage(tree.select("host", "path", "role", "up", "pages", "weight", "composite"), "site-tree")
+    tree = cut_lineage(_upward(tree, "composite", F.sum(F.col("weight") * F.col("composite")), F.col("composite") + F.coalesce("_sum", F.lit(0.0))), "composites")
+    most = F.when(F.col("pages") < LEAST_PAGES, F.lit(1.0)).otherwise(F.col("composite"))
+    return _upward(tree.withColumn("most", most), "most", F.max("most"), F.greatest("most", "_sum"))
+
+
+def _upward(tree: DataFrame, name: str, gather, put) -> DataFrame:
+    """Carry the numbers of ``name`` from every element to all above it, over twice the distance each round."""
+    ends = tree.withColumns({"_far": F.col("up"), "_weight": F.col("weight")})
+    while True:
+        sums = ends.where(F.col("_far").isNotNull()).drop("weight").withColumnRenamed("_weight", "weight")
+        sums = sums.groupBy("host", F.col("_far").alias("path")).agg(gather.alias("_sum"))
+        far = ends.select("host", F.col("path").alias("_far"), F.col("_far").alias("_next"), F.col("_weight").alias("_times"))
+        ends = ends.join(sums, ["host", "path"], "left").withColumn(name, put).drop("_sum").join(far, ["host", "_far"], "left")
+        ends = ends.withColumns({"_far": F.col("_next"), "_weight": F.col("_weight") * F.coalesce("_times", F.lit(0.0))}).drop("_next", "_times")
+        ends = cut_lineage(ends, "site-tree")
+        if ends.where(F.col("_far").isNotNull()).isEmpty():
+            return ends.select(*tree.columns)
+
+
+def unimportant(tree: DataFrame) -> DataFrame:
+    """(host, path, entropy) of the branches to remove: those in which nothing is important, and what entropy leaves of the noise. No part of an article is."""
+    low = (F.col("pages") >= LEAST_PAGES) & (F.col("most") < LEAST_IMPORTANCE)
+    cut = tree.where((F.col("role") == NOISE) | ((F.col("role") == NEUTRAL) & low))
+    return cut.select("host", "path", low.alias("entropy"))
+
+
+def removals(parsed: DataFrame, low: DataFrame) -> DataFrame:
+    """(host, paths, removed array<long>): for every set of paths that the blocks of a site's pages lie on, those to remove. Sets without any are left out.
+
+    Pages of a site are made alike, so there are far fewer such sets than pages.
+    """
+    sets = parsed.select("host", _paths()).distinct()
+    shown = sets.select("host", "paths", F.explode("paths").alias("path"))
+    return shown.join(low.select("host", "path"), ["host", "path"]).groupBy("host", "paths").agg(F.collect_list("path").alias("removed"))
 
-def removals(pages: DataFrame, low: DataFrame) -> DataFrame:
-    """(page_id, host, removed array<long>): the low paths that neutral blocks of a page lie on. Pages without any are left out."""
 
-    def make():
-        def step(c):
-            out = {"page_id": [], "host": [], "path": []}
-            for key, url, html in zip(c["page_id"], c["url"], c["html"]):
-                for path in {b.path for b in Page(html or "").blocks if b.role == NEUTRAL}:
-                    for name, value in zip(out, (key, host_of(url), path)):
-                        out[name].append(value)
-            return out
+def _paths():
+    return F.array_sort(F.array_distinct("blocks.path")).alias("paths")
 
-        return step
 
-    key = pages.schema["page_id"].dataType.simpleString()
-    shown = by_batch(pages.select("page_id", "url", "html"), f"page_id {key}, host string, path long", make)
-    return shown.join(low, ["host", "path"]).groupBy("page_id", "host").agg(F.collect_set("path").alias("removed"))
+def kept_text(blocks: list[Block], removed: frozenset[int]) -> str:
+    """What the tree leaves of a page: its article if there is one, else all but lists of links."""
+    left = [b for b in blocks if b.path not in removed]
+    kept = [b for b in left if b.role == ARTICLE] or [b for b in left if b.links <= MOST_LINKS]
+    return "\n\n".join(b.text for b in kept)
 
 
-def main_text(html: str | None, removed: frozenset[int] = frozenset()) -> str:
-    """The text of a page, given the paths its site's tree removes."""
-    page = Page(html or "")
-    kept = [b for b in page.blocks if b.role == ARTICLE]
-    if not kept:
-        kept = [b for b in page.blocks if b.role == NEUTRAL and b.path not in removed and b.links <= MOST_LINKS]
-    return "\n\n".join(b.text for b in kept)
+def main_text(html: str | None, removed: frozenset[int] | None = None) -> str:
+    """The text of a page, given the paths its site's tree removes; alone, a page is a site on whose tree entropy says nothing."""
+    blocks = Page(html or "").blocks
+    return kept_text(blocks, frozenset(b.path for b in blocks if b.role == NOISE) if removed is None else removed)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html).
 
-    A page with an article is that article, without the noise inside it; any
-    other page is what roles and its site's tree leave. White space in a block
-    is one space; blocks are joined by two line breaks. Null and empty pages
-    have the empty text, rows that repeat are extracted each, and a null or
-    strange url belongs to a site of its own kind. Other columns are not read.
+    A page's text is what its site's tree leaves; where that has an article, the
+    article. White space in a block is one space; blocks are joined by two line
+    breaks. Null and empty pages have the empty text, rows that repeat are
+    extracted each, and a null or strange url belongs to a site of its own kind.
+    Other columns are not read.
     """
-    counts = cut_lineage(site_counts(pages), "site-counts")
-    tree = importance(counts)
-    low = cut_lineage(unimportant(tree, counts.where("kind = 1")), "low-branches")
-    wanted = pages.select("page_id", "url", "html")
-    if low.isEmpty():
-        sourced = wanted.withColumn("removed", F.array().cast("array<long>"))
-    else:
-        cut = cut_lineage(removals(pages, low), "removals")
-        cut = cut.groupBy("page_id").agg(F.flatten(F.collect_set("removed")).alias("removed")).withColumnRenamed("page_id", "_page")
-        sourced = wanted.join(cut, wanted.page_id.eqNullSafe(cut["_page"]), "left").drop("_page")
+    parsed = cut_lineage(parse(pages), "parsed-pages")
+    counts = cut_lineage(counts_of(parsed), "site-counts")
+    low = cut_lineage(unimportant(branches(counts)), "low-branches")
+    removed = cut_lineage(removals(parsed, low), "removals")
+    sourced = parsed.select("page_id", "url", "host", "blocks", _paths()).join(removed, ["host", "paths"], "left").drop("host", "paths")
 
     def make():
         def step(c):
-            texts = [main_text(h, frozenset(r or ())) for h, r in zip(c["html"], c["removed"])]
+            texts = []
+            for found, removed in zip(c["blocks"], c["removed"]):
+                blocks = [Block(*b) for b in zip(found["text"], found["path"], found["role"], found["links"])]
+                texts.append(kept_text(blocks, frozenset(removed or ())))
             return {"page_id": c["page_id"], "url": c["url"], "text": texts, "n_chars": list(map(len, texts))}
 
         return step

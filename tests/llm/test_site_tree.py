@@ -119,3 +119,48 @@ def test_importance_is_the_entropy(soup):
 
 def test_empty_table(soup):
     assert site_tree.extract(soup[0].limit(0)).count() == 0
+
+
+def nested(n, rng):
+    for i in range(n):
+        item = lambda k: f"<div class=row><p>{k}</p></div>"
+        words = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+        fixed = "".join(item(k) for k in ("Imprint", "Terms", "Contact us"))
+        yield (i, "http://n.example/", f"<body><div class=outer><div class=box>{fixed}</div></div><article><p>{words}</p></article><nav><p>{rng.random()}</p></nav></body>")
+
+
+def test_branches_are_weighed_from_the_leaves_up(spark):
+    pages = spark.createDataFrame(list(nested(30, random.Random(3))), "page_id long, url string, html string")
+    read = [site_tree.Page(h) for _, _, h in nested(30, random.Random(3))]
+    counts = site_tree.site_counts(pages)
+    own = {r.path: r for r in site_tree.importance(counts).collect()}
+    got = {r.path: r for r in site_tree.branches(counts).collect()}
+
+    def direct(path):
+        page, r = read[0], own[path]
+        below = [p for p in page.below[path] if p in page.shown]
+        parts = [direct(p) for p in below] + [r.content] * any(b.path == path for b in page.blocks)
+        return (1 - site_tree.GAMMA**r.styles) * r.node + site_tree.GAMMA**r.styles * sum(parts) / len(parts)
+
+    assert set(got) == read[0].shown
+    for path in got:
+        if path:
+            assert got[path].composite == pytest.approx(direct(path), abs=1e-4)
+    low = {r.path: r.entropy for r in site_tree.unimportant(site_tree.branches(counts)).collect()}
+    texts = {b.path: b for p in read for b in p.blocks}
+    assert {texts[p].role for p in low if p in texts} == {site_tree.NEUTRAL, site_tree.NOISE} and set(low.values()) == {True, False}
+    body = site_tree.path_of(0, "body")
+    assert low[site_tree.path_of(body, "div.outer")] and body not in low  # a whole branch, not only the blocks in it
+    assert [r.text for r in site_tree.extract(pages).orderBy("page_id").collect()] == [p.blocks[3].text for p in read]
+
+
+def test_the_tree_decides(spark, folder):
+    """Without the paths its site's tree removes, a page keeps its menus."""
+    page = PAGE % "<p>plain page without an article</p>"
+    assert site_tree.main_text(page, frozenset()) != site_tree.main_text(page) == "plain page without an article"
+    rows = spark.read.parquet(f"{folder}/pages.parquet")
+    low = site_tree.unimportant(site_tree.branches(site_tree.site_counts(rows))).collect()
+    print("paths removed by entropy and by role:", sum(r.entropy for r in low), sum(not r.entropy for r in low))
+    first = rows.orderBy("page_id").first()
+    assert site_tree.main_text(first.html, frozenset(r.path for r in low if r.host == site_tree.host_of(first.url))) == plain(first.html)
+    assert low
