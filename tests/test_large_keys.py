@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from admitflow.operators import joins, profile, sampling
 
 
@@ -148,3 +149,10 @@ def test_first_n_of_repeated_rows(spark):
     df = spark.range(0, 900, numPartitions=6).select(F.lit(5).alias("a"), F.lit("x").alias("b"))
     assert sampling.first_n(df, 400, "a").count() == 400
     assert sampling.first_n(df.limit(0), 3, "a").count() == 0
+
+
+def test_without_heavy_keys_nothing_is_counted_by_key(spark, small):
+    rows = spark.range(3000).select((F.col("id") % 1000).alias("k"), F.lit(None).cast("int").alias("z"))
+    assert joins.may_be_heavy(rows.withColumn("k", F.lit(1)), ["k"], 500)
+    assert not joins.may_be_heavy(rows, ["k"], 500) and not joins.may_be_heavy(rows.limit(0), ["k"], 0)
+    assert "count(1)" not in plan_of(__spark_entry__.queries()["join_lookback_interval"](spark, small))
