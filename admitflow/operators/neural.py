@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import json
 import tempfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from admitflow.session import cut_lineage
 
 PIECE = 65_536  # numbers per stored piece
+SPAN = 16_384  # numbers that Adam moves at a time; they stay in the processor's cache
 EPSILON, MOMENTUM = 1e-5, 0.1  # of batch norm, as usual
 STATE = "net int, piece int, rows long, part array<double>"
 
@@ -145,19 +146,26 @@ def forward(net: Net, p: dict[str, np.ndarray], x: np.ndarray, rng: np.random.Ge
     return x, kept
 
 
-def step(net: Net, p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[float, dict[str, np.ndarray]]:
-    """The batch's mean loss and its gradient; running moments move on."""
+def step(
+    net: Net, p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, rng: np.random.Generator, into: dict[str, np.ndarray] | None = None
+) -> tuple[float, dict[str, np.ndarray]]:
+    """The batch's mean loss and its gradient, written to ``into`` if that is given; running moments move on."""
     out, kept = forward(net, p, x, rng)
     q = np.clip(out, 1e-7, 1 - 1e-7)
     loss = -float(np.mean(y * np.log(q) + (1 - y) * np.log(1 - q), dtype=np.float64))
-    delta, grad, n = (out - y) / out.size, {}, len(x)
+    delta, grad, n = (out - y) / out.size, {} if into is None else into, len(x)
+
+    def put(name: str, how, *of, **more) -> None:
+        grad[name] = how(*of, **more) if into is None else how(*of, **more, out=into[name])
+
     for i in range(len(net.widths) - 1, 0, -1):
         before = kept[i - 1][0]
         if i < len(net.widths) - 1:
             _, z, a, mask, linear, norm = kept[i - 1]
             if norm is not None:
                 hat, width, mean, var = norm
-                grad[f"gain{i}"], grad[f"shift{i}"] = (delta * hat).sum(axis=0), delta.sum(axis=0)
+                put(f"gain{i}", np.sum, delta * hat, axis=0)
+                put(f"shift{i}", np.sum, delta, axis=0)
                 d = delta * p[f"gain{i}"]
                 delta = (d - d.mean(axis=0) - hat * (d * hat).mean(axis=0)) / width
                 p[f"mean{i}"] += MOMENTUM * (mean - p[f"mean{i}"])
@@ -166,7 +174,8 @@ def step(net: Net, p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, rng:
                 delta = delta * np.where(z > 0, 1, 0 if net.activation == "relu" else a + 1).astype(delta.dtype)
             if mask is not None:
                 delta = delta * mask
-        grad[f"w{i}"], grad[f"b{i}"] = before.T @ delta, delta.sum(axis=0)
+        put(f"w{i}", np.matmul, before.T, delta)
+        put(f"b{i}", np.sum, delta, axis=0)
         if i > 1:
             delta = delta @ p[f"w{i}"].T
     return loss, grad
@@ -182,6 +191,9 @@ class _Replica:
         self.first, self.second = rest[: self.n].astype(np.float32), rest[self.n : 2 * self.n].astype(np.float32)
         self.steps = float(rest[2 * self.n])
         self.p = views(net, self.flat)
+        # The trained numbers come first, so a gradient has the places of a net's arrays; those of running moments stay unused.
+        self.g = np.zeros(self.size, np.float32)
+        self.grad = views(net, self.g)
 
     def vector(self) -> np.ndarray:
         return np.concatenate([self.flat, self.first, self.second, [self.steps]]).astype(np.float64)
@@ -193,16 +205,27 @@ class _Replica:
             x, y = part[:, :d], part[:, d:]
             if t.keep is not None:
                 x = np.where(rng.random(x.shape, np.float32) < t.keep, x, 1 - x)
-            loss, grad = step(self.net, self.p, x, y, rng)
+            loss, _ = step(self.net, self.p, x, y, rng, self.grad)
             total += loss * len(part)
-            g = np.concatenate([grad[name].ravel() for name, _ in self.net.shapes() if name in grad]) + np.float32(t.decay) * self.flat[: self.n]
-            self.steps += 1
-            self.first += 0.1 * (g - self.first)
-            self.second += 0.001 * (g * g - self.second)
-            rate = t.rate / (1 - 0.9**self.steps)
-            self.flat[: self.n] -= rate * self.first / (np.sqrt(self.second / (1 - 0.999**self.steps)) + 1e-8)
+            self._adam(t)
         return total
 
+    def _adam(self, t: Training) -> None:
+        """One step along the gradient, span by span and in place: of wide nets this takes as long as the products."""
+        self.steps += 1
+        rate, rest, spare = t.rate / (1 - 0.9**self.steps), 1 - 0.999**self.steps, np.empty((2, SPAN), np.float32)
+        for at in range(0, self.n, SPAN):
+            w, g, first, second = (v[at : min(at + SPAN, self.n)] for v in (self.flat, self.g, self.first, self.second))
+            a, b = spare[:, : len(w)]
+            g += np.multiply(w, np.float32(t.decay), out=a)
+            np.subtract(g, first, out=a)
+            first += np.multiply(a, 0.1, out=a)
+            np.subtract(np.multiply(g, g, out=a), second, out=a)
+            second += np.multiply(a, 0.001, out=a)
+            np.sqrt(np.divide(second, rest, out=a), out=a)
+            a += 1e-8
+            w -= np.divide(np.multiply(first, rate, out=b), a, out=b)
+
 
 def pieces_of(net: int, rows: int, vector: np.ndarray) -> pd.DataFrame:
     """Rows of the stored state: a net's numbers in pieces."""
@@ -218,13 +241,22 @@ def _averaged(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"net": [first["net"]], "piece": [first["piece"]], "rows": [rows.sum()], "part": [part]})
 
 
-def _dealt(rows: DataFrame, state: DataFrame, lanes: int, replicas: int, nets: Sequence[int]) -> DataFrame:
-    """Rows and weights by unit (lane and replica), weights first; a lane has every ``lanes``-th of the nets.
+def lanes_of(nets: Mapping[int, Net], lanes: int) -> dict[int, int]:
+    """Which lane trains a net: nets go, largest first, to the lane with the least work so far."""
+    work, found = [0] * lanes, {}
+    for i in sorted(nets, key=lambda i: (-nets[i].size(), i)):
+        found[i] = work.index(min(work))
+        work[found[i]] += nets[i].size() + 200 * sum(nets[i].widths)
+    return found
+
+
+def _dealt(rows: DataFrame, state: DataFrame, lanes: int, replicas: int, nets: Mapping[int, Net]) -> DataFrame:
+    """Rows and weights by unit (lane and replica), weights first.
 
     ``rows``: (replica, order, ...). Each unit is one partition, whatever its number of rows.
     """
     each = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    place = F.create_map(*(F.lit(v) for i, net in enumerate(nets) for v in (net, i % lanes)))
+    place = F.create_map(*(F.lit(v) for item in lanes_of(nets, lanes).items() for v in item))
     wanted = state.where((F.col("piece") >= 0) & F.col("net").isin(*nets)).withColumn("replica", F.explode(each(replicas)))
     weights = wanted.select(
         (place[F.col("net")] * replicas + F.col("replica")).alias("unit"), F.lit(0).alias("kind"), F.col("net").cast("long").alias("order"), "piece", "part",
@@ -330,9 +362,10 @@ def train(
         share = {c: 1.0 / counts[c] if c in counts else 0.0 for c in (0.0, 1.0)}
     losses: dict[int, list[float]] = {i: [] for i in range(len(nets))}
     open_, done = list(range(len(nets))), 0
+    lanes = min(lanes, max(len(nets), 1))
     while open_ and done < t.epochs:
         epochs = min(t.epochs_a_round, t.epochs - done)
-        dealt = _dealt(rows, state, lanes, t.replicas, open_)
+        dealt = _dealt(rows, state, lanes, t.replicas, {i: nets[i] for i in open_})
         found = dealt.mapInPandas(_round(nets, t, done, epochs, share), STATE)
         fresh = cut_lineage(found.groupBy("net", "piece").applyInPandas(_averaged, STATE), "net-round")
         told = sorted(((r.net, -r.piece, r.part) for r in fresh.where("piece < 0").collect()))
@@ -358,7 +391,7 @@ def score(trained: Trained, df: DataFrame, keep: Sequence[str], x: str, name: st
     need with them and hold one batch of rows at a time. Rows without inputs are
     left out.
     """
-    nets, everyone = trained.nets, list(range(len(trained.nets)))
+    nets = trained.nets
     specs, parts_of = [asdict(n) for n in nets], [(n.size() - 1) // PIECE for n in nets]
     spread = F.xxhash64(*keep, F.col(x))
     kept = [F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
@@ -367,7 +400,7 @@ def score(trained: Trained, df: DataFrame, keep: Sequence[str], x: str, name: st
     )
     upto = F.create_map(*(F.lit(v) for i, n in enumerate(parts_of) for v in (i, n)))
     weights = trained.state.where(F.col("piece") <= upto[F.col("net")])
-    dealt = _dealt(rows, weights, lanes, parts, everyone)
+    dealt = _dealt(rows, weights, lanes, parts, dict(enumerate(nets)))
     fields = [T.StructField(f"_{i}", df.schema[c].dataType) for i, c in enumerate(keep)]
     schema = T.StructType([T.StructField("net", T.IntegerType()), *fields, T.StructField("scores", T.ArrayType(T.DoubleType()))])
 

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from admitflow.operators import evaluate, neural
+from admitflow.operators import evaluate, learn, neural
 from admitflow.operators.neural import Net, Training
+from admitflow.presets import clinical
 
 NETS = [
     Net((4, 3, 2, 4), "relu", norm=False, code=2),
@@ -132,3 +133,26 @@ def test_skill_of_a_label_is_more_than_its_share(spark):
     planted = [(0, i % 2, 0.1 + 0.8 * (i % 2)) for i in range(800)]
     got = {r.label_id: (r.support, r.skilled) for r in label_skills(spark.createDataFrame(little + nothing + planted, "label_id int, y int, score double")).collect()}
     assert got == {0: (400, True), 1: (300, True), 2: (400, False)}
+
+
+def test_lanes_share_the_work_of_the_layouts():
+    nets = {i: learn.net_shape(64, nodes) for i, nodes in enumerate(n for n in clinical.LAYER_GRID for _ in range(5))}
+    work = [0] * 24
+    for i, lane in neural.lanes_of(nets, 24).items():
+        work[lane] += nets[i].size()
+    assert sum(work) == sum(n.size() for n in nets.values())
+    assert max(work) <= max(max(n.size() for n in nets.values()), 2 * sum(work) / 24)
+
+
+def test_adam_in_spans_is_adam():
+    net = learn.net_shape(20, [300, 100])
+    replica, plain, rng = neural._Replica(net, neural.initial(net, [1])), neural.initial(net, [1]).astype(np.float32), np.random.default_rng(3)
+    first, second = np.zeros(replica.n, np.float32), np.zeros(replica.n, np.float32)
+    assert replica.n > 2 * neural.SPAN
+    for i in range(1, 4):
+        replica.g[: replica.n] = given = rng.normal(size=replica.n).astype(np.float32)
+        replica._adam(neural.Training(decay=1e-3))
+        g = given + np.float32(1e-3) * plain[: replica.n]
+        first, second = first + np.float32(0.1) * (g - first), second + np.float32(0.001) * (g * g - second)
+        plain[: replica.n] -= np.float32(1e-3 / (1 - 0.9**i)) * first / (np.sqrt(second / np.float32(1 - 0.999**i)) + np.float32(1e-8))
+    assert np.allclose(replica.flat, plain, atol=1e-7)
