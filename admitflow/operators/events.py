@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from admitflow.functions import recode, text, times
+from admitflow.operators.joins import HEAVY_ROWS, may_be_heavy
 from admitflow.operators.totals import running_totals
 
 
@@ -62,13 +63,19 @@ def count_before(
     key: str = "hadm_id",
     subject: str = "subject_id",
     admitted: str = "admittime",
+    least: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Number of the subject's admissions in ``[t - days, t)``, for keys with any.
 
     Equals a distinct count over ``previous_admissions`` but makes no pairs: it
-    is the running count before t less the running count before t - days. Counts
-    are summed per (subject, moment) first, then run per (subject, day).
+    is the running count before t less the running count before t - days. Whether
+    a subject can be heavy (``least``) is counted first, in a job of its own. If none can, a
+    subject's counts run in one piece; else they are summed per (subject, moment)
+    first, then run per (subject, day).
     """
+    dated = admissions.select(key, subject, admitted).where(F.col(subject).isNotNull() & F.col(admitted).isNotNull())
+    if not may_be_heavy(dated.select(subject), [subject], least):
+        return _count_before_whole(dated, days, name, key, subject, admitted)
     moments = admissions.groupBy(subject, admitted).agg(F.count(F.lit(1)).alias("_n"))
     now = moments.select(subject, admitted, F.col(admitted).alias("_at"), "_n", F.lit(1).alias("_sign"))
     old = moments.select(
@@ -81,6 +88,22 @@ def count_before(
     return admissions.select(key, subject, admitted).join(counted.where(F.col(name) > 0), [subject, admitted]).select(key, name)
 
 
+def _count_before_whole(dated: DataFrame, days: int, name: str, key: str, subject: str, admitted: str) -> DataFrame:
+    """``count_before`` with all rows of a subject in one task: they are shuffled once, and all else happens where they are.
+
+    Each row asks how many came before t and before t - days (``_sign``), and is one that is counted (``_n``); at one
+    moment questions come first.
+    """
+    at = F.col(admitted)
+    mark = lambda at, sign, n: F.struct(at.alias("_at"), F.lit(n).alias("_n"), F.lit(sign).alias("_sign"))
+    marks = F.explode(F.array(mark(at, 1, 0), mark(at - times.days(days), -1, 0), mark(at, 0, 1)))
+    rows = dated.repartition(subject).withColumn("_row", F.monotonically_increasing_id()).select(key, subject, "_row", marks.alias("_m"))
+    before = Window.partitionBy(subject).orderBy("_at", "_n").rowsBetween(Window.unboundedPreceding, -1)
+    run = rows.select(key, subject, "_row", "_m.*").withColumn("_run", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    counted = run.where("_sign <> 0").groupBy(subject, "_row", key).agg(F.sum(F.col("_sign") * F.col("_run")).alias(name))
+    return counted.where(F.col(name) > 0).select(key, name)
+
+
 def first_event_hours(events: DataFrame, keys: Sequence[str], admitted: str, at: str, name: str = "hours") -> DataFrame:
     """Whole hours from admission to the first event; an event up to 59 minutes before is at hour 0."""
     return events.groupBy(*keys).agg(F.min(times.whole_units("HOUR", admitted, at)).cast("int").alias(name))

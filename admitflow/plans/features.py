@@ -21,7 +21,7 @@ from admitflow.operators import events, joins, profile, reshape, scale
 from admitflow.operators.population import still_admitted
 from admitflow.params import Params
 from admitflow.presets import clinical
-from admitflow.session import cut_lineage
+from admitflow.session import cut_lineage, together
 
 KEY = "hadm_id"
 _STATIC_MARK, _LAB_MARK = "_in_population", "_has_labs"
@@ -191,15 +191,13 @@ def feature_blocks(
     read, so each source is read once; ``labs`` may be a stage of ``lab_events``.
     """
     pop = population(src, params)
-    labs = keep(lab_events(src, pop, rules, params)) if labs is None else labs
-    return Blocks(
-        static=keep(static_rows(src, pop, rules)),
-        labs=labs,
-        cells=lab_cells(labs, rules),
-        drugs=keep(drug_rows(src, pop, rules)),
-        prev=keep(previous_counts(src, pop, params)),
-        indicators=indicator_rows(src, pop, rules),
+    labs, static, drugs, prev = together(
+        lambda: keep(lab_events(src, pop, rules, params)) if labs is None else labs,
+        lambda: keep(static_rows(src, pop, rules)),
+        lambda: keep(drug_rows(src, pop, rules)),
+        lambda: keep(previous_counts(src, pop, params)),
     )
+    return Blocks(static, labs, lab_cells(labs, rules), drugs, prev, indicator_rows(src, pop, rules))
 
 
 def _text_cells(b: Blocks, text: Sequence[str], static: Sequence[str]) -> DataFrame:
@@ -246,8 +244,11 @@ def fit_features(
     is named in a column of the result: at most ``widest`` codes or levels.
     """
     lab_keys = b.labs.select(KEY).distinct()
-    n_rows = lab_keys.count()
-    flags = reshape.vocabulary(b.labs, "code", widest)
+    n_rows, flags, drugs = together(
+        lab_keys.count,
+        lambda: reshape.vocabulary(b.labs, "code", widest),
+        lambda: reshape.vocabulary(b.drugs, "drug", widest),
+    )
     dense = profile.dense_codes(profile.code_profile(b.cells), n_rows, params.max_sparsity)
     kinds = {r["code"]: r["kind"] for r in reshape.bounded(profile.code_kinds(dense), widest, "codes")}
     numeric = sorted(c for c, k in kinds.items() if k == "numeric")
@@ -266,7 +267,7 @@ def fit_features(
             _flag_cells(b.labs).join(b.static.select(KEY), KEY, "left_semi")
         )
     levels = _collect_levels(cells, widest)
-    return FeatureSpec(binned, numeric, text, flags, reshape.vocabulary(b.drugs, "drug", widest), levels, stats)
+    return FeatureSpec(binned, numeric, text, flags, drugs, levels, stats)
 
 
 def _level_name(column, level):

@@ -123,7 +123,18 @@ def test_count_before_matches_brute_force(skewed):
             n = bisect.bisect_left(moments, m) - bisect.bisect_left(moments, m - dt.timedelta(days=360))
             if n:
                 want[key] = n
-    assert {r.hadm_id: r.n_admits for r in events.count_before(skewed).collect()} == want
+    # In one piece per subject, and in days where a subject is heavy.
+    for least in (100_000, 1000):
+        assert {r.hadm_id: r.n_admits for r in events.count_before(skewed, least=least).collect()} == want
+
+
+def test_count_before_shuffles_rows_once_if_no_subject_is_heavy(skewed):
+    rows = skewed.select("hadm_id", "subject_id", "admittime")
+    plan = events.count_before(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Join" not in plan
+    some = events.count_before(rows).first()["hadm_id"]  # a key that repeats comes out as often as it goes in
+    assert events.count_before(rows.unionByName(rows.where(F.col("hadm_id") == some))).where(F.col("hadm_id") == some).count() == 2
 
 
 def test_previous_pairs_match_counts(skewed):
