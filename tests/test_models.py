@@ -1,5 +1,7 @@
 """Models and stages: row counts, probabilities, and skill on a separable label."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +111,17 @@ def test_stage_built_twice_keeps_earlier_readers(spark):
 
 def test_every_query_here_has_sql():
     assert {n for n in set(QUERIES) - set(ORACLES) if not n.startswith("op") and n != "pipeline"} == set()
+
+
+def test_points_of_a_curve_are_fitted_at_once(separable, monkeypatch):
+    fit, meet = learn.fit, threading.Barrier(2, timeout=60)
+
+    def together(*given):
+        meet.wait()  # breaks if a fit waits for the end of another
+        return fit(*given)
+
+    monkeypatch.setattr(learn, "fit", together)
+    make = lambda n: learn.forest(trees=3, depth=3, features=n)
+    curve = learn.validation_curve(separable, FEATURES, "id", make, [1, 2], 5, folds=2, parallelism=2).collect()
+    assert {(r.value, r.fold) for r in curve} == {(v, f) for v in "12" for f in (0, 1)}
+    assert all(0.8 < r.train_score <= 1 and 0.8 < r.test_score <= 1 for r in curve)
