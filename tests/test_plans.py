@@ -58,6 +58,13 @@ def test_lookback_joins_on_subject_and_time_bucket(spark, small):
     assert "_bucket" in text and "Inner" in text
 
 
+@pytest.mark.parametrize("name", ["join_lookback_interval", "join_hot_subject", "join_previous_360d"])
+def test_window_joins_only_compare_per_pair(spark, small, name):
+    """The bounds of a span are computed before the join, not for every pair."""
+    joins = [line for line in plan(QUERIES[name](spark, small)).splitlines() if "_bucket" in line and "Inner" in line]
+    assert joins and all(">" in line and "INTERVAL" not in line for line in joins)
+
+
 def test_sample_split_does_not_shuffle(spark, small):
     assert "Exchange" not in plan(QUERIES["split_exact"](spark, small))
     assert "Exchange" not in plan(QUERIES["kfold_assign"](spark, small))
