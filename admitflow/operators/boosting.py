@@ -1,0 +1,236 @@
+"""Gradient-boosted trees over blocks of bin numbers.
+
+Spark's own boosting keeps every row as objects, several times over, and visits each
+of them for every level of every round. Here rows travel as blocks of bin numbers, one
+byte a value, with their margins (the scores so far). A level is one pass: tasks sum
+the residuals of their blocks by node, feature and bin, and the driver adds the sums
+and takes the best splits. What it sees depends on the settings and on the number of
+tasks (twice the cores at most), not on the rows. Every ``STORED`` rounds the margins
+are stored anew; in between, tasks add the trees that were grown since.
+
+The loss, the trees and the model are Spark's.
+"""
+
+from __future__ import annotations
+
+import json
+import uuid
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from admitflow.operators import forest
+from admitflow.session import delete, run_dir, store
+
+STORED = 5  # rounds after which margins are stored
+CELLS = 65_536  # sums a task may return for one level; wider frames are left to Spark
+STATE = "data binary, margin binary"
+NODE = "struct<id int, prediction double, impurity double, impurityStats array<double>, rawCount long, gain double, leftChild int, rightChild int, split struct<featureIndex int, leftCategoriesOrThreshold array<double>, numCategories int>>"
+
+
+@dataclass
+class Tree:
+    """Level by level the feature (-1: a leaf), bin, gain and sums (rows, residuals, their squares) of its nodes.
+
+    A level has places for all nodes a full tree has there; a leaf's rows go on to the left.
+    """
+
+    feature: list[np.ndarray]
+    bin: list[np.ndarray]
+    gain: list[np.ndarray]
+    sums: list[np.ndarray]
+    weight: float = 1.0
+    says: np.ndarray | None = None  # by place at the lowest level: weight times the mean of the leaf
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """The place of every row in the level below the last one that is known. ``codes``: bins (features and class, rows)."""
+        n = codes.shape[1]
+        at, flat, each = np.zeros(n, np.int64), codes.ravel(), np.arange(n)
+        for feature, bin_ in zip(self.feature, self.bin):
+            start, upto = np.maximum(feature, 0) * n, np.where(feature >= 0, bin_, 255).astype(np.uint8)
+            at = 2 * at + (flat[start[at] + each] > upto[at])
+        return at
+
+
+@dataclass(frozen=True)
+class Pass:
+    """What the tasks of one pass need: trees that the stored margins lack, and the one that is being grown."""
+
+    width: tuple[int, ...]  # bins of each feature
+    recent: Sequence[Tree]
+    tree: Tree
+    first: bool  # the first tree learns the classes themselves, -1 and 1
+    last: bool  # both sides of its splits will be leaves
+
+    def rows(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.Scalar, np.ndarray, np.ndarray]]:
+        """Per block: its bytes, its bins and class, and its margins."""
+        for data, margin in zip(batch.column(0), batch.column(1)):
+            codes = np.frombuffer(data.as_buffer(), np.uint8).reshape(len(self.width) + 1, -1)
+            known = np.frombuffer(margin.as_buffer())
+            for tree in self.recent:
+                known = known + tree.says[tree.places(codes)]
+            yield data, codes, known
+
+    def residuals(self, codes: np.ndarray, margin: np.ndarray) -> np.ndarray:
+        """Against the gradient of Spark's loss, 2 log(1 + exp(-2 y margin))."""
+        y = 2.0 * codes[-1] - 1
+        return y if self.first else 4 * y / (1 + np.exp(2 * y * margin))
+
+    def sums(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By node, feature and bin: rows and residuals (and for the last splits their squares). By node: squares."""
+        k, channels = 2 ** len(self.tree.feature), 3 if self.last else 2
+        cells, squares = [np.zeros((channels, k * size)) for size in self.width], np.zeros(k)
+        for batch in batches:
+            for _, codes, margin in self.rows(batch):
+                r, at = self.residuals(codes, margin), self.tree.places(codes)
+                rr = r * r
+                squares += np.bincount(at, rr, k)
+                for f, size in enumerate(self.width):
+                    cell = at * size + codes[f]
+                    for channel, values in enumerate((None, r, rr)[:channels]):
+                        cells[f][channel] += np.bincount(cell, values, k * size)
+        yield pa.RecordBatch.from_pydict({"sums": [np.concatenate([*(c.ravel() for c in cells), squares]).tobytes()]})
+
+    def advance(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, _, margin in self.rows(batch):
+                yield pa.RecordBatch.from_pydict({"data": [data.as_py()], "margin": [margin.tobytes()]})
+
+    def total(self, found: Sequence[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The tasks' sums added: per feature (channels, nodes, bins); and the squares by node."""
+        k, channels = 2 ** len(self.tree.feature), 3 if self.last else 2
+        whole = np.sum([np.frombuffer(f) for f in found], axis=0)
+        *cells, squares = np.split(whole, np.cumsum([channels * k * size for size in self.width]))
+        return [c.reshape(channels, k, size) for c, size in zip(cells, self.width)], squares
+
+
+def begin(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of ``forest`` by feature instead of by row, with margins of 0."""
+    for batch in batches:
+        for data in batch.column("data"):
+            rows = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, columns)
+            yield pa.RecordBatch.from_pydict({"data": [np.ascontiguousarray(rows.T).tobytes()], "margin": [bytes(8 * len(rows))]})
+
+
+def split(tree: Tree, cells: Sequence[np.ndarray], squares: np.ndarray, leaf: int) -> None:
+    """Add a level: the best split of every node by the variance of its residuals."""
+    k = len(squares)
+    n, s = cells[0][0].sum(axis=1), cells[0][1].sum(axis=1)
+    own, each = s * s / np.maximum(n, 1), np.arange(k)
+    feature, bin_, best, lower = np.full(k, -1), np.zeros(k, np.int64), np.zeros(k), None
+    for f, cell in enumerate(cells):
+        if cell.shape[2] < 2:
+            continue
+        low = cell.cumsum(axis=2)[:, :, :-1]
+        n0, s0 = low[0], low[1]
+        n1, s1 = n[:, None] - n0, s[:, None] - s0
+        pure = s0 * s0 / np.maximum(n0, 1) + s1 * s1 / np.maximum(n1, 1)
+        gains = np.where((n0 >= leaf) & (n1 >= leaf), (pure - own[:, None]) / np.maximum(n[:, None], 1), 0.0)
+        at = gains.argmax(axis=1)
+        better = gains[each, at] > np.maximum(best, forest.LEAST_GAIN)
+        lower = np.zeros((len(low), k)) if lower is None else lower
+        feature[better], bin_[better], best[better], lower[:, better] = f, at[better], gains[each, at][better], low[:, each, at][:, better]
+    tree.feature.append(feature)
+    tree.bin.append(bin_)
+    tree.gain.append(np.where(feature >= 0, best, -1.0))
+    tree.sums.append(np.stack([n, s, squares]))
+    if len(cells[0]) == 3:  # what is below is leaves
+        below = np.zeros((3, 2 * k))
+        inner = feature >= 0
+        if lower is not None:
+            below[:, 0::2][:, inner], below[:, 1::2][:, inner] = lower[:, inner], (tree.sums[-1] - lower)[:, inner]
+        tree.sums.append(below)
+
+
+def nodes_of(tree: Tree, cuts: Sequence[np.ndarray]) -> list[tuple]:
+    """The tree's nodes as Spark stores them, level by level; sets what its leaves say."""
+    depth, found, ids, level = len(tree.feature), [], 0, [0]
+    tree.says = np.zeros(2**depth)
+    for i in range(depth + 1):
+        following = []
+        for place in level:
+            n, s, q = (float(v) for v in tree.sums[i][:, place])
+            mean, feature = s / n, int(tree.feature[i][place]) if i < depth else -1
+            if feature >= 0:
+                left = ids + len(level) - level.index(place) + len(following)
+                following += [2 * place, 2 * place + 1]
+                below = (left, left + 1, (feature, [float(cuts[feature][tree.bin[i][place]])], -1))
+            else:
+                tree.says[place << (depth - i)] = tree.weight * mean
+                below = (-1, -1, (-1, [], -1))
+            gain = float(tree.gain[i][place]) if feature >= 0 else -1.0
+            found.append((ids, mean, max(q / n - mean * mean, 0.0), [n, s, q], int(n), gain, *below))
+            ids += 1
+        level = following
+    return found
+
+
+class BlockBoosting(GBTClassifier):
+    """Spark's gradient-boosted trees for two classes, over blocks of bin numbers.
+
+    Loss, rounds, cuts (from as many sampled rows), splits and the model are Spark's. Frames or
+    settings it is not made for (other classes, weights, samples, validation rows, very wide frames) are left to Spark.
+    """
+
+    def _fit(self, rows: DataFrame) -> GBTClassificationModel:
+        y, depth = F.col(self.getLabelCol()).cast("double"), self.getMaxDepth()
+        classes = {r.y: r.n for r in rows.groupBy(y.alias("y")).agg(F.count(F.lit(1)).alias("n")).limit(3).collect()}
+        plain = not any(self.isSet(p) for p in ("weightCol", "validationIndicatorCol")) and self.getSubsamplingRate() == 1 and self.getFeatureSubsetStrategy() in ("all", "auto")
+        even = self.getMinInfoGain() == 0 and self.getMinWeightFractionPerNode() == 0 and self.getImpurity() == "variance" and self.getMaxBins() <= 256
+        if set(classes) != {0.0, 1.0} or not plain or not even or depth < 1:
+            return super()._fit(rows)
+        flat = rows.select(vector_to_array(self.getFeaturesCol()).alias("x"), y.alias("y"))
+        n = sum(classes.values())
+        cuts = forest.sampled_cuts(flat, n, self.getMaxBins(), self.getSeed())
+        if 2 ** (depth - 1) * sum(len(c) + 1 for c in cuts) * 3 > CELLS:
+            return super()._fit(rows)
+        return self._as_model(rows.sparkSession, *self._boosted(flat, cuts, n), len(cuts))
+
+    def _boosted(self, flat: DataFrame, cuts: list[np.ndarray], n: int) -> tuple[list[list[tuple]], list[float]]:
+        """The nodes and the weights of all trees."""
+        spark, depth, columns = flat.sparkSession, self.getMaxDepth(), len(cuts) + 1
+        width, folder = tuple(len(c) + 1 for c in cuts), f"{run_dir(spark)}/boosting-{uuid.uuid4().hex}"
+        tasks = min(2 * spark.sparkContext.defaultParallelism, -(-n // forest.BLOCK))
+        blocks = forest.blocks_of(flat, cuts).mapInArrow(lambda batches: begin(batches, columns), STATE)
+        state, recent, nodes, weights = store(blocks.repartition(tasks), f"{folder}/0"), [], [], []
+        for i in range(self.getMaxIter()):
+            tree = Tree([], [], [], [], 1.0 if i == 0 else self.getStepSize())
+            for level in range(depth):
+                step = Pass(width, tuple(recent), tree, i == 0, level == depth - 1)
+                found = state.mapInArrow(step.sums, "sums binary").collect()
+                split(tree, *step.total([r.sums for r in found]), self.getMinInstancesPerNode())
+            nodes.append(nodes_of(tree, cuts))
+            weights.append(tree.weight)
+            recent.append(Tree(tree.feature, tree.bin, [], [], tree.weight, tree.says))
+            if len(recent) == STORED and i + 1 < self.getMaxIter():
+                step = Pass(width, tuple(recent), Tree([], [], [], []), False, False)
+                state, recent = store(state.mapInArrow(step.advance, STATE).repartition(tasks), f"{folder}/{i + 1}"), []
+                delete(spark, f"{folder}/{i + 1 - STORED}")
+        delete(spark, folder)
+        return nodes, weights
+
+    def _as_model(self, spark: SparkSession, nodes: list[list[tuple]], weights: list[float], d: int) -> GBTClassificationModel:
+        """Spark's model with these nodes. Its settings are those of a model that Spark fits on two rows."""
+        path = f"{run_dir(spark)}/boosted-{uuid.uuid4().hex}"
+        two = spark.createDataFrame([(Vectors.dense([float(v)] * d), float(v)) for v in (0, 1)], [self.getFeaturesCol(), self.getLabelCol()])
+        GBTClassifier._fit(self.copy({self.maxIter: 1, self.maxDepth: 1}), two).write().save(f"{path}/settings")
+        whole = json.loads(spark.read.text(f"{path}/settings/metadata").first()[0])
+        whole["numTrees"] = len(nodes)
+        whole["paramMap"] |= {"maxIter": self.getMaxIter(), "maxDepth": self.getMaxDepth()}
+        one = json.loads(spark.read.parquet(f"{path}/settings/treesMetadata").first()[1])
+        one["paramMap"] |= {"maxDepth": self.getMaxDepth()}
+        frames = {
+            "treesMetadata": spark.createDataFrame([(i, json.dumps(one), w) for i, w in enumerate(weights)], "_1 int, _2 string, _3 double"),
+            "data": spark.createDataFrame([(i, node) for i, tree in enumerate(nodes) for node in tree], f"treeID int, nodeData {NODE}"),
+        }
+        spark.createDataFrame([(json.dumps(whole),)], "value string").coalesce(1).write.text(f"{path}/model/metadata")
+        for name, frame in frames.items():
+            frame.coalesce(1).write.parquet(f"{path}/model/{name}")
+        return GBTClassificationModel.load(f"{path}/model")

@@ -1,0 +1,76 @@
+"""Boosting over blocks: Spark's trees, whatever the blocks and wherever margins are stored."""
+
+import numpy as np
+import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.sql import functions as F
+
+from admitflow.operators import boosting, evaluate, forest, learn
+
+FEATURES = ["a", "b", "c"]
+
+
+@pytest.fixture(scope="module")
+def coarse(spark):
+    """Few values a feature, so that there is one way to cut them."""
+    noise = lambda i, n: F.pmod(F.hash("id", F.lit(i)), F.lit(n)) / n
+    rows = spark.range(5000).select("id", noise(1, 20).alias("a"), noise(2, 7).alias("b"), noise(3, 23).alias("c"), noise(4, 1000).alias("d"))
+    return rows.withColumn("y", (F.col("a") * F.col("b") + F.col("c") / 3 + 0.3 * F.col("d") > 0.55).cast("int")).cache()
+
+
+def scores(model, rows):
+    return {r.id: r.score for r in learn.score(model, rows, "id").collect()}
+
+
+def test_trees_are_sparks(coarse):
+    """The same scores from every tree, and the same importances, rounds beyond ``STORED`` included."""
+    made = learn.boosted(rounds=12, depth=4)
+    assert made.getMaxIter() > 2 * boosting.STORED
+    one = learn.fit(coarse, FEATURES, made)
+    two = learn.fit(coarse, FEATURES, GBTClassifier(labelCol="y", maxIter=12, maxDepth=4, stepSize=0.3, lossType="logistic", seed=42))
+    ours, sparks = scores(one, coarse), scores(two, coarse)
+    assert max(abs(ours[i] - sparks[i]) for i in sparks) < 1e-9
+    one, two = one.stages[-1], two.stages[-1]
+    assert [t.numNodes for t in one.trees] == [t.numNodes for t in two.trees] and one.treeWeights == two.treeWeights
+    assert one.featureImportances.toArray() == pytest.approx(two.featureImportances.toArray())
+    assert (one.getNumTrees, one.getOrDefault("maxIter"), one.numFeatures) == (12, 12, 3)
+
+
+def test_rows_are_not_left_to_spark(coarse, monkeypatch):
+    fit, given = GBTClassifier._fit, []
+    monkeypatch.setattr(GBTClassifier, "_fit", lambda self, rows: given.append(rows.count()) or fit(self, rows))
+    learn.fit(coarse, FEATURES, learn.boosted(rounds=2, depth=3))
+    assert given == [2]
+
+
+def test_blocks_do_not_matter(coarse, monkeypatch):
+    make = lambda: learn.boosted(rounds=4, depth=3)
+    whole = scores(learn.fit(coarse.coalesce(1), FEATURES, make()), coarse)
+    monkeypatch.setattr(forest, "BLOCK", 100)
+    monkeypatch.setattr(boosting, "STORED", 1)
+    parts = scores(learn.fit(coarse.repartition(7), FEATURES, make()), coarse)
+    assert max(abs(whole[i] - parts[i]) for i in whole) < 1e-9
+
+
+def test_many_values_few_rows_and_one_class(coarse, spark):
+    fine = coarse.withColumn("a", F.col("a") + F.col("id") / 1e6)
+    scored = learn.score(learn.fit(fine.where("id % 4 <> 0"), FEATURES, learn.boosted(rounds=10)), fine.where("id % 4 = 0"), "id")
+    assert evaluate.roc_auc(scored, "y", "score").first()[0] > 0.85
+    few = spark.createDataFrame([(0, 0.0, 5.0, 0), (1, 1.0, 5.0, 1)], "id long, a double, b double, y int")
+    assert scores(learn.fit(few, ["a", "b"], learn.boosted(rounds=3)), few)[1] > 0.8
+    same = learn.fit(few, ["b"], learn.boosted(rounds=3)).stages[-1]
+    assert [t.numNodes for t in same.trees] == [1, 1, 1]
+    assert learn.score(learn.fit(few.where("y = 0"), ["a"], learn.boosted(rounds=2)), few, "id").first().prediction == 0
+
+
+def test_a_split_is_the_best_of_all():
+    rng = np.random.default_rng(1)
+    r, codes = rng.normal(size=50), rng.integers(0, 5, (2, 50)).astype(np.uint8)
+    step = boosting.Pass((5, 5), (), boosting.Tree([], [], [], []), False, True)
+    cells = [np.stack([np.bincount(c, w, 5) for w in (None, r, r * r)])[:, None] for c in codes]
+    boosting.split(step.tree, cells, np.array([(r * r).sum()]), 1)
+    left = lambda f, b: codes[f] <= b
+    gain = lambda f, b: r.var() - sum(r[s].var() * s.mean() for s in (left(f, b), ~left(f, b)))
+    best = max((gain(f, b), f, b) for f in (0, 1) for b in range(4) if 0 < left(f, b).sum() < 50)
+    assert step.tree.gain[0][0] == pytest.approx(best[0]) and (step.tree.feature[0][0], step.tree.bin[0][0]) == best[1:]
+    assert step.tree.sums[1][0].tolist() == [left(*best[1:]).sum(), 50 - left(*best[1:]).sum()]
