@@ -151,7 +151,9 @@ def _blocks(rows: DataFrame, key: str, vector: str, names: tuple[str, str], dime
     """Rows (tree, leaf, key, vector) packed as blocks of about BLOCK rows (tree, leaf, two blobs)."""
     sizes = rows.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_n"))
     part = F.pmod(F.xxhash64(key, vector), F.col("_n")).alias("_part")
-    packed = rows.join(sizes, ["tree", "leaf"]).groupBy("tree", "leaf", part).agg(F.collect_list(F.struct(key, vector)).alias("rows"))
+    # There is a size per leaf of the forest, whatever the table. The rows are never the side that is broadcast: a
+    # query's vector repeats in every leaf it opens, and their file is far smaller than what they are in memory.
+    packed = rows.join(F.broadcast(sizes), ["tree", "leaf"]).groupBy("tree", "leaf", part).agg(F.collect_list(F.struct(key, vector)).alias("rows"))
 
     def make():
         def step(c):
@@ -230,7 +232,8 @@ def nearest(
     stored = cut_lineage(_blocks(cut_lineage(by_batch(named, schema, index), "leaf-rows"), "vec_id", "v", ("ids", "vectors"), dimension), "leaves")
     opened = cut_lineage(by_batch(asked, schema, search), "opened-leaves")
     asking = _blocks(opened, "vec_id", "v", ("query_ids", "queries"), dimension)
-    pairs = stored.join(asking, ["tree", "leaf"]).select("ids", "vectors", "query_ids", "queries")
+    # Spark takes a block for a short value, so it may believe that all of them can be broadcast.
+    pairs = stored.join(asking.hint("merge"), ["tree", "leaf"]).select("ids", "vectors", "query_ids", "queries")
     answers = by_batch(pairs, "query_id long, vec_id long, score double", lambda: _Best(k, dimension, most))
     answers = answers.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -78,3 +78,18 @@ def test_forest_is_bounded_and_balanced():
     opened = forest.nearest_leaves(sample[0], 10**6)
     assert len(opened) == len(set(opened)) == 4 * forest.leaves
     assert {(t, int(n)) for t, n in enumerate(forest.leaves_of(sample[:1])[0])} <= set(opened[:4])
+
+
+def test_only_the_sizes_of_leaves_are_broadcast(spark):
+    """Blocks of vectors and opened leaves are far larger in memory than Spark takes them for; whatever it believes, they are not broadcast."""
+    rows = [(i, [math.sin(i * j) for j in range(1, 9)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        got = neighbours.nearest(df, F.col("vec_id") % 40 == 0, leaf=16)
+        assert got.count() == 90  # the vector of id 0 is zero
+        text = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" in text and text.count("BroadcastExchange") == 1
