@@ -74,3 +74,30 @@ def test_few_rows_and_one_class(spark):
     assert learn.score(learn.fit(few, ["a"], learn.forest(trees=12, depth=3, features="all")), few, "id").where("score between 0 and 1").count() == 2
     alone = few.where("y = 0")
     assert learn.score(learn.fit(alone, ["a"], learn.forest(trees=2, depth=3, features="all", weighted=False)), alone, "id").first().prediction == 0
+
+
+@pytest.mark.parametrize("share", [0.9, 0.3, 1.0])
+def test_draws_are_poisson_and_come_from_bits(share):
+    """Chi-squared of the draws; they are settled by 16 bits, but for a few values."""
+    table, n = forest.draw_table(share), 400_000
+    assert (table[0] == 255).sum() < 12
+    got = np.bincount(forest.draws(np.random.default_rng(7), table, n), minlength=12)[:6]
+    want = n * np.exp(-share) * np.cumprod([1.0, *(share / k for k in range(1, 6))])
+    assert ((got - want) ** 2 / want).sum() < 25
+    edge = table[0].copy()
+    edge[:] = 255  # every draw by its further bits
+    assert np.bincount(forest.draws(np.random.default_rng(8), (edge, table[1]), n), minlength=12)[:6] == pytest.approx(want, rel=0.15, abs=40)
+
+
+def test_a_row_goes_where_its_path_leads():
+    """Nodes of rows by one table look-up a level, against the tree read row by row; leaves hold their rows."""
+    rng = np.random.default_rng(1)
+    top = forest.Top(rng.integers(-1, 3, (2, 16)), rng.integers(0, 4, (2, 16)), np.zeros((2, 16), bool), 3)
+    codes = rng.integers(0, 5, (200, 4)).astype(np.uint8)
+    for tree in (0, 1):
+        for row, node in zip(codes, top.nodes_of(codes, tree)):
+            at = 1
+            for _ in range(3):
+                f = top.feature[tree, at]
+                at = at if f < 0 else 2 * at + int(row[f] > top.bin[tree, at])
+            assert at == node
