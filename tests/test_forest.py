@@ -101,3 +101,16 @@ def test_a_row_goes_where_its_path_leads():
                 f = top.feature[tree, at]
                 at = at if f < 0 else 2 * at + int(row[f] > top.bin[tree, at])
             assert at == node
+
+
+def test_rows_of_the_last_level_are_not_brought_together(planted, monkeypatch):
+    """A shallow tree's leaves may hold most of a table: they come from the sums, and say what they say when grown from rows."""
+    make = lambda: learn.forest(trees=4, depth=2, features="all", seed=3)
+    whole = learn.fit(planted, FEATURES, make()).stages[-1]
+    monkeypatch.setattr(forest, "BRANCH", 1)
+    monkeypatch.setattr(forest, "_branches", lambda *given: pytest.fail("rows are dealt to leaves"))
+    parts = learn.fit(planted, FEATURES, make()).stages[-1]
+    rows = [r.features for r in learn.PipelineModel(learn._assembly(FEATURES)).transform(planted.limit(200)).select("features").collect()]
+    for one, two in zip(whole.trees, parts.trees):
+        assert two.depth == 2 and [one.predictProbability(v).toArray().argmax() for v in rows] == [two.predictProbability(v).toArray().argmax() for v in rows]
+    assert [parts.predict(v) for v in rows] == [whole.predict(v) for v in rows]
